@@ -1,0 +1,14 @@
+"""Name -> query and, where SQL can say the same, its oracle."""
+
+from __future__ import annotations
+
+_QUERIES: dict = {}
+_ORACLES: dict = {}
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict:
+    return dict(_ORACLES)
