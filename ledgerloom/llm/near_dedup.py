@@ -15,12 +15,16 @@ when ``100 * |A & B| >= percent * |A | B|`` on the full sets.
    whose classes are in one component is done.  Groups of thousands of near
    copies vanish here without their pairs being listed.
 4. In the nodes left, small ones are compared exhaustively between components.
-   Large ones branch: each class goes to ``branch`` children, each named by two
-   further minwise tokens of its own, so documents that only share a passage
-   part.  A pair at 0.85 stays together in one of three children with
-   probability 0.98; ``depth`` counts the levels.  Nodes still large at the end are compared block by block,
-   so no pair is dropped for the size of its node.
-5. Candidates are confirmed on full sets and joined to the earlier links.
+   Large ones branch: each class goes to ``branch`` children of its node, each
+   named by ``tokens`` further minwise tokens of its own, so documents that only
+   share a passage part: a pair at 0.85 shares a child with probability 0.85 in
+   each tree, one at 0.7 with 0.39.  ``depth`` counts the levels.  Nodes still
+   large at the end are dealt over blocks that meet two by two, so no pair is
+   dropped for the size of its node.
+5. The classes of a group whose sketches agree come together with their full
+   sets; one product of their incidence matrix counts what all pairs share, and
+   the group sends on the links that hold its components together: fewer than
+   it has members, whatever the number of its pairs.
 
 Full sets exist only for classes that share a node with another; they are kept
 in a table bucketed by class, so that no later join moves them again.
@@ -92,27 +96,94 @@ def _confirm(percent: int):
     return run
 
 
-def _alike(least: float, percent: int):
-    """(members: list of (cls, label, sketch, n)) -> candidate pairs of different labels."""
+def _alike(least: float, percent: int, trees: int):
+    """(node, part, tree, level, members) -> (node, part, cls, label): members that resemble one of another label.
+
+    A pair that also meets in a small node of the first level in an earlier tree
+    is left to that node.
+    """
 
     def run(batches):
         for batch in batches:
-            left, right = [], []
-            col = batch.column(0)
-            for node in range(batch.num_rows):
-                members = col[node].values
-                names, labels = members.field("cls"), members.field("label").to_pylist()
+            out = [[], [], [], []]
+            tree, level = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for g in range(batch.num_rows):
+                members = batch.column(4)[g].values
+                names, labels = members.field("cls").to_pylist(), members.field("label").to_pylist()
                 sketch = np.frombuffer(b"".join(members.field("sketch").to_pylist()), dtype=np.uint32).reshape(len(labels), SKETCH)
-                n = members.field("n_shingles").to_numpy()
+                n, small = members.field("n_shingles").to_numpy(), members.field("small").to_numpy()
                 _, label = np.unique(np.array(labels, dtype=object), return_inverse=True)
+                earlier = np.array([1 << t for t in range(tree[g] if level[g] == 0 else trees)], dtype=np.int64)
+                marks = (small[:, None] & earlier[None, :]) != 0
+                alike = np.zeros(len(labels), dtype=bool)
                 for k in range(len(labels) - 1):
                     rest = slice(k + 1, None)
-                    near = (sketch[rest] == sketch[k]).mean(axis=1) >= least
+                    same = sketch[rest] == sketch[k]
+                    near = same.mean(axis=1) >= least
                     near &= (label[rest] != label[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
-                    for j in np.flatnonzero(near):
-                        x, y = names[k].as_py(), names[k + 1 + int(j)].as_py()
-                        left.append(min(x, y))
-                        right.append(max(x, y))
+                    if near.any() and len(earlier):
+                        near &= ~(same[:, : len(earlier)] & marks[k]).any(axis=1)
+                    if near.any():
+                        alike[k] = True
+                        alike[k + 1 :] |= near
+                for k in np.flatnonzero(alike):
+                    for column, value in zip(out, (batch.column(0)[g].as_py(), batch.column(1)[g].as_py(), names[k], labels[k]), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["node", "part", "cls", "label"])
+
+    return run
+
+
+def _shared(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many values each two of the sets share, exactly."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    times = np.diff(np.append(start, len(values)))
+    column = np.repeat(np.cumsum(times > 1) - 1, times)
+    inside = np.repeat(times > 1, times)
+    column, owner = column[inside], owner[inside]
+    counts = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        at = slice(*np.searchsorted(column, [lo, lo + columns]))
+        grid = np.zeros((len(sets), columns), dtype=np.float32)
+        grid[owner[at], column[at] - lo] = 1
+        counts += np.rint(grid @ grid.T).astype(np.int64)
+    return counts
+
+
+def _joined(percent: int):
+    """(members: cls, label, vals) -> links, confirmed on full sets, that hold the group's labels together."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = [], []
+            for g in range(batch.num_rows):
+                members = batch.column(0)[g].values
+                names, labels = members.field("cls").to_pylist(), members.field("label").to_pylist()
+                if len(names) < 2:
+                    continue
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in members.field("vals").to_pylist()]
+                size = np.array([len(x) for x in sets])
+                shared = _shared(sets)
+                parent = {x: x for x in labels}
+
+                def root(x, parent=parent):
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+                for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+                    a, b = root(labels[i]), root(labels[j])
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        left.append(names[i])
+                        right.append(names[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     return run
@@ -132,7 +203,7 @@ def _agree(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, small: int = 128, depth: int = 3, branch: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, small: int = 128, depth: int = 4, branch: int = 4, tokens: int = 6) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept`` (see the module's text)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -142,13 +213,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(docs.mapInArrow(_rows_of_sketches(id_type), f"doc_id {id_type}, n_shingles long, cls binary, sketch binary"), "sketches")
     classes = written(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
 
-    def token(k):
-        return F.xxhash64(F.lit(k), F.substring(F.col("sketch"), 4 * k + 1, 4))
+    def slot(k):
+        return F.substring(F.col("sketch"), 4 * k + 1, 4)
 
     # Nodes of the first level: a member is one class in one tree.
-    members = classes.select("cls", F.explode(F.array(*[token(k) for k in range(trees)])).alias("node"))
+    members = classes.select("cls", F.posexplode(F.array(*[F.xxhash64(F.lit(k), slot(k)) for k in range(trees)])).alias("tree", "node"))
     nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader")).where("n > 1")
-    members = written(members.join(nodes, "node").select("node", "cls", "leader", "n"), "members")
+    members = written(members.join(nodes, "node").select("node", "tree", "cls", "leader", "n"), "members")
 
     # Full sets of the classes that share any node, bucketed by class.
     shared = members.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
@@ -168,26 +239,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(star.select("a", "b", "sa", "sb").mapInArrow(_agree(least), "a binary, b binary"))
     labels = written(components(links).withColumnsRenamed({"node": "cls", "component": "label"}), "labels")
 
-    # Nodes in which more than one component is left.
-    now = members.select("node", "cls").join(labels, "cls", "left").select("node", "cls", F.coalesce("label", "cls").alias("label"))
-    now = written(_mixed(now).join(classes.select("cls", "sketch", "n_shingles"), "cls"), "mixed")
+    # Nodes in which more than one component is left, and in which trees a class is in a small one.
+    now = members.select("node", "tree", "cls").join(labels, "cls", "left").select("node", "tree", "cls", F.coalesce("label", "cls").alias("label"))
+    now = written(_mixed(now), "mixed")
+    marks = now.where(F.col("n") <= small).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("small"))
+    about = written(now.select("cls").distinct().join(classes.select("cls", "sketch", "n_shingles"), "cls").join(marks, "cls", "left").withColumn("small", F.coalesce("small", F.lit(0).cast("long"))), "about")
+
+    rng = np.random.Generator(np.random.PCG64(5))
     found = []
     for level in range(depth):
-        found.append(_compare(now.where(F.col("n") <= small).withColumn("part", F.lit(0)), least, percent))
+        now = now.withColumn("level", F.lit(level))
+        met = now.where(F.col("n") <= small).withColumn("part", F.lit(0))
         large = now.where(F.col("n") > small)
-        if level == depth - 1 or is_empty(large):
+        last = level == depth - 1 or is_empty(large)
+        if last:
+            met = met.unionByName(_blocks(large, small))
+        found.append(_compare(met.join(about, "cls"), least, percent, trees))
+        if last:
             break
-        picks = [trees + 2 * (level * branch + k) % (SKETCH - trees) for k in range(branch)]
-        children = large.select("cls", "label", F.explode(F.array(*[F.xxhash64("node", token(k), token(k + 1)) for k in picks])).alias("node"))
-        live = _mixed(children.select("node", "cls", "label"))
-        now = written(live.join(classes.select("cls", "sketch", "n_shingles"), "cls"), "mixed")
-    else:
-        large = now.where("false")
-    found.append(_blocks(now.where(F.col("n") > small), small, least, percent))
-    pairs = found[0]
+        # Children of a tree's nodes are named by further tokens, chosen for the tree.
+        child = None
+        for t in range(trees):
+            names = [F.xxhash64("node", *[slot(int(k)) for k in np.sort(rng.choice(np.arange(trees, SKETCH), tokens, replace=False))]) for _ in range(branch)]
+            child = F.when(F.col("tree") == t, F.array(*names)) if child is None else child.when(F.col("tree") == t, F.array(*names))
+        children = large.join(sketches, "cls").select("cls", "tree", "label", F.explode(child).alias("node"))
+        now = written(_mixed(children), "mixed")
+    alike = found[0]
     for more in found[1:]:
-        pairs = pairs.union(more)
-    links = links.union(confirmed(written(pairs.distinct(), "pairs")))
+        alike = alike.union(more)
+    groups = alike.join(sets, "cls").groupBy("node", "part").agg(F.collect_list(F.struct("cls", "label", "vals")).alias("members")).select("members")
+    links = links.union(written(groups.mapInArrow(_joined(percent), "a binary, b binary"), "confirmed"))
 
     named = components(links).withColumnsRenamed({"node": "cls"})
     least_id = named.join(classes.select("cls", "doc_id"), "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -203,16 +284,14 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(nodes.select("node", "n"), "node")
 
 
-def _compare(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Every pair within nodes of a bounded size."""
-    lists = members.groupBy("node", "part").agg(F.collect_list(F.struct("cls", "label", "sketch", "n_shingles")).alias("members")).select("members")
-    return lists.mapInArrow(_alike(least, percent), "a binary, b binary").distinct()
+def _compare(members: DataFrame, least: float, percent: int, trees: int) -> DataFrame:
+    """Members of groups of a bounded size whose sketches agree with another's."""
+    lists = members.groupBy("node", "part", "tree", "level").agg(F.collect_list(F.struct("cls", "label", "sketch", "n_shingles", "small")).alias("members"))
+    return written(lists.mapInArrow(_alike(least, percent, trees), "node long, part int, cls binary, label binary"), "alike")
 
 
-def _blocks(members: DataFrame, small: int, least: float, percent: int) -> DataFrame:
-    """The pairs of nodes of any size: members are dealt over blocks, and each two blocks meet in one group of at most about 2 * small."""
-    count = F.ceil(F.col("n") / F.lit(small)).cast("int")
-    dealt = members.withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
+def _blocks(members: DataFrame, small: int) -> DataFrame:
+    """Nodes of any size: members are dealt over blocks, and each two blocks meet in one group of at most about 2 * small."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(small)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    return _compare(met, least, percent)
+    return met.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).drop("blocks", "own", "other")
