@@ -14,13 +14,13 @@ when ``100 * |A & B| >= percent * |A | B|`` on the full sets.
    are confirmed on full sets; the links give components, and a node all of
    whose classes are in one component is done.  Groups of thousands of near
    copies vanish here without their pairs being listed.
-4. In the nodes left, small ones are compared exhaustively between components.
-   Large ones branch: each class goes to ``branch`` children of its node, each
-   named by ``tokens`` further minwise tokens of its own, so documents that only
-   share a passage part: a pair at 0.85 shares a child with probability 0.85 in
-   each tree, one at 0.7 with 0.39.  ``depth`` counts the levels.  Nodes still
-   large at the end are dealt over blocks that meet two by two, so no pair is
-   dropped for the size of its node.
+4. Nodes of at most ``most`` classes are compared exhaustively between
+   components, in blocks of ``block`` that meet two by two.  Larger ones branch:
+   each class goes to ``branch`` children of its node, each named by ``tokens``
+   further minwise tokens of its own, so documents that only share a passage
+   part: a pair at 0.85 shares a child with probability 0.85 in each tree, one at
+   0.7 with 0.39.  ``depth`` counts the levels; nodes still large at the end are
+   compared in blocks like the others, so no pair is dropped for its node's size.
 5. The classes of a group whose sketches agree come together with their full
    sets; one product of their incidence matrix counts what all pairs share, and
    the group sends on the links that hold its components together: fewer than
@@ -99,8 +99,8 @@ def _confirm(percent: int):
 def _alike(least: float, percent: int, trees: int):
     """(node, part, tree, level, members) -> (node, part, cls, label): members that resemble one of another label.
 
-    A pair that also meets in a small node of the first level in an earlier tree
-    is left to that node.
+    A pair that also meets in a node of the first level that is compared whole, in
+    an earlier tree, is left to that node.
     """
 
     def run(batches):
@@ -203,7 +203,7 @@ def _agree(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, small: int = 128, depth: int = 4, branch: int = 4, tokens: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 256, most: int = 2048, depth: int = 4, branch: int = 4, tokens: int = 6) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept`` (see the module's text)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -242,18 +242,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Nodes in which more than one component is left, and in which trees a class is in a small one.
     now = members.select("node", "tree", "cls").join(labels, "cls", "left").select("node", "tree", "cls", F.coalesce("label", "cls").alias("label"))
     now = written(_mixed(now), "mixed")
-    marks = now.where(F.col("n") <= small).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("small"))
+    marks = now.where(F.col("n") <= most).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("small"))
     about = written(now.select("cls").distinct().join(classes.select("cls", "sketch", "n_shingles"), "cls").join(marks, "cls", "left").withColumn("small", F.coalesce("small", F.lit(0).cast("long"))), "about")
 
     rng = np.random.Generator(np.random.PCG64(5))
     found = []
     for level in range(depth):
         now = now.withColumn("level", F.lit(level))
-        met = now.where(F.col("n") <= small).withColumn("part", F.lit(0))
-        large = now.where(F.col("n") > small)
+        large = now.where(F.col("n") > most)
         last = level == depth - 1 or is_empty(large)
-        if last:
-            met = met.unionByName(_blocks(large, small))
+        met = _blocks(now if last else now.where(F.col("n") <= most), block)
         found.append(_compare(met.join(about, "cls"), least, percent, trees))
         if last:
             break
@@ -290,8 +288,8 @@ def _compare(members: DataFrame, least: float, percent: int, trees: int) -> Data
     return written(lists.mapInArrow(_alike(least, percent, trees), "node long, part int, cls binary, label binary"), "alike")
 
 
-def _blocks(members: DataFrame, small: int) -> DataFrame:
-    """Nodes of any size: members are dealt over blocks, and each two blocks meet in one group of at most about 2 * small."""
-    dealt = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(small)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """Nodes of any size: members are dealt over blocks, and each two blocks meet in one group of about 2 * block at most."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).drop("blocks", "own", "other")

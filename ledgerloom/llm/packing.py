@@ -38,7 +38,8 @@ END_ID = 2
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: Chunks that the tokenizer cuts into a run of letters and runs of marks, whatever stands beside them.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,!?;:%$#&*|()\"/+=<>@_-]*)")
-_MOST_KEPT = 400_000
+_MOST_KEPT = 700_000
+_TEXTS_AT_ONCE = 256
 
 
 class Encoder:
@@ -52,39 +53,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _part(self, text: str) -> bytes:
-        ids = self.parts.get(text)
-        if ids is None:
-            ids = self.parts[text] = self._ids(text) if text else b""
-        return ids
-
-    def _learn(self, chunk: str) -> bytes:
-        plain = _PLAIN.fullmatch(chunk)
-        if plain:
-            ids = self._part((plain[1] or "").lower()) + self._part(plain[2])
-        else:
-            ids = self._ids(chunk)
-        self.known[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._ids(text)
-        known, chunks = self.known, _SPACES.split(text)
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > _MOST_KEPT or len(self.parts) > _MOST_KEPT:
-                known.clear()
-                self.parts.clear()
-            learn = self._learn
-            return b"".join([known[c] if c in known else learn(c) for c in chunks])
+    def learn(self, chunks: set[str]) -> None:
+        """Look up what is new in one call; a chunk of plain letters and marks is made of its parts."""
+        if len(self.known) > _MOST_KEPT or len(self.parts) > _MOST_KEPT:
+            self.known.clear()
+            self.parts.clear()
+        plain, new = {}, set()
+        for chunk in chunks:
+            cut = _PLAIN.fullmatch(chunk)
+            if cut:
+                plain[chunk] = ((cut[1] or "").lower(), cut[2])
+                new.update(plain[chunk])
+            else:
+                new.add(chunk)
+        new = [x for x in new if x not in self.parts]
+        for text, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts[text] = np.array(found.ids, dtype="<u4").tobytes()
+        parts = self.parts
+        for chunk in chunks:
+            cut = plain.get(chunk)
+            self.known[chunk] = parts[cut[0]] + parts[cut[1]] if cut else parts[chunk]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [_SPACES.split(t) for t in texts]
+        new = set().union(*split).difference(self.known) if split else set()
+        if new:
+            self.learn(new)
+            forgotten = set().union(*split).difference(self.known)  # if learning cleared what was known
+            if forgotten:
+                self.learn(forgotten)
+        known = self.known
+        return [self._ids(t) if "<|" in t else b"".join([known[c] for c in chunks]) for t, chunks in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -97,10 +102,11 @@ def _pieces(path: str, length: int):
         enc = encoder(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             row, starts, lengths, sums, tokens = [], [], [], [], []
-            for k in range(batch.num_rows):
-                ids = enc.encode(texts[k].as_py() or "") + end
+            encoded = (x for k in range(0, len(texts), _TEXTS_AT_ONCE) for x in enc.encode(texts[k : k + _TEXTS_AT_ONCE]))
+            for k, ids in enumerate(encoded):
+                ids += end
                 total = len(ids) // 4
                 for at in range(0, total, length):
                     piece = ids[4 * at : 4 * (at + length)]
