@@ -1,14 +1,618 @@
-"""Name -> query and, where SQL can say the same, its oracle."""
+"""Name -> query and, where SQL can say the same, its oracle in DuckDB SQL."""
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries() -> dict:
+from .functions import text as T
+from .operators import chunking, evaluation, grounding, report, retrieval, rules, trace
+from .plans import gates, views
+from .sources import ingest
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__.lstrip("_")] = f
+        if oracle is not None:
+            _ORACLES[f.__name__.lstrip("_")] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+# ---------------------------------------------------------------- risk rules
+
+_N = "TIMESTAMP '2001-12-01 12:00:00'"
+ISSUES = f"""
+WITH i AS (SELECT o_orderkey AS ok, 'ORD-' || o_orderkey AS key, c_mktsegment AS project_key,
+  CASE o_orderstatus WHEN 'O' THEN 'in_progress' WHEN 'P' THEN 'todo' WHEN 'F' THEN 'done' END AS category,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'Blocked' WHEN o_orderpriority LIKE '2%' THEN ' On  Hold ' ELSE 'In Progress' END AS status_name,
+  CASE WHEN o_custkey % 7 <> 0 THEN 'user-' || o_custkey END AS assignee, CASE WHEN o_orderkey % 5 >= 2 THEN 'R' || o_orderkey % 3 END AS release,
+  {_N} - to_days((o_orderkey % 60)::INT) - to_hours((o_custkey % 24)::INT) AS created,
+  CASE WHEN o_orderkey % 4 <> 0 THEN date_trunc('day', {_N} + to_days((o_orderkey % 41 - 20)::INT))::TIMESTAMP + INTERVAL '23 hours 59 minutes 59 seconds' END AS due
+  FROM orders JOIN customer ON c_custkey = o_custkey),
+l AS (SELECT l_orderkey AS ok, l_linenumber AS ln, {_N} - to_days((l_partkey % 60)::INT) - to_hours((l_suppkey % 24)::INT) AS moment, l_returnflag AS rf, l_linestatus AS ls, 'ORD-' || (l_partkey * 10) AS target,
+  CASE t.o_orderstatus WHEN 'O' THEN 'in_progress' WHEN 'P' THEN 'todo' WHEN 'F' THEN 'done' END AS tcat, l_partkey AS pk
+  FROM lineitem LEFT JOIN orders t ON t.o_orderkey = l_partkey * 10),
+s AS (SELECT ok, count(*) AS moves, arg_max(ln, ln) AS last FROM l WHERE rf = 'R' GROUP BY ok),
+a AS (SELECT i.key, greatest(any_value(created), coalesce(max(moment) FILTER (WHERE (ln <= 3) AND moment >= created), any_value(created)), coalesce(max(created + to_minutes(ln)) FILTER (WHERE rf = 'R'), any_value(created))) AS last
+  FROM i LEFT JOIN l USING (ok) GROUP BY i.key),
+u AS (SELECT ok, target, tcat, ls = 'O' AS blocking FROM l WHERE rf IN ('A', 'R') AND tcat IS DISTINCT FROM 'done'),
+ub AS (SELECT ok, bool_or(blocking) AS any_blocking FROM u GROUP BY ok),
+ur AS (SELECT ok, any_blocking, target, tcat, row_number() OVER (PARTITION BY ok ORDER BY target, tcat) AS r FROM u JOIN ub USING (ok) WHERE blocking OR NOT any_blocking),
+b AS (SELECT ok, any_value(any_blocking) AS any_blocking, count(*) AS n, string_agg(target || ' (' || coalesce(tcat, 'status unknown') || ')', ', ' ORDER BY r) FILTER (WHERE r <= 5) AS names FROM ur GROUP BY ok)"""
+FINDINGS = (
+    ISSUES
+    + f""",
+f AS (
+SELECT key, project_key, 0 AS o, 'stale_in_progress' AS rule_id, CASE WHEN d >= 14 THEN 'high' ELSE 'medium' END AS level,
+  status_name || ' with no comments, transitions, or updates for ' || d || ' days (assignee: ' || coalesce(assignee, 'unassigned') || ').' AS detail, 1 AS n
+  FROM (SELECT i.*, date_sub('day', a.last, {_N}) AS d FROM i JOIN a USING (key)) WHERE category = 'in_progress' AND d >= 7
+UNION ALL SELECT key, project_key, 1, 'missing_target_release', 'medium', 'No Target Release set — this issue is excluded from delivery-date reporting and its slip risk cannot be assessed.', 1 FROM i WHERE category <> 'done' AND release IS NULL
+UNION ALL SELECT key, project_key, 2, 'sprint_carryover', 'high', 'Carried over ' || moves || ' times between sprints (currently: Sprint ' || s.last || ').', 1 FROM i JOIN s USING (ok) WHERE moves >= 2
+UNION ALL SELECT key, project_key, 3, 'overdue', 'high', 'Past due date by ' || date_sub('day', due, {_N}) || ' days.', 1 FROM i WHERE category <> 'done' AND due < {_N}
+UNION ALL SELECT key, project_key, 4, 'blocked_dependency', CASE WHEN any_blocking THEN 'high' ELSE 'medium' END, CASE WHEN any_blocking THEN 'Blocked by ' ELSE 'Linked to ' END || b.n || CASE WHEN b.n = 1 THEN ' unresolved issue: ' ELSE ' unresolved issues: ' END || names || CASE WHEN b.n > 5 THEN ', +' || (b.n - 5) || ' more' ELSE '' END || '.', 1 + b.n FROM i JOIN b USING (ok) WHERE category <> 'done'
+UNION ALL SELECT key, project_key, 5, 'blocked_status', 'medium', 'Status is ''' || status_name || ''', but no blocking issue is linked — so what it is waiting on is not recorded anywhere, and the dependency cannot be chased or dated.', 1
+  FROM i WHERE category <> 'done' AND lower(trim(regexp_replace(status_name, '\\s+', ' ', 'g'))) IN ('blocked', 'on hold') AND NOT EXISTS (SELECT 1 FROM u WHERE u.ok = i.ok AND blocking))"""
+)
+
+
+def _findings(spark, sf_dir):
+    return rules.evaluate(views.issues(spark, sf_dir), rules.RiskConfig(), views.now())
+
+
+def _flat(findings):
+    return findings.select("issue_key", "rule_id", "level", "detail", F.size("citations").cast("long").alias("n_citations"))
+
+
+@_query(FINDINGS + " SELECT key AS issue_key, rule_id, level, detail, n::BIGINT AS n_citations FROM f")
+def risk_findings(spark, sf_dir):
+    return _flat(_findings(spark, sf_dir))
+
+
+def _one_rule(rule):
+    def run(spark, sf_dir):
+        return _flat(rules.evaluate(views.issues(spark, sf_dir), rules.RiskConfig(), views.now(), (rule,)))
+
+    return run
+
+
+for _name, _rule in (("risk_stale", rules.stale_in_progress), ("risk_missing_release", rules.missing_target_release), ("risk_sprint_carryover", rules.sprint_carryover), ("risk_overdue", rules.overdue), ("risk_blocked_dependency", rules.blocked_dependency), ("risk_blocked_status", rules.blocked_status)):
+    _QUERIES[_name] = _one_rule(_rule)
+    _ORACLES[_name] = FINDINGS + f" SELECT key AS issue_key, rule_id, level, detail, n::BIGINT AS n_citations FROM f WHERE rule_id = '{_rule.__name__}'"
+
+
+@_query(ISSUES + " SELECT key AS issue_key, epoch(a.last)::BIGINT AS last_activity FROM a")
+def issue_last_activity(spark, sf_dir):
+    return views.issues(spark, sf_dir).select(F.col("key").alias("issue_key"), F.unix_seconds(rules.last_activity()).alias("last_activity"))
+
+
+@_query(ISSUES + " SELECT i.key AS issue_key, 'Sprint ' || s.last AS sprint FROM i LEFT JOIN s USING (ok)")
+def issue_current_sprint(spark, sf_dir):
+    return views.issues(spark, sf_dir).select(F.col("key").alias("issue_key"), F.col("sprint_name").alias("sprint"))
+
+
+@_query(ISSUES + r" SELECT lower(trim(regexp_replace(status_name, '\s+', ' ', 'g'))) AS status, count(*) AS n FROM i GROUP BY 1")
+def status_normalize(spark, sf_dir):
+    return views.issues(spark, sf_dir).groupBy(rules.normal_status(F.col("status_name")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(ISSUES + " SELECT i.key AS issue_key FROM i WHERE EXISTS (SELECT 1 FROM l WHERE l.ok = i.ok AND ls = 'O') OR EXISTS (SELECT 1 FROM l WHERE l.ok = i.ok AND ln = 3 AND moment >= created)")
+def blocker_candidates(spark, sf_dir):
+    return views.issues(spark, sf_dir).where(F.exists("links", lambda x: x["target_blocks_this"]) | (F.size("comments") > 0)).select(F.col("key").alias("issue_key"))
+
+
+# -------------------------------------------------------------------- report
+
+
+@_query(FINDINGS + " SELECT level, count(*) AS findings, count(DISTINCT key) AS issues, CASE level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS level_rank FROM f GROUP BY level")
+def report_by_level(spark, sf_dir):
+    return report.by_level(_findings(spark, sf_dir))
+
+
+@_query(FINDINGS + " SELECT rule_id, count(*) AS findings FROM f GROUP BY rule_id")
+def report_rule_counts(spark, sf_dir):
+    return report.rule_counts(_findings(spark, sf_dir))
+
+
+@_query(FINDINGS + " SELECT v.level, count(f.key) AS findings FROM (VALUES ('high'), ('medium'), ('low')) v(level) LEFT JOIN f ON f.level = v.level GROUP BY v.level")
+def report_level_zero_fill(spark, sf_dir):
+    return report.level_counts(_findings(spark, sf_dir))
+
+
+@_query(FINDINGS + " SELECT key AS issue_key, rule_id, level FROM f ORDER BY CASE level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, key, o LIMIT 1")
+def top_risk_issue(spark, sf_dir):
+    return report.worst(_findings(spark, sf_dir))
+
+
+@_query(FINDINGS + " SELECT key AS issue_key FROM i WHERE key NOT IN (SELECT key FROM f)")
+def issues_without_findings(spark, sf_dir):
+    issues = views.issues(spark, sf_dir)
+    return report.without_findings(issues, _findings(spark, sf_dir)).select(F.col("key").alias("issue_key"))
+
+
+@_query(FINDINGS + " SELECT key AS issue_key, rule_id, level, detail, n::BIGINT AS n_citations FROM f WHERE level = 'high'")
+def findings_filter(spark, sf_dir):
+    return _flat(report.select_findings(_findings(spark, sf_dir), level=" HIGH "))
+
+
+@_query(FINDINGS + " SELECT i.project_key, count(*) AS issues, any_value(c.n) AS findings FROM i JOIN (SELECT p.project_key, count(f.key) AS n FROM (SELECT DISTINCT project_key FROM i) p LEFT JOIN f USING (project_key) GROUP BY 1) c USING (project_key) GROUP BY 1")
+def project_coverage(spark, sf_dir):
+    return report.coverage(_findings(spark, sf_dir), views.issues(spark, sf_dir))
+
+
+@_query(FINDINGS + " SELECT key AS issue_key, string_agg('[' || upper(level) || '] ' || key || ' (' || rule_id || '): ' || detail, chr(10) ORDER BY o) AS text FROM f GROUP BY key")
+def findings_text(spark, sf_dir):
+    return report.findings_text(_findings(spark, sf_dir))
+
+
+@_query("SELECT c_mktsegment AS project_key, CASE WHEN count(*) FILTER (WHERE c_acctbal < -900) > 0 THEN 'partial' ELSE 'complete' END AS status, CASE WHEN count(*) FILTER (WHERE c_acctbal < -900) > 0 THEN arg_min(CASE WHEN c_custkey % 2 = 0 THEN 'rate_limited' ELSE 'timeout' END, c_custkey) FILTER (WHERE c_acctbal < -900) END AS reason FROM customer GROUP BY 1")
+def completeness_gate(spark, sf_dir):
+    c = views.read(spark, sf_dir, "customer")
+    projects = c.select(F.col("c_mktsegment").alias("project_key")).distinct()
+    gaps = c.where("c_acctbal < -900").select(F.col("c_mktsegment").alias("scope"), F.when(F.col("c_custkey") % 2 == 0, "rate_limited").otherwise("timeout").alias("reason"), F.col("c_custkey").alias("seq"))
+    return gates.project_status(projects, projects, gaps)
+
+
+# --------------------------------------------------------------------- trace
+
+SPANS = """
+WITH p AS (SELECT user_id::VARCHAR AS trace_id, event_id, event_id::VARCHAR AS span_id, CASE WHEN event_id % 3 <> 0 THEN (lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id))::VARCHAR END AS parent_id, event_type AS kind, ts AS s,
+  CASE WHEN event_id % 50 <> 0 THEN ts + to_seconds(floor(value * 600)::BIGINT) END AS e, (props->>'$.k')::BIGINT AS tin, 2 * (props->>'$.k')::BIGINT AS tout, event_id % 4 AS m, CASE WHEN event_id % 97 = 0 THEN 'failed' ELSE '' END AS error FROM events),
+d AS (SELECT *, coalesce((epoch_us(e) - epoch_us(s)) / 1000.0, 0)::DOUBLE AS ms, CASE m WHEN 0 THEN (tin * 15.0 + tout * 75.0) / 1000000 WHEN 2 THEN (tin * 0.8 + tout * 4.0) / 1000000 ELSE (tin * 3.0 + tout * 15.0) / 1000000 END::DOUBLE AS cost FROM p),
+k AS (SELECT trace_id, parent_id AS span_id, sum(ms) AS kids FROM d WHERE parent_id IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT d.*, greatest(0, ms - coalesce(kids, 0)) AS self FROM d LEFT JOIN k USING (trace_id, span_id)),
+g AS (SELECT trace_id, kind, s, coalesce(e, s) AS e, max(coalesce(e, s)) OVER (PARTITION BY trace_id, kind ORDER BY s, coalesce(e, s) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM p),
+h AS (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, kind ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM g),
+o AS (SELECT trace_id, kind, sum(ms) AS occ FROM (SELECT trace_id, kind, isl, (epoch_us(max(e)) - epoch_us(min(s))) / 1000.0 AS ms FROM h GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+def _spans(spark, sf_dir):
+    return views.spans(spark, sf_dir)
+
+
+@_query(SPANS + " SELECT span_id, round(ms, 3) AS duration_ms, round(self, 3) AS self_ms FROM t")
+def span_self_time(spark, sf_dir):
+    return trace.self_time(_spans(spark, sf_dir)).select("span_id", F.round("duration_ms", 3).alias("duration_ms"), F.round("self_ms", 3).alias("self_ms"))
+
+
+@_query(SPANS + " SELECT trace_id, kind, round(occ, 3) AS occupancy_ms FROM o")
+def span_occupancy(spark, sf_dir):
+    return trace.occupancy(_spans(spark, sf_dir), ["trace_id", "kind"]).withColumn("occupancy_ms", F.round("occupancy_ms", 3))
+
+
+@_query(SPANS + " SELECT trace_id, kind, round(coalesce(sum(ms) / nullif(any_value(occ), 0), 0), 6) AS concurrency FROM t JOIN o USING (trace_id, kind) GROUP BY 1, 2")
+def span_concurrency(spark, sf_dir):
+    return trace.by_kind(_spans(spark, sf_dir)).select("trace_id", "kind", F.round("concurrency", 6).alias("concurrency"))
+
+
+@_query(SPANS + " SELECT trace_id, kind, count(*) AS spans, round(sum(ms), 3) AS total_ms, round(sum(self), 3) AS self_ms, round(sum(cost), 6) AS cost_usd, sum(tin + tout)::BIGINT AS tokens, round(any_value(occ), 3) AS occupancy_ms FROM t JOIN o USING (trace_id, kind) GROUP BY 1, 2")
+def span_by_kind(spark, sf_dir):
+    k = trace.by_kind(_spans(spark, sf_dir))
+    return k.select("trace_id", "kind", "spans", F.round("total_ms", 3).alias("total_ms"), F.round("self_ms", 3).alias("self_ms"), F.round("cost_usd", 6).alias("cost_usd"), "tokens", F.round("occupancy_ms", 3).alias("occupancy_ms"))
+
+
+@_query(SPANS + " SELECT trace_id, round(coalesce(max(ms) FILTER (WHERE parent_id IS NULL), 0), 3) AS wall_ms, round(sum(cost), 6) AS cost_usd, sum(tin)::BIGINT AS input_tokens, sum(tout)::BIGINT AS output_tokens FROM d GROUP BY 1")
+def trace_wall_time(spark, sf_dir):
+    return trace.totals(_spans(spark, sf_dir)).select("trace_id", F.round("wall_ms", 3).alias("wall_ms"), F.round("cost_usd", 6).alias("cost_usd"), "input_tokens", "output_tokens")
+
+
+@_query(SPANS + " SELECT CASE m WHEN 0 THEN 'large-1' WHEN 1 THEN 'medium-1' WHEN 2 THEN 'small-1' ELSE 'other' END AS model, count(*) AS spans, round(sum(cost), 6) AS cost_usd FROM d GROUP BY 1")
+def trace_cost_by_model(spark, sf_dir):
+    return trace.with_durations(_spans(spark, sf_dir)).groupBy("model").agg(F.count(F.lit(1)).alias("spans"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
+@_query(SPANS + ", r AS (SELECT kind, ms, row_number() OVER (PARTITION BY kind ORDER BY ms) - 1 AS r, count(*) OVER (PARTITION BY kind) AS n FROM d) SELECT kind, max(n) AS n, round(avg(ms), 3) AS mean, max(ms) FILTER (WHERE r = least(floor(n * 0.5), n - 1)) AS p50, max(ms) FILTER (WHERE r = least(floor(n * 0.95), n - 1)) AS p95, max(ms) AS max FROM r GROUP BY 1")
+def trace_percentiles(spark, sf_dir):
+    return trace.index_percentiles(trace.with_durations(_spans(spark, sf_dir)), ["kind"], "duration_ms").withColumn("mean", F.round("mean", 3))
+
+
+@_query(SPANS + " SELECT span_id, kind, ms AS duration_ms FROM d ORDER BY ms DESC, span_id LIMIT 5")
+def slowest_spans(spark, sf_dir):
+    return trace.slowest(_spans(spark, sf_dir)).select("span_id", "kind", "duration_ms")
+
+
+@_query(SPANS + " SELECT trace_id, count(*) FILTER (WHERE error <> '') AS errors FROM d GROUP BY 1")
+def trace_errors(spark, sf_dir):
+    return trace.totals(_spans(spark, sf_dir)).select("trace_id", "errors")
+
+
+@_query()
+def trace_export(spark, sf_dir):
+    return trace.export_json(_spans(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- retrieval
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+def _tok(text):
+    return f"list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z0-9][A-Za-z0-9._-]*'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP}))"
+
+
+CHUNKS = """
+WITH ch AS (SELECT doc_id * 100000 + p - 1 AS ord, doc_id || '#' || (p - 1) AS chunk_id, l[p] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS p) WHERE length(l[p]) > 0)"""
+BM25 = (
+    CHUNKS
+    + f""",
+tk AS (SELECT ord, {_tok('text')} AS t FROM ch), ln AS (SELECT ord, len(t) AS len FROM tk),
+po AS (SELECT ord, term, count(*) AS tf FROM (SELECT ord, unnest(t) AS term FROM tk) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+st AS (SELECT count(*) AS n, CASE WHEN avg(len) > 0 THEN avg(len) ELSE 1 END AS av FROM ln),
+q AS (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark WHERE item_id < 8),
+bm AS (SELECT query_id, ord, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))) AS score FROM q JOIN po USING (term) JOIN df USING (term) JOIN ln USING (ord), st GROUP BY 1, 2),
+kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM bm) WHERE rank < 30)"""
+)
+
+
+@_query(CHUNKS + f" SELECT chunk_id, len({_tok('text')})::INT AS n_tokens FROM ch")
+def tokenize_counts(spark, sf_dir):
+    return views.chunks(spark, sf_dir).select("chunk_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+
+
+@_query(CHUNKS + f" SELECT term, count(DISTINCT ord) AS df FROM (SELECT ord, unnest({_tok('text')}) AS term FROM ch) GROUP BY 1")
+def doc_frequency(spark, sf_dir):
+    return retrieval.document_frequency(retrieval.postings(views.chunks(spark, sf_dir)))
+
+
+@_query(BM25 + " SELECT query_id, ord, rank::INT AS rank, round(score, 6) AS score FROM kr WHERE rank < 10")
+def bm25_topk(spark, sf_dir):
+    return retrieval.ranked(retrieval.bm25(views.chunks(spark, sf_dir), views.questions(spark, sf_dir)), 10, digits=9).withColumn("score", F.round("score", 6))
+
+
+_COS = "WITH v AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS vector FROM embeddings), s AS (SELECT a.ord AS query_id, b.ord AS ord, list_cosine_similarity(a.vector, b.vector) AS score FROM v a, v b WHERE a.ord < 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM s)"
+
+
+@_query(_COS + " SELECT query_id, ord, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank < 10")
+def cosine_topk(spark, sf_dir):
+    v = views.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    q = v.where("ord < 10").withColumnRenamed("ord", "query_id")
+    return retrieval.ranked(retrieval.vector_scores(v, q), 10, digits=9).withColumn("score", F.round("score", 6))
+
+
+def _hybrid(spark, sf_dir, **more):
+    c, q = views.chunks(spark, sf_dir), views.questions(spark, sf_dir)
+    return retrieval.hybrid(c.withColumn("vector", T.bag_vector(F.col("text"))), q.withColumn("vector", T.bag_vector(F.col("text"))), **more)
+
+
+# The bag of words knows none of the made-up words, so every cosine is 0 and ranks go by order.
+_RRF = BM25 + ", vr AS (SELECT query_id, ord, rank FROM (SELECT query_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY ord) - 1 AS rank FROM (SELECT DISTINCT item_id AS query_id FROM benchmark WHERE item_id < 8), (SELECT ord FROM ch ORDER BY ord LIMIT 30))), fu AS (SELECT query_id, ord, kr.rank AS kw, vr.rank AS vc, coalesce(1.0 / (60 + kr.rank), 0)::DOUBLE + coalesce(1.0 / (60 + vr.rank), 0)::DOUBLE AS score FROM kr FULL JOIN vr USING (query_id, ord)), po2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, ord) AS position FROM fu)"
+
+
+@_query(_RRF + " SELECT query_id, ord, round(score, 9) AS score, position::INT AS position FROM po2 WHERE position <= 5")
+def rrf_hybrid(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("query_id", "ord", F.round("score", 9).alias("score"), "position")
+
+
+@_query(_RRF + " SELECT query_id, ord, concat_ws(' + ', 'keyword #' || (kw + 1), 'semantic #' || (vc + 1)) AS reason FROM po2 WHERE position <= 5")
+def retrieval_reason(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("query_id", "ord", retrieval.reason(F.col("bm25_rank"), F.col("vector_rank")).alias("reason"))
+
+
+@_query(BM25 + ", b AS (SELECT query_id // 2 AS question_id, query_id % 2 AS sub, ch.chunk_id, round(score, 9) AS score, rank + 1 AS position FROM kr JOIN ch USING (ord) WHERE rank < 5), fu AS (SELECT question_id, chunk_id, sum(1.0 / (59 + position)) AS fused, max(score) AS score FROM b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(fused, 12) DESC, chunk_id) AS position FROM fu) SELECT question_id, chunk_id, score, round(fused, 9) AS fused, position::INT AS position FROM r WHERE position <= 5")
+def multi_query_rrf(spark, sf_dir):
+    c = views.chunks(spark, sf_dir)
+    hits = retrieval.ranked(retrieval.bm25(c, views.questions(spark, sf_dir)), 5, digits=9).join(c.select("ord", "chunk_id"), "ord")
+    hits = hits.select(F.expr("query_id div 2").alias("question_id"), (F.col("query_id") % 2).alias("sub"), "chunk_id", F.round("score", 9).alias("score"), (F.col("rank") + 1).alias("position"))
+    return retrieval.fuse_subqueries(hits).withColumn("fused", F.round("fused", 9))
+
+
+@_query(CHUNKS + f", t AS (SELECT chunk_id, list_transform([{', '.join(repr(v) for v in T.VOCABULARY)}], lambda v: len(list_filter({_tok('text')}, lambda x: x = v))) AS c FROM ch) SELECT chunk_id, round(coalesce(sqrt(list_sum(list_transform(c, lambda x: x * x))) / nullif(sqrt(list_sum(list_transform(c, lambda x: x * x))), 0), 0), 6) AS norm FROM t")
+def bow_embedding(spark, sf_dir):
+    v = views.chunks(spark, sf_dir).select("chunk_id", T.bag_vector(F.col("text")).alias("v"))
+    return v.select("chunk_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+
+
+@_query()
+def decompose_questions(spark, sf_dir):
+    q = views.read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("Who owns "), F.initcap("n_name"), F.lit(" exports and what are the open risks, and when does it ship?")).alias("text"))
+    return q.select("n_nationkey", F.posexplode(retrieval.subqueries(F.col("text"))).alias("sub", "question"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+_CASES = BM25 + """, pg AS (SELECT query_id, list(chunk_id[:strpos(chunk_id, '#') - 1] ORDER BY rank) AS retrieved FROM kr JOIN ch USING (ord) WHERE rank < 5 GROUP BY 1),
+re AS (SELECT item_id, list(doc_id::VARCHAR) AS relevant FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE item_id < 8 GROUP BY 1),
+ca AS (SELECT item_id AS case_id, 'k' || item_id % 3 AS category, coalesce(relevant, []) AS relevant, coalesce(retrieved, []) AS retrieved, list_filter(coalesce(retrieved, []), lambda p: p::BIGINT % 3 = 0) AS bad FROM benchmark LEFT JOIN re USING (item_id) LEFT JOIN pg ON query_id = item_id WHERE item_id < 8),
+cr AS (SELECT *, list_min(list_filter(list_transform(relevant, lambda r: list_position(retrieved, r)), lambda p: p > 0)) AS first FROM ca)"""
+
+
+def _cases(spark, sf_dir):
+    """Benchmark items as cases; relevant are the documents that hold the item's text."""
+    c, q = views.chunks(spark, sf_dir), views.questions(spark, sf_dir)
+    hits = retrieval.ranked(retrieval.bm25(c, q), 5, digits=9).join(c.select("ord", "page_id"), "ord")
+    got = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page_id"))), lambda x: x["page_id"]).alias("retrieved"))  # at most five a query
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    relevant = docs.join(F.broadcast(q), F.contains("body", "text")).groupBy("query_id").agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant"))
+    none = F.array().cast("array<string>")
+    cases = q.join(relevant, "query_id", "left").join(got, "query_id", "left").select(F.col("query_id").alias("case_id"), F.concat(F.lit("k"), (F.col("query_id") % 3).cast("string")).alias("category"), F.coalesce("relevant", none).alias("relevant"), F.coalesce("retrieved", none).alias("retrieved"))
+    return evaluation.case_results(cases.withColumn("forbidden", F.filter("retrieved", lambda p: p.cast("long") % 3 == 0)))
+
+
+@_query(_CASES + " SELECT case_id, first IS NOT NULL AS hit, round(coalesce(1.0 / first, 0)::DOUBLE, 6) AS reciprocal_rank FROM cr")
+def recall_at_k(spark, sf_dir):
+    return _cases(spark, sf_dir).select("case_id", "hit", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@_query(_CASES + " SELECT category, count(*) AS cases, round(avg((first IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM cr GROUP BY GROUPING SETS ((), (category))")
+def recall_by_category(spark, sf_dir):
+    return evaluation.metrics(_cases(spark, sf_dir)).select("category", "cases", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+@_query(_CASES + " SELECT round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM cr")
+def mrr(spark, sf_dir):
+    return evaluation.metrics(_cases(spark, sf_dir)).where("category is null").select(F.round("mrr", 6).alias("mrr"))
+
+
+@_query(_CASES + " SELECT case_id, array_to_string(bad, ',') AS contamination FROM cr WHERE len(bad) > 0")
+def contamination(spark, sf_dir):
+    return _cases(spark, sf_dir).where(F.size("contamination") > 0).select("case_id", F.array_join("contamination", ",").alias("contamination"))
+
+
+@_query(_CASES + " SELECT count(*) FILTER (WHERE len(relevant) = 0 AND len(retrieved) = 0) AS declined, count(*) FILTER (WHERE len(relevant) = 0) AS negatives FROM cr")
+def negatives_declined(spark, sf_dir):
+    return _cases(spark, sf_dir).agg(F.count_if((F.size("relevant") == 0) & (F.size("retrieved") == 0)).alias("declined"), F.count_if(F.size("relevant") == 0).alias("negatives"))
+
+
+# ----------------------------------------------------------------- grounding
+
+ANSWERS = """
+WITH an AS (SELECT conv_id || '-' || turn AS answer_id, CASE WHEN turn % 4 = 3 THEN text WHEN conv_id % 3 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) || n ELSE replace(text, chr(10), n || chr(10) || chr(10)) END AS text
+  FROM (SELECT *, ' [' || (turn % 7 + 1) || ']' AS n FROM conversations WHERE role = 'assistant')),
+pa AS (SELECT answer_id, p - 1 AS par, trim(l[p], chr(10) || ' ') AS unit FROM (SELECT answer_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x, chr(10) || ' ') <> '') AS l FROM an), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS p)),
+un AS (SELECT *, regexp_matches(unit, '\\[\\d+\\]') AS cited, len(list_filter(regexp_split_to_array(unit, '\\s+'), lambda w: w <> '')) AS words FROM pa),
+lt AS (SELECT *, coalesce(bool_or(cited) OVER (PARTITION BY answer_id ORDER BY par ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS later FROM un),
+ex AS (SELECT *, NOT (cited OR (words <= 25 AND later) OR words <= 6 OR rtrim(unit) LIKE '%:') AS uncited FROM lt)"""
+
+
+@_query(ANSWERS + r" SELECT answer_id, c::INT AS citation, count(*) AS times FROM (SELECT answer_id, unnest(regexp_extract_all(text, '\[(\d+)\]', 1)) AS c FROM an) GROUP BY 1, 2")
+def citation_extract(spark, sf_dir):
+    a = views.answers(spark, sf_dir)
+    return a.select("answer_id", F.explode(T.citations(F.col("text"))).alias("citation")).groupBy("answer_id", "citation").agg(F.count(F.lit(1)).alias("times"))
+
+
+@_query(ANSWERS + r" SELECT DISTINCT answer_id, c::INT AS citation FROM (SELECT answer_id, unnest(regexp_extract_all(text, '\[(\d+)\]', 1)) AS c FROM an) WHERE c::INT > 5 OR c::INT < 1")
+def citation_out_of_range(spark, sf_dir):
+    return grounding.check(views.answers(spark, sf_dir)).select("answer_id", F.explode("out_of_range").alias("citation"))
+
+
+@_query(ANSWERS + r" SELECT an.answer_id, coalesce(u, 0) AS uncited_units, coalesce(u, 0) = 0 AND len(list_filter(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: x::INT > 5)) = 0 AS grounded FROM an LEFT JOIN (SELECT answer_id, count(*) FILTER (WHERE uncited) AS u FROM ex GROUP BY 1) USING (answer_id)")
+def paragraph_grounding(spark, sf_dir):
+    return grounding.check(views.answers(spark, sf_dir)).select("answer_id", "uncited_units", "grounded")
+
+
+@_query()
+def sentence_grounding(spark, sf_dir):
+    return grounding.check(views.answers(spark, sf_dir), per_sentence=True).select("answer_id", "uncited_units", "grounded")
+
+
+@_query()
+def extract_claims(spark, sf_dir):
+    return grounding.claims(views.answers(spark, sf_dir)).select("answer_id", "par", "pos", "claim", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"))
+
+
+@_query(ANSWERS + r" SELECT outcome, count(*) AS answers FROM (SELECT an.answer_id, CASE WHEN coalesce(u, 0) = 0 AND len(list_filter(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: x::INT > 5)) = 0 THEN 'answered' ELSE 'failed_grounding_check' END AS outcome FROM an LEFT JOIN (SELECT answer_id, count(*) FILTER (WHERE uncited) AS u FROM ex GROUP BY 1) USING (answer_id)) GROUP BY 1")
+def refusal_taxonomy(spark, sf_dir):
+    return grounding.outcome(grounding.check(views.answers(spark, sf_dir))).groupBy("outcome").agg(F.count(F.lit(1)).alias("answers"))
+
+
+@_query("SELECT item_id, contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(substr(text, 1, 20), '\\s+', ' ', 'g')))) AS whole, item_id % 2 = 0 AS elided FROM benchmark")
+def quote_present(spark, sf_dir):
+    b = views.read(spark, sf_dir, "benchmark")
+    head, tail = F.substring("text", 1, 20), F.substring("text", -12, 12)
+    quote = F.when(F.col("item_id") % 2 == 0, F.concat(F.trim(head), F.lit("... "), F.trim(tail))).otherwise(F.concat(F.trim(tail), F.lit("... "), F.trim(head), F.lit("...zq")))
+    return b.select("item_id", T.quote_present(head, F.col("text")).alias("whole"), T.quote_present(quote, F.col("text")).alias("elided"))
+
+
+@_query("SELECT conv_id, turn, regexp_matches(lower(t), '\\bflag\\b|\\bescalate\\b|\\bcomment\\s+on\\b') AND NOT regexp_matches(lower(t), '^(who|whom|whose|what|which|why|when|where|how)\\b') AS wants FROM (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'Why flag ' WHEN 1 THEN 'Please flag ' WHEN 2 THEN 'Comment on ' ELSE 'flagged ' END || text AS t FROM conversations)")
+def write_intent(spark, sf_dir):
+    c = views.read(spark, sf_dir, "conversations")
+    start = F.when(F.col("conv_id") % 4 == 0, "Why flag ").when(F.col("conv_id") % 4 == 1, "Please flag ").when(F.col("conv_id") % 4 == 2, "Comment on ").otherwise("flagged ")
+    return c.select("conv_id", "turn", T.write_intent(F.concat(start, F.col("text"))).alias("wants"))
+
+
+# ------------------------------------------------------------------- judging
+
+_V = "WITH v AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'supported' WHEN quality = 1 THEN 'overreach' WHEN toxic = 1 THEN 'unsupported' ELSE 'miscited' END AS expected, ['supported', 'overreach', 'miscited', 'unsupported', 'unjudged'][n_chars % 5 + 1] AS got, n_chars FROM labels JOIN documents USING (doc_id))"
+
+
+@_query(_V + " SELECT count(*) AS claims, round(avg((got = 'supported')::INT), 6) AS supported_rate, round(avg((got = 'overreach')::INT), 6) AS overreach_rate, round(avg((got = 'miscited')::INT), 6) AS miscited_rate, round(avg((got = 'unsupported')::INT), 6) AS unsupported_rate, round(avg((got = 'unjudged')::INT), 6) AS unjudged_rate, round(avg((got IN ('supported', 'miscited'))::INT), 6) AS traceable_rate FROM v")
+def verdict_rates(spark, sf_dir):
+    r = evaluation.verdict_rates(views.verdicts(spark, sf_dir))
+    return r.select("claims", *[F.round(c, 6).alias(c) for c in r.columns[1:]])
+
+
+@_query(_V + " SELECT count(*) AS cases, round(avg((expected = got)::INT), 6) AS exact, round(avg(((expected <> 'supported') = (got IN ('overreach', 'miscited', 'unsupported')))::INT), 6) AS detection FROM v")
+def calibration_accuracy(spark, sf_dir):
+    return evaluation.calibration(views.verdicts(spark, sf_dir)).select("cases", F.round("exact", 6).alias("exact"), F.round("detection", 6).alias("detection"))
+
+
+@_query(_V + " SELECT expected, count(*) AS cases, round(avg((expected = got)::INT), 6) AS agreement FROM v GROUP BY 1")
+def calibration_per_expected(spark, sf_dir):
+    return evaluation.calibration_by_label(views.verdicts(spark, sf_dir)).withColumn("agreement", F.round("agreement", 6))
+
+
+@_query(_V + " SELECT doc_id, expected, got FROM v WHERE expected <> 'supported' AND got NOT IN ('overreach', 'miscited', 'unsupported')")
+def dangerous_misses(spark, sf_dir):
+    return evaluation.dangerous_misses(views.verdicts(spark, sf_dir)).select("doc_id", "expected", "got")
+
+
+@_query(_V + " SELECT CASE WHEN got = 'unsupported' AND n_chars % 3 < 2 AND expected = 'supported' THEN 'miscited' ELSE got END AS verdict, count(*) AS claims FROM v GROUP BY 1")
+def miscitation_second_pass(spark, sf_dir):
+    v = views.verdicts(spark, sf_dir)
+    first = v.select(F.col("doc_id").alias("claim_id"), "verdict", (F.col("n_chars") % 3 + 1).alias("cited"), F.lit(3).alias("passages"))
+    second = v.select(F.col("doc_id").alias("claim_id"), F.col("expected").alias("verdict"))
+    return evaluation.second_pass(first, second).groupBy("verdict").agg(F.count(F.lit(1)).alias("claims"))
+
+
+# ---------------------------------------------------------------- regression
+
+
+def _thresholds(spark, sf_dir):
+    """Recorded values for regions 0-2 stand for metrics of the defaults' first keys."""
+    keys = F.array(*[F.lit(k[0]) for k in evaluation.THRESHOLDS])
+    recorded = views.read(spark, sf_dir, "nation").where("n_nationkey < 12").select(F.get(keys, F.col("n_nationkey").cast("int")).alias("k"), "n_nationkey").select(F.coalesce("k", F.concat(F.lit("extra_"), F.col("n_nationkey").cast("string"))).alias("key"), F.lit(None).cast("string").alias("name"), (0.5 + F.col("n_nationkey") * 0.01).alias("baseline"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(0.05)).alias("tolerance"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("boolean").alias("sampled"), F.lit(None).cast("string").alias("note"), F.lit(3).alias("baseline_runs"))
+    return evaluation.overlay(recorded, evaluation.default_thresholds(spark))
+
+
+_D = "WITH d(k, key, baseline, tolerance, direction, sampled) AS (VALUES " + ", ".join(f"({i}, '{t[0]}', {t[2]}::DOUBLE, {t[3]}::DOUBLE, '{t[4]}', {str(t[6]).lower()})" for i, t in enumerate(evaluation.THRESHOLDS)) + "), r AS (SELECT n_nationkey AS k, 0.5::DOUBLE + n_nationkey * 0.01::DOUBLE AS baseline, CASE WHEN n_nationkey % 2 = 0 THEN 0.05::DOUBLE END AS tolerance FROM nation WHERE n_nationkey < 12), t AS (SELECT coalesce(key, 'extra_' || k) AS key, coalesce(r.baseline, d.baseline) AS baseline, coalesce(r.tolerance, d.tolerance, 0) AS tolerance, coalesce(direction, 'higher_is_better') AS direction, coalesce(sampled, false) AS sampled, CASE WHEN r.baseline IS NULL THEN 1 ELSE 3 END AS baseline_runs FROM r FULL JOIN d USING (k)), e AS (SELECT *, CASE WHEN sampled AND baseline_runs > 1 THEN tolerance * sqrt(baseline_runs / 1.0) ELSE tolerance END AS effective FROM t)"
+
+
+@_query(_D + " SELECT key, round(baseline, 6) AS baseline, tolerance, direction, sampled, baseline_runs FROM t")
+def threshold_overlay(spark, sf_dir):
+    return _thresholds(spark, sf_dir).select("key", F.round("baseline", 6).alias("baseline"), "tolerance", "direction", "sampled", "baseline_runs")
+
+
+@_query(_D + " SELECT key, round(effective, 6) AS effective FROM e")
+def effective_tolerance(spark, sf_dir):
+    return _thresholds(spark, sf_dir).select("key", F.round(evaluation.effective_tolerance(F.lit(1)), 6).alias("effective"))
+
+
+@_query(_D + ", o AS (SELECT key, 0.56::DOUBLE AS value FROM t UNION ALL SELECT 'unknown', 1.0) SELECT o.key, CASE WHEN e.key IS NULL THEN 'skipped' WHEN direction = 'higher_is_better' AND value - baseline < -effective OR direction <> 'higher_is_better' AND value - baseline > effective THEN 'regressed' WHEN abs(value - baseline) > effective THEN 'improved' ELSE 'pass' END AS status FROM o LEFT JOIN e USING (key)")
+def threshold_check(spark, sf_dir):
+    t = _thresholds(spark, sf_dir)
+    seen = t.select("key", F.lit(0.56).alias("value")).union(spark.createDataFrame([("unknown", 1.0)], "key string, value double")).withColumn("runs", F.lit(1))
+    return evaluation.check(seen, t).select("key", "status")
+
+
+@_query("SELECT o_orderpriority AS key, min(o_totalprice) AS least, max(o_totalprice) AS greatest, round(max(o_totalprice) - min(o_totalprice), 6) AS swing FROM orders GROUP BY 1")
+def metric_spread(spark, sf_dir):
+    o = views.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), F.col("o_totalprice").alias("value"))
+    return evaluation.spread(o).withColumn("swing", F.round("swing", 6))
+
+
+# -------------------------------------------------------------------- ingest
+
+
+@_query("SELECT o_orderkey, count(l_linenumber) AS changes, count(*) FILTER (WHERE l_returnflag = 'R') AS moves FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def unnest_changelog(spark, sf_dir):
+    i = views.read(spark, sf_dir, "lineitem")
+    item = F.struct(F.when(F.col("l_returnflag") == "R", "Sprint").otherwise("status").alias("field"), F.lit("a").alias("fromString"), F.col("l_linenumber").cast("string").alias("toString"))
+    histories = i.groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("half")).agg(F.collect_list(item).alias("items")).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.lit("2001-01-01T00:00:00.000+0000").alias("created"), F.struct(F.lit("u").alias("accountId")).alias("author"), "items")).alias("h"))
+    c = histories.select(F.col("l_orderkey").alias("o_orderkey"), ingest.changes(F.col("h")).alias("c"))
+    return c.select("o_orderkey", F.size("c").cast("long").alias("changes"), F.size(F.filter("c", lambda x: F.lower(x["field"]) == "sprint")).cast("long").alias("moves"))
+
+
+@_query("SELECT p_type, CASE WHEN lower(p_type) LIKE '%block%' THEN 'blocks' WHEN lower(p_type) LIKE '%depend%' THEN 'depends_on' WHEN lower(p_type) LIKE '%relate%' THEN 'relates_to' WHEN lower(p_type) LIKE '%duplicate%' THEN 'duplicates' WHEN lower(p_type) LIKE '%clone%' THEN 'clones' ELSE replace(lower(trim(p_type)), ' ', '_') END AS kind, count(*) AS n FROM part GROUP BY 1, 2")
+def link_direction(spark, sf_dir):
+    return views.read(spark, sf_dir, "part").groupBy("p_type", ingest.link_type(F.col("p_type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN n_name WHEN 1 THEN n_name WHEN 2 THEN n_name WHEN 3 THEN n_name END AS release FROM nation")
+def target_release_coerce(spark, sf_dir):
+    n = views.read(spark, sf_dir, "nation")
+    k, name = F.col("n_nationkey") % 6, F.col("n_name")
+    raw = F.when(k == 0, F.concat(F.lit('" '), name, F.lit(' "'))).when(k == 1, F.concat(F.lit('{"value": "'), name, F.lit('"}'))).when(k == 2, F.concat(F.lit('[{"name": "'), name, F.lit('"}]'))).when(k == 3, F.concat(F.lit('["'), name, F.lit('", "x"]'))).when(k == 4, "42").otherwise('" "')
+    return n.select("n_nationkey", ingest.release(raw).alias("release"))
+
+
+@_query("SELECT doc_id, sha256('m:document:' || text) AS cache_key FROM documents WHERE sha256('m:document:' || text) NOT IN (SELECT sha256('m:document:' || text) FROM documents WHERE doc_id % 2 = 0)")
+def embedding_cache_misses(spark, sf_dir):
+    d = views.read(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = d.where("doc_id % 2 = 0").select(F.sha2(F.concat_ws(":", F.lit("m"), F.lit("document"), F.col("text")), 256).alias("cache_key"))
+    return ingest.cache_misses(d, cache, "m").select("doc_id", "cache_key")
+
+
+def _payloads(spark, sf_dir):
+    o = views.read(spark, sf_dir, "orders")
+    blank = F.col("o_orderkey") % 10 == 0
+    fields = F.struct(F.lit("s").alias("summary"), F.when(~blank, F.struct(F.lit("P").alias("key"))).alias("project"), F.struct(F.lit("Open").alias("name"), F.struct(F.lit("indeterminate").alias("key")).alias("statusCategory")).alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'").alias("created"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("duedate"), F.struct(F.concat(F.lit("Q"), F.col("o_orderkey") % 4).alias("value")).alias("customfield_1"))
+    return o.select(F.to_json(F.struct(F.concat(F.lit("O-"), F.col("o_orderkey")).alias("key"), fields.alias("fields"))).alias("payload"))
+
+
+@_query("SELECT 'unmappable_issue' AS reason, 'unknown' AS scope, 'O-' || o_orderkey AS detail FROM orders WHERE o_orderkey % 10 = 0")
+def quarantine_rows(spark, sf_dir):
+    return ingest.map_issues(_payloads(spark, sf_dir), "customfield_1")[1]
+
+
+@_query("SELECT 'O-' || o_orderkey AS issue_key, 'in_progress' AS status_category, 'Q' || o_orderkey % 4 AS target_release, epoch(o_orderdate)::BIGINT AS created, epoch(o_orderdate)::BIGINT + 86399 AS due FROM orders WHERE o_orderkey % 10 <> 0")
+def map_issues(spark, sf_dir):
+    i = ingest.map_issues(_payloads(spark, sf_dir), "customfield_1")[0]
+    return i.select(F.col("key").alias("issue_key"), "status_category", "target_release", F.unix_seconds("created_at").alias("created"), F.unix_seconds("due_date").alias("due"))
+
+
+@_query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'permission_denied' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'timeout' ELSE 'upstream_error' END AS reason FROM customer")
+def failure_reasons(spark, sf_dir):
+    texts = F.array(F.lit("HTTP 403 on search"), F.lit("could not generate"), F.lit("it timed out"), F.lit("bad gateway"))
+    return views.read(spark, sf_dir, "customer").select("c_custkey", ingest.failure_reason(F.get(texts, (F.col("c_custkey") % 4).cast("int"))).alias("reason"))
+
+
+# ------------------------------------------------------------ html and chunks
+
+
+@_query()
+def html_sections(spark, sf_dir):
+    s = ingest.page_sections(views.read(spark, sf_dir, "pages"))
+    return s.select("page_id", F.posexplode("sections").alias("ordinal", "s")).select("page_id", "ordinal", "s.heading", "s.level", "s.text")
+
+
+@_query()
+def chunk_pages(spark, sf_dir):
+    c = chunking.chunk_pages(ingest.page_sections(views.read(spark, sf_dir, "pages")))
+    return c.select("chunk_id", "page_id", chunking.label(F.col("page_title"), F.col("heading_path"), F.col("end_heading")).alias("label"), "text")
+
+
+@_query()
+def split_oversized(spark, sf_dir):
+    d = views.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"), F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.lit(0).alias("level"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))).alias("sections"))
+    return chunking.chunk_pages(d).select("chunk_id", "page_id", "text")
+
+
+@_query("SELECT o_orderkey, 'order ' || o_orderkey || ' is ' || o_orderstatus AS text FROM orders")
+def adf_flatten(spark, sf_dir):
+    o = views.read(spark, sf_dir, "orders")
+    node = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+    par = lambda *t: F.struct(F.lit("paragraph").alias("type"), F.array(*t).alias("content"))
+    doc = F.to_json(F.struct(F.lit("doc").alias("type"), F.array(par(node(F.lit("order")), node(F.col("o_orderkey").cast("string"))), par(node(F.lit("is")), node(F.col("o_orderstatus")))).alias("content")))
+    return o.select("o_orderkey", ingest.flatten_rich_text(doc).alias("text"))
+
+
+# --------------------------------------------------------------- gates and log
+
+
+def _events(spark, sf_dir):
+    e = views.read(spark, sf_dir, "events")
+    act = F.when(F.col("event_id") % 3 == 0, "submitted").when(F.col("event_id") % 3 == 1, "approved").otherwise("rejected")
+    return e.select(F.format_string("prop_%04d", F.col("user_id")).alias("proposal_id"), F.col("event_id").alias("seq"), act.alias("act"), F.concat(F.lit("K-"), F.col("user_id")).alias("issue_key"), F.col("event_type").alias("action_type"))
+
+
+_E = "WITH e AS (SELECT printf('prop_%04d', user_id) AS proposal_id, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'submitted' WHEN 1 THEN 'approved' ELSE 'rejected' END AS act FROM events)"
+
+
+@_query(_E + " SELECT proposal_id, max(seq) AS seq, arg_max(act, seq) AS act FROM e GROUP BY 1")
+def approval_latest_state(spark, sf_dir):
+    return gates.latest_state(_events(spark, sf_dir)).select("proposal_id", "seq", "act")
+
+
+@_query(_E + " SELECT proposal_id, seq, act FROM e ORDER BY seq DESC LIMIT 20")
+def audit_recent(spark, sf_dir):
+    return gates.recent(_events(spark, sf_dir)).select("proposal_id", "seq", "act")
+
+
+@_query(_E + " SELECT proposal_id, false AS written FROM (SELECT proposal_id, arg_max(act, seq) AS act FROM e GROUP BY 1) WHERE act = 'approved'")
+def write_outbox(spark, sf_dir):
+    return gates.outbox(gates.latest_state(_events(spark, sf_dir))).select("proposal_id", "written")
+
+
+@_query("WITH r AS (SELECT ps_key, row_number() OVER (ORDER BY ps_key) AS up, row_number() OVER (ORDER BY ps_key DESC) AS down FROM (SELECT s_suppkey AS ps_key FROM supplier WHERE s_acctbal > 0)) SELECT a.ps_key AS issue, b.ps_key AS blocker FROM r a JOIN r b ON a.up = b.down WHERE a.up < b.up")
+def pair_blockers(spark, sf_dir):
+    """The i-th candidate from the start with the i-th from the end (a generator's fixture: one row a supplier)."""
+    s = views.read(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey")
+    up = s.withColumn("i", F.row_number().over(Window.orderBy("s_suppkey")))
+    n = up.select("i", F.col("s_suppkey").alias("issue"))
+    m = s.withColumn("i", F.row_number().over(Window.orderBy(F.desc("s_suppkey")))).select("i", F.col("s_suppkey").alias("blocker"))
+    return n.join(m, "i").where("issue < blocker").select("issue", "blocker")

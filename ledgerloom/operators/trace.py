@@ -1,0 +1,90 @@
+"""Span analytics: self time, occupancy, costs, percentiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Price per million tokens, by model prefix in order of preference; the last is the default.
+RATES = (("large-", 15.0, 75.0), ("medium-", 3.0, 15.0), ("small-", 0.8, 4.0), ("", 3.0, 15.0))
+
+
+def milliseconds(start: Column, end: Column) -> Column:
+    """0 for a span that has not ended."""
+    return F.coalesce((F.unix_micros(end) - F.unix_micros(start)) / F.lit(1000.0), F.lit(0.0))
+
+
+def cost(rates=RATES) -> Column:
+    """Of a span's tokens, by the first prefix of its model; a null model takes the default."""
+    model = F.coalesce("model", F.lit(""))
+    price = lambda i, o: (F.coalesce("input_tokens", F.lit(0)) * F.lit(i) + F.coalesce("output_tokens", F.lit(0)) * F.lit(o)) / F.lit(1_000_000)
+    out = price(*rates[-1][1:])
+    for prefix, i, o in reversed(rates[:-1]):
+        out = F.when(model.startswith(prefix), price(i, o)).otherwise(out)
+    return out
+
+
+def with_durations(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("duration_ms", milliseconds(F.col("started_at"), F.col("ended_at"))).withColumn("cost_usd", cost())
+
+
+def self_time(spans: DataFrame) -> DataFrame:
+    """Spans with ``self_ms``: their duration without that of their children, at least 0."""
+    spans = with_durations(spans)
+    kids = spans.where("parent_id is not null").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("duration_ms").alias("children_ms"))
+    return spans.join(kids, ["trace_id", "span_id"], "left").withColumn("self_ms", F.greatest(F.lit(0.0), F.col("duration_ms") - F.coalesce("children_ms", F.lit(0.0)))).drop("children_ms")
+
+
+def occupancy(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``occupancy_ms`` of each group: the length of the union of its intervals; touching ones merge."""
+    end = F.coalesce("ended_at", "started_at")
+    w = Window.partitionBy(*keys).orderBy("started_at", "__end")
+    spans = spans.withColumn("__end", end)
+    before = F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("__new", F.when(before.isNull() | (F.col("started_at") > before), 1).otherwise(0))
+    islands = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy(*keys, "__island").agg(F.min("started_at").alias("s"), F.max("__end").alias("e"))
+    return merged.groupBy(*keys).agg(F.sum(milliseconds(F.col("s"), F.col("e"))).alias("occupancy_ms"))
+
+
+def by_kind(spans: DataFrame) -> DataFrame:
+    """Of each trace and kind: count, total, self time, cost, tokens, occupancy and concurrency."""
+    timed = self_time(spans)
+    sums = timed.groupBy("trace_id", "kind").agg(
+        F.count(F.lit(1)).alias("spans"), F.sum("duration_ms").alias("total_ms"), F.sum("self_ms").alias("self_ms"), F.sum("cost_usd").alias("cost_usd"),
+        F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"),
+    )
+    out = sums.join(occupancy(spans, ["trace_id", "kind"]), ["trace_id", "kind"])
+    return out.withColumn("concurrency", F.coalesce(F.try_divide("total_ms", "occupancy_ms"), F.lit(0.0)))
+
+
+def totals(spans: DataFrame) -> DataFrame:
+    """Of each trace: wall time (longest root), cost, tokens and errors."""
+    roots = F.max(F.when(F.col("parent_id").isNull(), F.col("duration_ms")))
+    return with_durations(spans).groupBy("trace_id").agg(
+        F.coalesce(roots, F.lit(0.0)).alias("wall_ms"), F.sum("cost_usd").alias("cost_usd"), F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"),
+        F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"), F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("errors"),
+    )
+
+
+def index_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """mean, percentiles by index ``min(int(n * p), n - 1)`` of the sorted values, and max.
+
+    Ranks come from a window, so a group is sorted (and spilled) by Spark rather than
+    gathered into an array.
+    """
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    at = lambda p: F.max(F.when(F.col("__r") == F.least(F.floor(F.col("__n") * F.lit(p)), F.col("__n") - 1), F.col(value)))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *[at(p).alias(f"p{round(100 * p)}") for p in points], F.max(value).alias("max"))
+
+
+def slowest(spans: DataFrame, n: int = 5) -> DataFrame:
+    return with_durations(spans).orderBy(F.desc("duration_ms"), "span_id").limit(n)
+
+
+def export_json(spans: DataFrame) -> DataFrame:
+    """``span_id, json``: one object a span, values rounded as they are reported."""
+    timed = self_time(spans)
+    shape = F.struct("trace_id", "span_id", "parent_id", "name", "kind", F.bround("duration_ms", 2).alias("duration_ms"), F.bround("self_ms", 2).alias("self_ms"), "input_tokens", "output_tokens", F.bround("cost_usd", 6).alias("cost_usd"), "model", "error")
+    return timed.select("span_id", F.to_json(shape).alias("json"))
