@@ -414,7 +414,7 @@ def refusal_taxonomy(spark, sf_dir):
 def quote_present(spark, sf_dir):
     b = views.read(spark, sf_dir, "benchmark")
     head, tail = F.substring("text", 1, 20), F.substring("text", -12, 12)
-    quote = F.when(F.col("item_id") % 2 == 0, F.concat(F.trim(head), F.lit("... "), F.trim(tail))).otherwise(F.concat(F.trim(tail), F.lit("... "), F.trim(head), F.lit("...zq")))
+    quote = F.when(F.col("item_id") % 2 == 0, F.concat(F.trim(head), F.lit(" ... "), F.trim(tail))).otherwise(F.concat(F.trim(tail), F.lit(" ... "), F.trim(head), F.lit(" ... zq")))
     return b.select("item_id", T.quote_present(head, F.col("text")).alias("whole"), T.quote_present(quote, F.col("text")).alias("elided"))
 
 

@@ -29,11 +29,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def bag_vector(text: Column, vocabulary=VOCABULARY) -> Column:
     """Unit vector of the vocabulary's counts; zeros for a text that holds none of it."""
-    found = tokens(text)
-    times = lambda word: F.size(F.filter(found, lambda t: t == word)).cast("double")
-    counts = F.array(*[times(word) for word in vocabulary])
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
-    return F.transform(counts, lambda c: F.coalesce(F.try_divide(c, norm), F.lit(0.0)))
+    words = F.array(*[F.lit(w) for w in vocabulary])
+    zeros = F.array_repeat(F.lit(0.0), len(vocabulary))
+    add = lambda counts, t: F.when(F.array_contains(words, t), F.zip_with(counts, words, lambda c, w: F.when(w == t, c + 1).otherwise(c))).otherwise(counts)
+    unit = lambda counts: F.transform(counts, lambda c: F.coalesce(F.try_divide(c, F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))), F.lit(0.0)))
+    return F.aggregate(tokens(text), zeros, add, unit)
 
 
 def citations(text: Column) -> Column:
