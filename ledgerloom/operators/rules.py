@@ -136,6 +136,8 @@ def evaluate(issues: DataFrame, cfg: RiskConfig | None = None, now: Column | Non
     Further rules are further callables in ``rules``; their order is the order of findings.
     """
     cfg, now = cfg or RiskConfig(), F.current_timestamp() if now is None else now
-    found = F.array(*[F.when(rule(cfg, now).isNotNull(), F.struct(F.lit(k).alias("rule_ordinal"), rule(cfg, now).alias("f"))) for k, rule in enumerate(rules)])
-    one = issues.select("key", "project_key", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    # The array is a column of its own, so that generated code evaluates what rules share once a row.
+    found = F.array(*[F.struct(F.lit(k).alias("rule_ordinal"), rule(cfg, now).alias("f")) for k, rule in enumerate(rules)])
+    rows = issues.select("key", "project_key", found.alias("found"))
+    one = rows.select("key", "project_key", F.explode(F.filter("found", lambda x: x["f"].isNotNull())).alias("x"))
     return one.select(F.col("key").alias("issue_key"), "project_key", "x.rule_ordinal", "x.f.rule_id", "x.f.level", "x.f.detail", "x.f.citations")
