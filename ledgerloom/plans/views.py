@@ -31,6 +31,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("t"), _category(F.col("o_orderstatus")).alias("target_status_category"))
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
     items = items.withColumn("t", F.col("l_partkey") * 10).join(target, "t", "left")
+    items = items.repartition("l_orderkey")  # plain columns are moved; nested records are built only where they are gathered
     moment = _ago(F.col("l_partkey") % 60, F.col("l_suppkey") % 24)
     kind = F.when(F.col("l_returnflag") == "A", "blocks").when(F.col("l_returnflag") == "R", "depends_on").otherwise("relates_to")
     return items.groupBy("l_orderkey").agg(
