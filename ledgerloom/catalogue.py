@@ -266,7 +266,7 @@ def tokenize_counts(spark, sf_dir):
 
 @_query(CHUNKS + f" SELECT term, count(DISTINCT ord) AS df FROM (SELECT ord, unnest({_tok('text')}) AS term FROM ch) GROUP BY 1")
 def doc_frequency(spark, sf_dir):
-    return retrieval.document_frequency(retrieval.postings(views.chunks(spark, sf_dir)))
+    return retrieval.corpus_document_frequency(views.chunks(spark, sf_dir))
 
 
 @_query(BM25 + " SELECT query_id, ord, rank::INT AS rank, round(score, 6) AS score FROM kr WHERE rank < 10")

@@ -37,6 +37,11 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def corpus_document_frequency(chunks: DataFrame) -> DataFrame:
+    """``term, df`` over whole chunks (one row an ``ord``): terms are made distinct inside their row, so only sums by term are shuffled."""
+    return document_frequency(chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, ord, score`` of chunks that share a term; a repeated query term counts again.
 
