@@ -37,7 +37,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
         (F.length(F.get("l", i)) + F.length(F.get("l", i + 1)) + F.length(F.get("l", i + 2)) > 0).alias("full"),
     )
     windows = lines.select("__id", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - WINDOW), window)).alias("w")).where("w.full").select("__id", "w.pos", "w.h", "w.g")
-    # Least occurrence as two plain numbers, so that the sum by hash stays a hash aggregate.
+    # Least occurrence and count of every window, combined before the shuffle (a sort aggregate, since the least is a struct).
     first = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "pos")).alias("first")).where("n > 1")
     first = first.select("h", "g", F.col("first.__id").alias("__first"), F.col("first.pos").alias("__at"))
     later = windows.join(first, ["h", "g"]).where("__id <> __first or pos <> __at")
