@@ -26,6 +26,9 @@ when ``100 * |A & B| >= percent * |A | B|`` on the full sets.
    the group sends on the links that hold its components together: fewer than
    it has members, whatever the number of its pairs.
 
+Sizes of nodes are written before members are joined with them, so that this join
+shuffles two plain tables and its hot nodes can be split.
+
 Full sets exist only for classes that share a node with another; they are kept
 in a table bucketed by class, so that no later join moves them again.
 
@@ -218,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Nodes of the first level: a member is one class in one tree.
     members = classes.select("cls", F.posexplode(F.array(*[F.xxhash64(F.lit(k), slot(k)) for k in range(trees)])).alias("tree", "node"))
-    nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader")).where("n > 1")
+    nodes = written(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader")).where("n > 1"), "nodes")
     members = written(members.join(nodes, "node").select("node", "tree", "cls", "leader", "n"), "members")
 
     # Full sets of the classes that share any node, bucketed by class.
@@ -279,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _mixed(members: DataFrame) -> DataFrame:
     """Members of the nodes that hold more than one component, with the node's size."""
     nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return members.join(nodes.select("node", "n"), "node")
+    return members.join(written(nodes.select("node", "n"), "nodes"), "node")
 
 
 def _compare(members: DataFrame, least: float, percent: int, trees: int) -> DataFrame:
