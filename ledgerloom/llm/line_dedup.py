@@ -9,7 +9,9 @@ altogether.
 
 Windows are summed by hash (least occurrence and count, combined before the
 shuffle), so a passage that every document holds is one row for each task; only
-windows that repeat are joined back, and the join's hot keys are split.
+windows that repeat are written and joined back.  Their size is then known: few of
+them are broadcast, and a larger join shuffles two plain tables whose hot keys can
+be split.
 
 Defined cases: texts of under three lines have no window and stay as they are;
 windows of nothing but empty lines never count; a null text stays null; a null
@@ -24,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 3
 
 
@@ -39,7 +43,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
     windows = lines.select("__id", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - WINDOW), window)).alias("w")).where("w.full").select("__id", "w.pos", "w.h", "w.g")
     # Least occurrence and count of every window, combined before the shuffle (a sort aggregate, since the least is a struct).
     first = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "pos")).alias("first")).where("n > 1")
-    first = first.select("h", "g", F.col("first.__id").alias("__first"), F.col("first.pos").alias("__at"))
+    first = written(first.select("h", "g", F.col("first.__id").alias("__first"), F.col("first.pos").alias("__at")), "windows")
     later = windows.join(first, ["h", "g"]).where("__id <> __first or pos <> __at")
     start = F.when(F.col("__id") == F.col("__first"), F.greatest("pos", F.col("__at") + WINDOW)).otherwise(F.col("pos"))
     spans = later.select("__id", start.alias("lo"), (F.col("pos") + WINDOW - 1).alias("hi")).where("lo <= hi").distinct()
