@@ -279,3 +279,14 @@ def test_pipeline(spark):
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
     near = {r.doc_id for r in P.drop_near_copies(spark, docs, SMALL).select("doc_id").collect()}
     assert near == {r.doc_id for r in near_duplicates(docs).where("kept").collect()}
+
+
+def test_pipeline_drops_near_copies_from_80(spark):
+    import corpus_pipeline as P
+
+    def changed(*at):
+        return " ".join(f"x{k}" if k in at else f"v{k}" for k in range(104))
+
+    # Of 100 shingles, two words apart change ten (90 of 110 shared, 0.82) and three change fifteen (85 of 115, 0.74).
+    docs = spark.createDataFrame([(1, changed(), "en", "a", 0, "", 0), (2, changed(30, 60), "en", "a", 0, "", 0), (3, changed(20, 50, 80), "en", "a", 0, "", 0)], DOCS)
+    assert sorted(r.doc_id for r in dict(P.STAGES)["near dedup"](spark, docs, SMALL).collect()) == [1, 3]
