@@ -8,18 +8,21 @@ when ``100 * |A & B| >= percent * |A | B|`` on the full sets.
 2. Every tree sends each class down the path of one minwise token.  Two classes
    of similarity J share a node of one tree with probability J, so the chance
    that ``trees`` independent trees all part a pair is ``(1 - J) ** trees``:
-   1.1e-7 at 0.85 with eight trees, plus 1e-5 for the sketch filter below.
+   2.6e-7 at 0.85 with eight trees.
 3. Within each node every class is compared with the node's least class, a
    number of pairs in proportion to the rows.  Pairs whose sketches agree enough
-   are confirmed on full sets; the links give components, and a node all of
+   (a pair at the threshold falls short with probability ``miss`` at most, by the
+   binomial tail) are confirmed on full sets; the links give components, and a node all of
    whose classes are in one component is done.  Groups of thousands of near
    copies vanish here without their pairs being listed.
 4. Nodes of at most ``most`` classes are compared exhaustively between
    components, in blocks of ``block`` that meet two by two.  Larger ones branch:
-   each class goes to ``branch`` children of its node, each named by ``tokens``
+   each class goes to several children of its node, each named by ``tokens``
    further minwise tokens of its own, so documents that only share a passage
-   part: a pair at 0.85 shares a child with probability 0.85 in each tree, one at
-   0.7 with 0.39.  ``depth`` counts the levels; nodes still large at the end are
+   part.  These tokens are taken from the full sets, anew for every level, tree
+   and branch, so trees stay independent; there are as many branches as keep the
+   chance that all trees part a pair at the threshold under ``miss`` after
+   ``depth - 1`` branchings (``_branches``).  ``depth`` counts the levels; nodes still large at the end are
    compared in blocks like the others, so no pair is dropped for its node's size.
 5. The classes of a group whose sketches agree come together with their full
    sets; one product of their incidence matrix counts what all pairs share, and
@@ -41,10 +44,12 @@ of the input are ignored, whatever their names.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,12 +211,62 @@ def _agree(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 256, most: int = 2048, depth: int = 4, branch: int = 4, tokens: int = 6) -> DataFrame:
+def _least(percent: int, miss: float) -> float:
+    """The share of a sketch in which a pair at the threshold agrees, but for a probability of ``miss``."""
+    j, below = percent / 100, 0.0
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * j**k * (1 - j) ** (SKETCH - k)
+        if below > miss:
+            return k / SKETCH
+    return 1.0
+
+
+def _branches(percent: int, trees: int, depth: int, tokens: int, miss: float) -> tuple[int, int]:
+    """(trees, branches of a node): a pair at the threshold is parted by all trees, at any depth, with probability ``miss`` at most."""
+    j = min(max(percent, 1), 99) / 100
+    trees = max(trees, math.ceil(math.log(miss / 2) / math.log(1 - j)))
+    if trees > SKETCH - 2:
+        raise ValueError(f"{trees} trees are needed for {percent} of 100, more than a sketch has")
+    if depth < 2:
+        return trees, 1
+    stay = ((1 - miss ** (1 / trees)) / j) ** (1 / (depth - 1))
+    return trees, math.ceil(math.log(1 - stay) / math.log(1 - j**tokens))
+
+
+def _children(trees: int, branch: int, tokens: int, seed: int, most: int = 1 << 20):
+    """(cls, label, at: list of (tree, node), vals) -> (cls, tree, label, node) of the ``branch`` children of every node."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.array([len(v.as_buffer()) // 8 for v in batch.column(3)], dtype=np.int64)
+            ends, row = np.cumsum(sizes), 0
+            while row < batch.num_rows:
+                end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, side="right")))
+                part = batch.slice(row, end - row)
+                hashes = np.frombuffer(b"".join(part.column(3).to_pylist()), dtype=np.uint64)
+                begins = np.concatenate([[0], np.cumsum(sizes[row:end])])
+                own = S.min_sketches(hashes, begins, trees * branch * tokens, seed).astype(np.uint64).reshape(end - row, trees, branch, tokens)
+                name = np.zeros(own.shape[:3], dtype=np.uint64)
+                for k in range(tokens):
+                    name = S.mix(name + own[..., k] + np.uint64(1))
+                lengths = pa.compute.list_value_length(part.column(2)).to_numpy()
+                at = part.column(2).flatten()
+                of, tree = np.repeat(np.arange(end - row), lengths), at.field("tree").to_numpy()
+                node = S.mix(S.mix(at.field("node").to_numpy().view(np.uint64))[:, None] + name[of, tree])
+                take = pa.array(np.repeat(of, branch))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(np.repeat(tree, branch), pa.int32()), part.column(1).take(take), pa.array(node.ravel().view(np.int64))], ["cls", "tree", "label", "node"])
+                row = end
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 256, most: int = 2048, depth: int = 4, tokens: int = 6, miss: float = 1e-5) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept`` (see the module's text)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    least = max(0.0, percent / 100 - 4.25 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5)
+    least = _least(percent, miss)
+    trees, branch = _branches(percent, trees, depth, tokens, miss)
 
     rows = written(docs.mapInArrow(_rows_of_sketches(id_type), f"doc_id {id_type}, n_shingles long, cls binary, sketch binary"), "sketches")
     classes = written(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
@@ -248,7 +303,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = now.where(F.col("n") <= most).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("small"))
     about = written(now.select("cls").distinct().join(classes.select("cls", "sketch", "n_shingles"), "cls").join(marks, "cls", "left").withColumn("small", F.coalesce("small", F.lit(0).cast("long"))), "about")
 
-    rng = np.random.Generator(np.random.PCG64(5))
     found = []
     for level in range(depth):
         now = now.withColumn("level", F.lit(level))
@@ -258,12 +312,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found.append(_compare(met.join(about, "cls"), least, percent, trees))
         if last:
             break
-        # Children of a tree's nodes are named by further tokens, chosen for the tree.
-        child = None
-        for t in range(trees):
-            names = [F.xxhash64("node", *[slot(int(k)) for k in np.sort(rng.choice(np.arange(trees, SKETCH), tokens, replace=False))]) for _ in range(branch)]
-            child = F.when(F.col("tree") == t, F.array(*names)) if child is None else child.when(F.col("tree") == t, F.array(*names))
-        children = large.join(sketches, "cls").select("cls", "tree", "label", F.explode(child).alias("node"))
+        # Children of a tree's nodes are named by further tokens, chosen for the level and the tree.
+        nodes_of = large.groupBy("cls").agg(F.first("label").alias("label"), F.collect_list(F.struct("tree", "node")).alias("at"))
+        children = nodes_of.join(sets, "cls").select("cls", "label", "at", "vals").mapInArrow(_children(trees, branch, tokens, 12 + level), "cls binary, tree int, label binary, node long")
+        children = written(children, "children")
         now = written(_mixed(children), "mixed")
     alike = found[0]
     for more in found[1:]:

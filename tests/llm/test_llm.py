@@ -77,6 +77,16 @@ def test_near_dedup_equals_brute_force(spark, odd, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_keeps_its_recall_where_nodes_branch(spark):
+    # A passage in all documents makes nearly every node large; each pair shares 170 of 200 shingles, others at most 159 of 211.
+    passage = " ".join(f"c{k}" for k in range(163))
+    rows = [(2 * p + side, f"{passage} {' '.join(f'p{p}x{k}' for k in range(11))} {' '.join(f'd{p}x{side}x{k}' for k in range(15))}") for p in range(100) for side in range(2)]
+    sets = [shingles(t) for _, t in rows]
+    assert all((100 * len(a & b) >= 85 * len(a | b)) == (i // 2 == j // 2) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=1).collect()}
+    assert got == {k: k // 2 * 2 for k in range(200)}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (5, 5), (200, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
