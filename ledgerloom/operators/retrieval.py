@@ -58,13 +58,18 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, ord, score``: cosine of every vector with each query's (``query_id, vector``)."""
-    pairs = vectors.select("ord", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q")).limit(BROADCAST_ROWS))) if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else _too_many()
-    return pairs.select("query_id", "ord", cosine(F.col("vector"), F.col("q")).alias("score"))
+    """``query_id, ord, score``: cosine of every vector with each query's (``query_id, vector``).
 
-
-def _too_many():
-    raise ValueError(f"vector search takes at most {BROADCAST_ROWS} queries at a time")
+    Queries are broadcast in blocks of about ``BROADCAST_ROWS``, dealt by their id's hash and joined with all vectors.
+    """
+    asked = queries.select("query_id", F.col("vector").alias("q"))
+    blocks = max(1, -(-asked.count() // BROADCAST_ROWS))
+    scores = None
+    for k in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        part = vectors.select("ord", "vector").crossJoin(F.broadcast(own)).select("query_id", "ord", cosine(F.col("vector"), F.col("q")).alias("score"))
+        scores = part if scores is None else scores.union(part)
+    return scores
 
 
 def ranked(scores: DataFrame, pool: int, floor: float | None = None, digits: int | None = None) -> DataFrame:

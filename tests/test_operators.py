@@ -161,3 +161,11 @@ def test_stream_equals_batch(spark, tmp_path):
     stream_findings(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), clock())
     assert spark.read.parquet(str(tmp_path / "out")).count() == rules.evaluate(df, now=clock()).count() > 0
     assert LINK
+
+
+def test_vector_search_goes_on_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 7)
+    vectors = spark.range(12).selectExpr("id AS ord", "array(1.0D, cast(id AS double)) AS vector")
+    rows = retrieval.vector_scores(vectors, vectors.withColumnRenamed("ord", "query_id")).collect()
+    assert sorted((r.query_id, r.ord) for r in rows) == [(q, o) for q in range(12) for o in range(12)]
+    assert all(r.score == pytest.approx((1 + r.query_id * r.ord) / ((1 + r.query_id**2) * (1 + r.ord**2)) ** 0.5) for r in rows)
