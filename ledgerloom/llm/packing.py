@@ -9,7 +9,8 @@
    dynamic program prices new patterns until none lowers the number of sequences.
 4. Patterns are rounded down; the few pieces left are put together by first fit
    on the counts.  The plan is a table of (length, pattern, first rank, copies).
-5. Pieces are ranked within their length: counts by (length, hash bucket) give
+5. Pieces are ranked within their length: counts by (length, hash bucket; a bucket
+   holds about a thousand pieces, however many a length has) give
    each bucket its first rank, and only a bucket's rows are numbered together, so
    a length that half of all documents have is no hot group.  A rank gives the
    pattern, the sequence and the place in it.
@@ -23,73 +24,117 @@ are ignored, whatever their names.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 END_ID = 2
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
-#: Chunks that the tokenizer cuts into a run of letters and runs of marks, whatever stands beside them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,!?;:%$#&*|()\"/+=<>@_-]*)")
-_MOST_KEPT = 700_000
-_TEXTS_AT_ONCE = 256
+#: Chunks that are a run of letters and then a run of marks, which this kind of tokenizer cuts apart.
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[.,!?;:%$#&*|()\"/+=<>@_-]*)$"
+_PROBES = ("one two", "Abc!?", "IDLE, ???", "é... ß:", "a_b <x> it's 12a3", " \t lead", "x,y\u00a0z")
+_MOST_KEPT = 250_000
+_SLICE_BYTES = 4 << 20
+_PARTS_AT_ONCE = 4096
+
+
+def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indices ``first[k] ... first[k] + count[k] - 1`` for every k in turn."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
 class Encoder:
-    """Token ids, as little-endian bytes, of whole texts.
+    """Token ids of whole texts, a batch at a time.
 
     This kind of tokenizer drops white space before it cuts, so a text's ids are
-    those of its chunks in turn, and a chunk met before is looked up.
+    those of its chunks in turn.  Arrow splits a batch and finds its distinct
+    chunks; a plain chunk is made of letters, taken in lower case, and marks.  Only
+    parts not met before go to the tokenizer, and at most ``_MOST_KEPT`` are kept.
+    ``_PROBES`` are encoded both ways first: where they differ, the tokenizer is of
+    another kind, and texts go to it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        """Look up what is new in one call; a chunk of plain letters and marks is made of its parts."""
-        if len(self.known) > _MOST_KEPT or len(self.parts) > _MOST_KEPT:
-            self.known.clear()
-            self.parts.clear()
-        plain, new = {}, set()
-        for chunk in chunks:
-            cut = _PLAIN.fullmatch(chunk)
-            if cut:
-                plain[chunk] = ((cut[1] or "").lower(), cut[2])
-                new.update(plain[chunk])
-            else:
-                new.add(chunk)
-        new = [x for x in new if x not in self.parts]
-        for text, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[text] = np.array(found.ids, dtype="<u4").tobytes()
-        parts = self.parts
-        for chunk in chunks:
-            cut = plain.get(chunk)
-            self.known[chunk] = parts[cut[0]] + parts[cut[1]] if cut else parts[chunk]
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
+        self._forget()
+        self.whole = False
+        ids, begins = self.batch(pa.array(_PROBES))
+        self.whole = [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] != [x.ids for x in self.tokenizer.encode_batch_fast(list(_PROBES), add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACES.split(t) for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.first, self.count = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.pool = np.zeros(0, dtype=np.uint32)
+
+    def _alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of new parts; runs of one kind are put together, and end marks tell them apart again."""
+        simple = [p.isalpha() or not any(c.isalnum() or c in "'\u2019" or ord(c) > 127 for c in p) for p in parts]
+        for kind in (True, False):
+            own = [p for p, x in zip(parts, simple, strict=True) if x == kind]
+            for k in range(0, len(own), _PARTS_AT_ONCE):
+                some = own[k : k + _PARTS_AT_ONCE]
+                ids = count = None
+                if kind:
+                    ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                    stops = np.flatnonzero(self.ends[ids])
+                    count = np.diff(stops, prepend=-1) if len(stops) == len(some) and stops[-1] == len(ids) - 1 else None
+                if count is None:
+                    ids, count = self._alone(some)
+                self.known.update(zip(some, range(len(self.first), len(self.first) + len(some)), strict=True))
+                self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
+                self.count = np.concatenate([self.count, count])
+                self.pool = np.concatenate([self.pool, ids])
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) > _MOST_KEPT:
+            self._forget()
+        new = [p for p in distinct if p not in self.known]
         if new:
-            self.learn(new)
-            forgotten = set().union(*split).difference(self.known)  # if learning cleared what was known
-            if forgotten:
-                self.learn(forgotten)
+            self._learn(new)
         known = self.known
-        return [self._ids(t) if "<|" in t else b"".join([known[c] for c in chunks]) for t, chunks in zip(texts, split, strict=True)]
+        return np.array([known[p] for p in distinct], dtype=np.int64)[coded.indices.to_numpy()]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian bytes."""
+        ids, begins = self.batch(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4", copy=False).tobytes() for a, b in zip(begins, begins[1:])]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, index at which each text's begin, and the end)."""
+        if self.whole:
+            ids, count = self._alone(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(count)])
+        split = pc.ascii_split_whitespace(texts)
+        words = split.values.dictionary_encode()
+        cut = pc.extract_regex(words.dictionary, _PLAIN)
+        plain = cut.is_valid()
+        letters = pc.if_else(plain, pc.utf8_lower(cut.field("letters")), words.dictionary)
+        n = len(letters)
+        both = self._places(pa.concat_arrays([letters, pc.if_else(plain, cut.field("marks"), "")]))
+        sides = both.reshape(2, n).T.ravel()  # letters and marks of each chunk
+        pool = self.pool[_ragged(self.first[sides], self.count[sides])]
+        size = self.count[sides].reshape(n, 2).sum(axis=1)
+        at = np.cumsum(size) - size
+        index = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[index])])
+        return pool[_ragged(at[index], size[index])], ends[split.offsets.to_numpy()]
 
 
 @lru_cache(maxsize=2)
@@ -97,26 +142,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _slices(texts: pa.Array, most: int = _SLICE_BYTES):
+    """(first row, rows) of about ``most`` bytes; a longer text is alone."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, side="right")))
+        yield row, texts.slice(row, end - row)
+        row = end
+
+
 def _pieces(path: str, length: int):
     def run(batches):
         enc = encoder(path)
-        end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            row, starts, lengths, sums, tokens = [], [], [], [], []
-            encoded = (x for k in range(0, len(texts), _TEXTS_AT_ONCE) for x in enc.encode(texts[k : k + _TEXTS_AT_ONCE]))
-            for k, ids in enumerate(encoded):
-                ids += end
-                total = len(ids) // 4
-                for at in range(0, total, length):
-                    piece = ids[4 * at : 4 * (at + length)]
-                    row.append(k)
-                    starts.append(at)
-                    lengths.append(len(piece) // 4)
-                    sums.append(zlib.crc32(piece))
-                    tokens.append(total)
-            longs = [pa.array(x, pa.int64()) for x in (starts, lengths, sums, tokens)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *longs], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for at, texts in _slices(batch.column(1).fill_null("")):
+                ids, begins = enc.batch(texts)
+                tokens = np.diff(begins) + 1
+                with_end = np.insert(ids, begins[1:], END_ID).astype("<u4", copy=False)
+                parts = -(-tokens // length)
+                row = np.repeat(np.arange(len(tokens)), parts)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * length
+                size = np.minimum(tokens[row] - start, length)
+                first = (np.cumsum(tokens) - tokens)[row] + start
+                raw = memoryview(with_end).cast("B")
+                sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, size, sums, tokens[row]))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -203,7 +254,7 @@ def plan_patterns(demand: np.ndarray, most_steps: int = 4000) -> list[tuple[np.n
     return plan + [(np.frombuffer(p, dtype=np.int64), n) for p, n in rest.items()]
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 4096, unit: int = 16, rows_a_bucket: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 4096, unit: int = 16, rows_a_bucket: int = 1000) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -226,9 +277,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     # A few thousand rows at most: two lists of at most `units` patterns, each of at most `units` sizes.
     slots = F.broadcast(spark.createDataFrame(slots, "s_size int, lo long, hi long, a long, first long, place long"))
 
-    buckets = 1 + int(demand.max(initial=0)) // rows_a_bucket
+    buckets = F.element_at(F.array(*[F.lit(1 + int(n) // rows_a_bucket) for n in demand]), F.col("size"))
     order = ["doc_id", "start", "ids_crc32", "doc_tokens", "length"]
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), buckets).cast("int"))
     counts = dealt.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     base = F.sum("n").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(F.col("size").alias("c_size"), F.col("bucket").alias("c_bucket"), F.coalesce(base, F.lit(0)).alias("base"))
