@@ -7,6 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Arrow batches are bounded by bytes, so that long texts do not fill a worker; only Spark's default is lowered.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -19,6 +22,8 @@ def ready(spark: SparkSession) -> SparkSession:
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = ROOT + (os.pathsep + have if have else "")
+    if spark.conf.get(BATCH_BYTES, None) in (None, DEFAULT_BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "4m")
     return spark
 
 
