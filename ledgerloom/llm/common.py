@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset, which a cluster refuses."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -30,11 +32,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, computed once and kept as Parquet in the shared folder.
 
     A lost executor then costs no recomputation of the Python stages behind it,
-    and each later reader takes only the columns it needs.
+    and each later reader takes only the columns it needs.  :func:`dropped` takes
+    it away when its last reader is done; what a returned result still reads stays
+    until the shared folder's owner clears it.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ledgerloom_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of frames that :func:`written` made and nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_ledgerloom_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -51,10 +75,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: every step hangs each node's
     neighbours on the least node it knows of, until only stars are left.  The
     number of rounds is logarithmic in the size of a component.  A step is one
-    grouped minimum (combined before its shuffle) and one join, so a hub is
-    never gathered in one place; each round is written to the shared folder.
-    ``component`` is the least node of the component.  Self-links and nulls are
-    ignored; no links give no rows.
+    grouped minimum (combined before its shuffle) and one join; the minima are
+    written first, so that the join meets two plain tables and a hub's rows can be
+    split over tasks.  ``component`` is the least node of the component.
+    Self-links and nulls are ignored; no links give no rows.
     """
     now = written(edges.select("a", "b").where("a <> b").distinct(), "links")
     before = None
@@ -64,12 +88,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before = seen
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        down = large.distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        now = written(small.select("x.a", "x.b").where("a <> b").distinct(), "links")
+        down = written(large.distinct(), "links")
+        lower = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = down.join(lower, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        old, now = now, written(small.select("x.a", "x.b").where("a <> b").distinct(), "links")
+        dropped(old, least, down, lower)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
