@@ -2,7 +2,7 @@
 
 Lines are what single newlines part.  Every three consecutive lines are a window
 and go by two 64-bit hashes.  The first occurrence of a window, by least
-``(doc_id, position)``, stays; the lines that later occurrences cover, merged over
+``(doc_id, hash of the text, position)``, stays; the lines that later occurrences cover, merged over
 all windows of a document, go.  A later occurrence that overlaps the first one in
 the same document spares the first one's own lines, so nothing disappears
 altogether.
@@ -16,52 +16,67 @@ be split.
 Defined cases: texts of under three lines have no window and stay as they are;
 windows of nothing but empty lines never count; a null text stays null; a null
 ``doc_id`` is last in order and such rows stay as they are.  Rows that repeat a
-``doc_id`` are one document to this operator: each is treated as the first
-occurrence is.  A document whose every line goes has an empty text.  Other columns
+``doc_id`` with other texts are documents of their own; rows equal in both are one
+document, each treated as the first occurrence is.  A document whose every line goes has an empty text.  Other columns
 are kept as they are, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 WINDOW = 3
 
 
-def _repeats(docs: DataFrame) -> DataFrame:
-    """``__id, __gone``: positions of the lines that go, for documents that lose any."""
-    lines = docs.where("__id is not null and __text is not null").select("__id", F.split("__text", "\n").alias("l")).where(F.size("l") >= WINDOW)
+def _spans(docs: DataFrame) -> DataFrame:
+    """Of ``id, key, text``: ``id, key, spans``, the merged and ordered ``(lo, hi)`` of the lines that go, for rows that lose any."""
+    lines = docs.where("id is not null and text is not null").select("id", "key", F.split("text", "\n").alias("l")).where(F.size("l") >= WINDOW)
     window = lambda i: F.struct(
         i.cast("int").alias("pos"),
         F.xxhash64(F.get("l", i), F.get("l", i + 1), F.get("l", i + 2)).alias("h"),
         F.xxhash64(F.lit(1), F.get("l", i), F.get("l", i + 1), F.get("l", i + 2)).alias("g"),
         (F.length(F.get("l", i)) + F.length(F.get("l", i + 1)) + F.length(F.get("l", i + 2)) > 0).alias("full"),
     )
-    windows = lines.select("__id", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - WINDOW), window)).alias("w")).where("w.full").select("__id", "w.pos", "w.h", "w.g")
+    windows = lines.select("id", "key", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - WINDOW), window)).alias("w")).where("w.full").select("id", "key", "w.pos", "w.h", "w.g")
     # Least occurrence and count of every window, combined before the shuffle (a sort aggregate, since the least is a struct).
-    first = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "pos")).alias("first")).where("n > 1")
-    first = written(first.select("h", "g", F.col("first.__id").alias("__first"), F.col("first.pos").alias("__at")), "windows")
-    later = windows.join(first, ["h", "g"]).where("__id <> __first or pos <> __at")
-    start = F.when(F.col("__id") == F.col("__first"), F.greatest("pos", F.col("__at") + WINDOW)).otherwise(F.col("pos"))
-    spans = later.select("__id", start.alias("lo"), (F.col("pos") + WINDOW - 1).alias("hi")).where("lo <= hi").distinct()
-    return spans.groupBy("__id").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("__gone"))
+    first = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "pos")).alias("first")).where("n > 1")
+    first = written(first.select("h", "g", F.col("first.id").alias("f_id"), F.col("first.key").alias("f_key"), F.col("first.pos").alias("f_pos")), "windows")
+    own = (F.col("id") == F.col("f_id")) & (F.col("key") == F.col("f_key"))
+    later = windows.join(first, ["h", "g"]).where(~own | (F.col("pos") != F.col("f_pos")))
+    start = F.when(own, F.greatest("pos", F.col("f_pos") + WINDOW)).otherwise(F.col("pos"))
+    spans = later.select("id", "key", start.alias("lo"), (F.col("pos") + WINDOW - 1).alias("hi")).where("lo <= hi")
+    # Covered positions are merged inside their row: a span that begins past all before it opens a new one.
+    order = Window.partitionBy("id", "key").orderBy("lo", "hi")
+    opens = F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
+    spans = spans.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = spans.groupBy("id", "key", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+
+
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(the input's rows and columns, with repeated lines out of ``text_col`` and one struct column ``lines, removed`` more, its name)."""
+    own, gone, out = (free_name(docs, x) for x in ("line_own", "line_gone", "line_dedup"))
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")))
+    spans = _spans(keyed.select(f"{own}.id", f"{own}.key", f"{own}.text")).select(F.struct("*").alias(gone))
+    joined = keyed.join(spans, (F.col(f"{own}.id") == F.col(f"{gone}.id")) & (F.col(f"{own}.key") == F.col(f"{gone}.key")), "left")
+    # What stays lies between the spans: as many slices as spans, and one.
+    stays = f"""array_join(flatten(transform(sequence(0, size({gone}.spans)), k -> slice(split({own}.text, '\n'),
+        coalesce(get({gone}.spans, k - 1).hi + 2, 1),
+        coalesce(get({gone}.spans, k).lo, size(split({own}.text, '\n'))) - coalesce(get({gone}.spans, k - 1).hi + 1, 0)))), '\n')"""
+    kept = F.when(F.col(f"{gone}.spans").isNull(), F.col(f"{own}.text")).otherwise(F.expr(stays))
+    lines = F.when(F.col(f"{own}.text").isNull(), 0).otherwise(F.size(F.split(f"{own}.text", "\n")))
+    removed = F.coalesce(F.expr(f"aggregate({gone}.spans, 0, (n, s) -> n + s.hi - s.lo + 1)"), F.lit(0))
+    return joined.withColumns({out: F.struct(lines.alias("lines"), removed.alias("removed")), text_col: kept}).select(*docs.columns, out), out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, with repeated lines out of ``text_col``, and ``__lines``, ``__removed`` counts."""
-    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__text", F.col(text_col).cast("string"))
-    gone = _repeats(keyed.select("__id", "__text"))
-    joined = keyed.join(gone, "__id", "left")
-    numbered = F.transform(F.split("__text", "\n"), lambda x, i: F.struct(x.alias("x"), i.cast("int").alias("i")))
-    kept = F.transform(F.filter(numbered, lambda s: ~F.array_contains("__gone", s["i"])), lambda s: s["x"])
-    text = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
-    counts = {"__lines": F.coalesce(F.size(F.split("__text", "\n")), F.lit(0)), "__removed": F.coalesce(F.size("__gone"), F.lit(0))}
-    counts["__lines"] = F.when(F.col("__text").isNull(), 0).otherwise(counts["__lines"])
-    counts["__removed"] = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
-    return joined.withColumns(counts | {text_col: text}).select(*docs.columns, "__lines", "__removed")
+    """:func:`deduped`, its counts as columns ``__lines`` and ``__removed`` (longer names where the input has these)."""
+    out, name = deduped(docs, id_col, text_col)
+    return out.select(*docs.columns, F.col(f"{name}.lines").alias(free_name(docs, "__lines")), F.col(f"{name}.removed").alias(free_name(docs, "__removed")))
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:
