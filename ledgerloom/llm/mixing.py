@@ -4,7 +4,8 @@ Every document has a size in words and a place given by a hash of its id.  Each
 source gets a share of the budget by its weight, at most ``most_repeats`` times
 its own size; what it cannot take is shared again by weight.  A source takes
 every document ``floor(target / size)`` times, and once more those of smallest
-hash until the rest of its target is filled.
+hash until the rest of its target is filled.  Words are counted by the JVM's
+regular expressions; no row passes through Python.
 
 That last threshold is found without sorting documents: sizes are summed by
 source and hash bucket (a sum combined before its shuffle), a running sum over
@@ -18,67 +19,57 @@ nested: a larger budget takes whatever a smaller one takes, in the same order.
 Defined cases: a null text has size 0 and takes 0; a null source is a source of
 its own, last in order; sources of size 0 have target 0; a null ``doc_id``
 hashes as the empty text; rows that repeat a ``doc_id`` are taken alike.  Other
-columns are ignored, whatever their names.  An empty table gives no rows.  The
-table of sources is one row a source and is ordered in one task.
+columns are ignored by :func:`mix` and kept by :func:`mixed`, whatever their names.
+An empty table gives no rows.  The table of sources is one row a source; it is
+ordered and filled in one pass in one task.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import shingles as S
-from .common import written
+from .common import dropped, free_name, written
 
 BITS, LEVELS, HASH_BITS = 12, 3, 60
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _sizes(batches):
-    for batch in batches:
-        sizes = np.zeros(batch.num_rows, dtype=np.int64)
-        for row, end, data, at in S.text_slices(batch.column(2)):
-            sizes[row:end] = np.diff(S.word_hashes(data, at)[1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes)], ["doc_id", "source", "size"])
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _place(doc_id: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most_repeats: float) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size`` by water filling.
 
-    Only three sums go to the driver in each round; a source that reaches its
-    limit stays there, so the rounds end.
+    Sources are ordered by the level at which they are full.  Running sums of what
+    the full ones hold and of the weights still open give the level for every
+    number of full sources; the least level that fills no further source holds.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    table = written(sources.select("source", "source_size", weight.alias("weight"), (F.lit(float(most_repeats)) * F.col("source_size")).alias("most")), "sources")
-    budget = share * float(table.agg(F.sum("source_size")).first()[0] or 0)
-    level, full = 0.0, None
-    while True:
-        reached = F.col("most") <= F.lit(level) * F.col("weight")
-        held, open_weight, n = table.agg(F.sum(F.when(reached, F.col("most")).otherwise(0.0)), F.sum(F.when(reached, 0.0).otherwise(F.col("weight"))), F.count_if(reached)).first()
-        if n == full or not open_weight:
-            break
-        level, full = (budget - (held or 0.0)) / open_weight, n
-    return table.select("source", "source_size", F.round(F.least("most", F.lit(level) * F.col("weight")) if full is not None and open_weight else F.col("most"), 6).alias("target"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: float = 2.0, whole: bool = False) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken`` and ``source``.
-
-    ``whole``: take each document a whole number of times; the one on the
-    threshold is taken if that brings the source nearer to its target.
-    """
-    id_type, source_type = docs.schema[id_col].dataType.simpleString(), docs.schema[source_col].dataType.simpleString()
-    place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sizes, f"doc_id {id_type}, source {source_type}, size long")
-    sized = written(sized.withColumn("place", place), "sizes")
+    table = sources.select("source", "source_size", weight.alias("weight"), (F.lit(float(most_repeats)) * F.col("source_size")).alias("most"))
+    everything = Window.partitionBy()
+    fuller = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, -1)
+    held, shut = (F.coalesce(F.sum(c).over(fuller), F.lit(0.0)) for c in ("most", "weight"))
+    level = (F.lit(float(share)) * F.sum("source_size").over(everything) - held) / (F.sum("weight").over(everything) - shut)
+    table = table.withColumn("level", level)
+    table = table.withColumn("level", F.max(F.when(F.col("most") / F.col("weight") >= F.col("level"), F.col("level"))).over(everything))
+    return table.select("source", "source_size", F.round(F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))), 6).alias("target"))
+
+
+def _thresholds(sized: DataFrame, weights: tuple[float, ...], share: float, most_repeats: float) -> DataFrame:
+    """One row a source: ``s, source_size, target, copies, rest``, and ``edge, left, words`` of the threshold."""
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_repeats)
     goal = goal.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = written(goal.withColumn("rest", F.round("target").cast("long") - F.col("copies") * F.col("source_size")), "targets")
-
     # Where the threshold lies: the bucket in which the running sum passes what is left.
     bound = goal.where("rest > 0").select(F.col("source").alias("s"), F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"))
+    done = []
     for level in range(1, LEVELS + 2):
         shift = HASH_BITS - BITS * level if level <= LEVELS else 0
         above = HASH_BITS - BITS * (level - 1)
@@ -86,18 +77,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         sums = inside.groupBy("s", "left", F.shiftright("place", shift).alias("prefix")).agg(F.sum("size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("s").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
         bound = sums.withColumn("upto", upto).where("upto >= left and upto - words < left").select("s", "prefix", (F.col("left") - (F.col("upto") - F.col("words"))).alias("left"), "words")
-        bound = written(bound, "threshold")
-        last = bound
-        bound = bound.drop("words")
-    edge = last.select("s", F.col("prefix").alias("edge"), "left", "words")
-    goal = goal.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
-    out = sized.join(goal, F.col("source").eqNullSafe(F.col("s")))
+        last = written(bound, "threshold")
+        done.append(last)
+        bound = last.drop("words")
+    edge = last.select(F.col("s").alias("e"), F.col("prefix").alias("edge"), "left", "words")
+    out = written(goal.withColumnRenamed("source", "s").join(edge, F.col("s").eqNullSafe(F.col("e")), "left").drop("e"), "thresholds")
+    dropped(goal, *done)
+    return out
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: float = 2.0, whole: bool = False) -> tuple[DataFrame, str]:
+    """(the input's rows and columns with one struct column ``size, source_size, target, taken`` more, its name).
+
+    Each row's share is worked out on the row itself, so rows that repeat an id,
+    under one source or several, are not joined with each other.  ``whole``: take
+    each document a whole number of times; the one on the threshold is taken if
+    that brings the source nearer to its target.
+    """
+    sized = docs.select(F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"), _place(F.col(id_col)).alias("place"))
+    sized = written(sized, "sizes")
+    goal = _thresholds(sized, weights, share, most_repeats)
+    dropped(sized)
+    mix, own, to = free_name(docs, "mix"), free_name(docs, "mix_own"), free_name(docs, "mix_to")
+    goal = goal.select(F.struct("*").alias(to))
+    here = docs.withColumn(own, F.struct(_size(F.col(text_col)).alias("size"), _place(F.col(id_col)).alias("place")))
+    met = here.join(goal, F.col(source_col).eqNullSafe(F.col(f"{to}.s")))
+    size, place, g = F.col(f"{own}.size"), F.col(f"{own}.place"), lambda name: F.col(f"{to}.{name}")
     if whole:
-        on_edge = F.when(2 * F.col("left") >= F.col("words"), F.col("size")).otherwise(0)
+        on_edge = F.when(2 * g("left") >= g("words"), size).otherwise(0)
     else:
-        on_edge = F.expr("size * left div words")
-    more = F.when(F.col("rest") <= 0, 0).when(F.col("place") < F.col("edge"), F.col("size")).when(F.col("place") == F.col("edge"), F.coalesce(on_edge, F.lit(0))).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + more).cast("long").alias("taken"))
+        on_edge = F.expr(f"{own}.size * {to}.left div {to}.words")
+    more = F.when(g("rest") <= 0, 0).when(place < g("edge"), size).when(place == g("edge"), F.coalesce(on_edge, F.lit(0))).otherwise(0)
+    taken = (g("copies") * size + more).cast("long")
+    return met.withColumn(mix, F.struct(size.alias("size"), g("source_size").alias("source_size"), g("target").alias("target"), taken.alias("taken"))).select(*docs.columns, mix), mix
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """One row per input row: ``doc_id, source, size, source_size, target, taken`` (see :func:`mixed`)."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    out, name = mixed(plain, "doc_id", "text", "source", **how)
+    return out.select("doc_id", "source", f"{name}.size", f"{name}.source_size", f"{name}.target", f"{name}.taken")
 
 
 SQL = r"""
