@@ -25,7 +25,7 @@ when ``100 * |A & B| >= percent * |A | B|`` on the full sets.
    ``depth - 1`` branchings (``_branches``).  ``depth`` counts the levels; nodes still large at the end are
    compared in blocks like the others, so no pair is dropped for its node's size.
 5. The classes of a group whose sketches agree come together with their full
-   sets; one product of their incidence matrix counts what all pairs share, and
+   sets, in parts of a bounded number of shingles; one product of their incidence matrix counts what all pairs share, and
    the group sends on the links that hold its components together: fewer than
    it has members, whatever the number of its pairs.
 
@@ -33,7 +33,8 @@ Sizes of nodes are written before members are joined with them, so that this joi
 shuffles two plain tables and its hot nodes can be split.
 
 Full sets exist only for classes that share a node with another; they are kept
-in a table bucketed by class, so that no later join moves them again.
+in a table bucketed by class, so that no later join moves them again.  The table
+and all written steps are dropped once the links are known.
 
 Defined cases: null, empty and blank texts have an empty set (``n_shingles`` 0)
 and are linked with nothing; a text of one to four words has one shingle, the
@@ -54,7 +55,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import components, is_empty, written
+from .common import components, dropped, free_name, is_empty, written
+from .mixing import WORD
 
 SKETCH = 64
 
@@ -62,7 +64,7 @@ SKETCH = 64
 def _rows_of_sketches(id_type: str):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, keys = batch.column(0), batch.column(1), batch.column(2)
             for row, end, data, at in S.text_slices(texts):
                 hashes, begins = S.shingle_hashes(*S.word_hashes(data, at))
                 sketch = S.min_sketches(hashes, begins, SKETCH, 11)
@@ -72,13 +74,13 @@ def _rows_of_sketches(id_type: str):
                     sizes.append(len(own))
                     classes.append(S.set_digest(own) if len(own) else None)
                     kept.append(sketch[k].tobytes() if len(own) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), keys.slice(row, end - row), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "row_key", "n_shingles", "cls", "sketch"])
 
     return run
 
 
 def _sets(batches):
-    """(doc_id, cls, text) -> (cls, values) where the text has that class."""
+    """(cls, text) -> (cls, values) where the text has that class."""
     for batch in batches:
         wanted = batch.column(0).to_pylist()
         names, values = [], []
@@ -260,28 +262,38 @@ def _children(trees: int, branch: int, tokens: int, seed: int, most: int = 1 <<
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 256, most: int = 2048, depth: int = 4, tokens: int = 6, miss: float = 1e-5) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept`` (see the module's text)."""
+def _key(doc_id, text):
+    """Tells rows apart by id and text; rows equal in both have one key."""
+    return F.xxhash64(doc_id, text)
+
+
+def _find(docs: DataFrame, percent: int, trees: int, block: int, most: int, depth: int, tokens: int, miss: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``doc_id, text``: (rows ``doc_id, row_key, n_shingles, cls``, classes ``cls, doc_id, row_key``, ``cls, component``), all written."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.withColumn("row_key", _key(F.col("doc_id"), F.col("text")))
     least = _least(percent, miss)
     trees, branch = _branches(percent, trees, depth, tokens, miss)
+    spent = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        spent.append(written(df, name))
+        return spent[-1]
 
-    rows = written(docs.mapInArrow(_rows_of_sketches(id_type), f"doc_id {id_type}, n_shingles long, cls binary, sketch binary"), "sketches")
-    classes = written(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    rows = written(docs.mapInArrow(_rows_of_sketches(id_type), f"doc_id {id_type}, row_key long, n_shingles long, cls binary, sketch binary"), "sketches")
+    classes = written(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
 
     def slot(k):
         return F.substring(F.col("sketch"), 4 * k + 1, 4)
 
     # Nodes of the first level: a member is one class in one tree.
     members = classes.select("cls", F.posexplode(F.array(*[F.xxhash64(F.lit(k), slot(k)) for k in range(trees)])).alias("tree", "node"))
-    nodes = written(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader")).where("n > 1"), "nodes")
-    members = written(members.join(nodes, "node").select("node", "tree", "cls", "leader", "n"), "members")
+    nodes = keep(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader")).where("n > 1"), "nodes")
+    members = keep(members.join(nodes, "node").select("node", "tree", "cls", "leader"), "members")
 
-    # Full sets of the classes that share any node, bucketed by class.
-    shared = members.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
-    texts = docs.join(shared.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("cls", "text")
+    # Full sets of the classes that share any node, bucketed by class: made from the one row that stands for the class.
+    shared = members.select("cls").distinct().join(classes.select("cls", "row_key"), "cls")
+    texts = docs.select("row_key", "text").join(shared, "row_key").select("cls", "text")
     sets_name = f"ledgerloom_sets_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     (texts.mapInArrow(_sets, "cls binary, vals binary").dropDuplicates(["cls"]).repartition(buckets, "cls").write.bucketBy(buckets, "cls").sortBy("cls").saveAsTable(sets_name))
@@ -289,19 +301,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.withColumnsRenamed({"cls": "a", "vals": "va"}), "a").join(sets.withColumnsRenamed({"cls": "b", "vals": "vb"}), "b")
-        return written(both.select("a", "b", "va", "vb").mapInArrow(_confirm(percent), "a binary, b binary"), "confirmed")
+        return keep(both.select("a", "b", "va", "vb").mapInArrow(_confirm(percent), "a binary, b binary"), "confirmed")
 
     sketches = classes.select("cls", "sketch")
     star = members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
     star = star.join(sketches.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b")
-    links = confirmed(star.select("a", "b", "sa", "sb").mapInArrow(_agree(least), "a binary, b binary"))
-    labels = written(components(links).withColumnsRenamed({"node": "cls", "component": "label"}), "labels")
+    links = confirmed(keep(star.select("a", "b", "sa", "sb").mapInArrow(_agree(least), "a binary, b binary"), "agreeing"))
+    labels = keep(components(links).withColumnsRenamed({"node": "cls", "component": "label"}), "labels")
 
     # Nodes in which more than one component is left, and in which trees a class is in a small one.
     now = members.select("node", "tree", "cls").join(labels, "cls", "left").select("node", "tree", "cls", F.coalesce("label", "cls").alias("label"))
-    now = written(_mixed(now), "mixed")
+    now = keep(_mixed(now, keep), "mixed")
     marks = now.where(F.col("n") <= most).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("small"))
-    about = written(now.select("cls").distinct().join(classes.select("cls", "sketch", "n_shingles"), "cls").join(marks, "cls", "left").withColumn("small", F.coalesce("small", F.lit(0).cast("long"))), "about")
+    about = keep(now.select("cls").distinct().join(classes.select("cls", "sketch", "n_shingles"), "cls").join(marks, "cls", "left").withColumn("small", F.coalesce("small", F.lit(0).cast("long"))), "about")
 
     found = []
     for level in range(depth):
@@ -309,42 +321,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = now.where(F.col("n") > most)
         last = level == depth - 1 or is_empty(large)
         met = _blocks(now if last else now.where(F.col("n") <= most), block)
-        found.append(_compare(met.join(about, "cls"), least, percent, trees))
+        found.append(keep(_compare(met.join(about, "cls"), least, percent, trees), "alike"))
         if last:
             break
         # Children of a tree's nodes are named by further tokens, chosen for the level and the tree.
         nodes_of = large.groupBy("cls").agg(F.first("label").alias("label"), F.collect_list(F.struct("tree", "node")).alias("at"))
         children = nodes_of.join(sets, "cls").select("cls", "label", "at", "vals").mapInArrow(_children(trees, branch, tokens, 12 + level), "cls binary, tree int, label binary, node long")
-        children = written(children, "children")
-        now = written(_mixed(children), "mixed")
+        children = keep(children, "children")
+        now = keep(_mixed(children, keep), "mixed")
     alike = found[0]
     for more in found[1:]:
         alike = alike.union(more)
-    groups = alike.join(sets, "cls").groupBy("node", "part").agg(F.collect_list(F.struct("cls", "label", "vals")).alias("members")).select("members")
-    links = links.union(written(groups.mapInArrow(_joined(percent), "a binary, b binary"), "confirmed"))
+    # A part whose full sets are large together is dealt again, so that a group is bounded by bytes as well.
+    groups = keep(_split(alike, classes.select("cls", "n_shingles"), keep), "groups").join(sets, "cls")
+    groups = groups.groupBy("node", "part", "again").agg(F.collect_list(F.struct("cls", "label", "vals")).alias("members")).select("members")
+    links = links.union(keep(groups.mapInArrow(_joined(percent), "a binary, b binary"), "confirmed"))
+    named = written(components(links).withColumnsRenamed({"node": "cls"}), "components")
+    spark.sql(f"DROP TABLE IF EXISTS {sets_name}")
+    dropped(*spent)
+    return rows, classes, named
 
-    named = components(links).withColumnsRenamed({"node": "cls"})
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 256, most: int = 2048, depth: int = 4, tokens: int = 6, miss: float = 1e-5) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept`` (see the module's text)."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, classes, named = _find(docs, percent, trees, block, most, depth, tokens, miss)
     least_id = named.join(classes.select("cls", "doc_id"), "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least_id, "component").select("cls", "component_id")
-    of_class = written(classes.select("cls", F.col("doc_id").alias("own")).join(named, "cls", "left").select("cls", F.coalesce("component_id", "own").alias("component_id")).where("component_id is not null"), "components")
+    of_class = written(classes.select("cls", F.col("doc_id").alias("own")).join(named, "cls", "left").select("cls", F.coalesce("component_id", "own").alias("component_id")).where("component_id is not null"), "classes")
     out = rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _mixed(members: DataFrame) -> DataFrame:
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 256, most: int = 2048, depth: int = 4, tokens: int = 6, miss: float = 1e-5) -> DataFrame:
+    """The input's rows and columns, with one row of each group of near duplicates.
+
+    The row of least id stays (a null id only where a group has no other), of rows
+    with one id that of least row key, of rows equal in id and text any one.  Rows
+    without words are linked with nothing, and all stay.
+    """
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, classes, named = _find(plain, percent, trees, block, most, depth, tokens, miss)
+    label = rows.where("cls is not null").select("cls", "doc_id", "row_key").join(named, "cls", "left").select(F.coalesce("component", "cls").alias("component"), "doc_id", "row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    key = free_name(docs, "row_key")
+    stay = written(label.groupBy("component").agg(first).select(F.col("first.row_key").alias(key)), "kept")
+    words = F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
+    keyed = docs.where(words).withColumn(key, _key(F.col(id_col), F.col(text_col).cast("string")))
+    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns).union(docs.where(~words))
+
+
+def _mixed(members: DataFrame, keep) -> DataFrame:
     """Members of the nodes that hold more than one component, with the node's size."""
     nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return members.join(written(nodes.select("node", "n"), "nodes"), "node")
+    return members.join(keep(nodes.select("node", "n"), "nodes"), "node")
 
 
 def _compare(members: DataFrame, least: float, percent: int, trees: int) -> DataFrame:
     """Members of groups of a bounded size whose sketches agree with another's."""
     lists = members.groupBy("node", "part", "tree", "level").agg(F.collect_list(F.struct("cls", "label", "sketch", "n_shingles", "small")).alias("members"))
-    return written(lists.mapInArrow(_alike(least, percent, trees), "node long, part int, cls binary, label binary"), "alike")
+    return lists.mapInArrow(_alike(least, percent, trees), "node long, part int, cls binary, label binary")
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
     """Nodes of any size: members are dealt over blocks, and each two blocks meet in one group of about 2 * block at most."""
-    dealt = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
+    return _meeting(members.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")), "part")
+
+
+def _meeting(members: DataFrame, part: str) -> DataFrame:
+    """Members dealt over ``blocks`` blocks; each two blocks meet in one ``part``."""
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(part)), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).drop("blocks", "own", "other")
+    return met.withColumn(part, F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).drop("blocks", "own", "other")
+
+
+def _split(alike: DataFrame, sizes: DataFrame, keep, most_shingles: int = 1 << 19) -> DataFrame:
+    """Groups, dealt again over blocks that meet two by two where their sets hold more than ``most_shingles`` together."""
+    sized = keep(alike.join(sizes, "cls"), "alike")
+    weight = keep(sized.groupBy("node", "part").agg(F.ceil(F.sum("n_shingles") / F.lit(most_shingles)).cast("int").alias("blocks")), "weights")
+    return _meeting(sized.join(weight, ["node", "part"]), "again").select("node", "part", "again", "cls", "label")
