@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_dedup, toxicity
 from ledgerloom.llm.common import table, written
-from ledgerloom.llm.mixing import mix
-from ledgerloom.llm.near_dedup import near_duplicates
+from ledgerloom.llm.mixing import mixed
+from ledgerloom.llm.near_dedup import without_near_copies
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.queries import tokenizer_path
 from ledgerloom.session import ready
@@ -34,27 +34,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines of windows seen before; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).where("__removed = 0 or length(text) > 0")
+    out, name = line_dedup.deduped(docs)
+    removed = F.col(f"{name}.removed")
+    out = out.where((removed == 0) | (F.length("text") > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(removed > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
     """One document of each group of near copies: the one of least id.  The pipeline takes 80 of 100 (``STAGES``); 85 is that of op3."""
     ready(spark)
-    kept = near_duplicates(docs, percent=percent).where("kept or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return without_near_copies(docs, percent=percent)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, whole."""
+    """Each row as many times as the mix takes it, whole; rows without words, of which there is nothing to take, stay."""
     ready(spark)
-    taken = mix(docs, whole=True).where("taken > 0").select(F.col("doc_id").alias("__id"), F.expr("taken div size").cast("int").alias("__times")).distinct()
-    free = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))  # nothing to take: no words
-    times = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    copies = times.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return copies.select(*docs.columns).union(free)
+    out, mix = mixed(docs, whole=True)
+    times = F.when(F.col(f"{mix}.size") > 0, F.expr(f"{mix}.taken div {mix}.size").cast("int")).otherwise(1)
+    return out.withColumn(mix, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
