@@ -1,25 +1,30 @@
 """Merkle fixity audit of WARC replicas.
 
-Pages become WARC response records.  The digests of records, ordered by offset,
-are the leaves of a tree: a range holds the records whose number falls in it, and
-each node is the SHA-256 of its children's numbers and digests in order, ``fanout``
-children a node, up to one root.  Byte offsets come from the same tree: a node
-knows its bytes, and a running sum inside each parent, added down the levels,
-gives each record's offset without ordering all records in one task.
+Pages become WARC response records.  The digests of records, ordered by id and
+so by offset, are the leaves of a tree: a node holds the records whose id falls in
+its range, and is the SHA-256 of its children's numbers and digests in order,
+``2 ** bits`` children a node, up to one root.  Each node keeps its parent's number
+in a column, ``up``, which every later step uses: it is the number shifted right,
+also for negative ids; records without an id go up a line of their own and meet
+the others in the root.  Both replicas' trees are built to one height, from the
+least and greatest id of either.
+
+Byte offsets come from the same tree: a node knows its bytes, and a running sum
+inside each parent, added down the levels, gives each record's offset without
+ordering all records in one task.
 
 An audit compares two replicas' roots and goes down only into nodes that differ:
 each level joins the children of differing parents alone, so an intact replica
 costs one comparison, and a damaged record one path.
 
-Nodes are computed by grouping on the parent's number; a group is ``fanout``
-children at most.  Records that repeat an id share a leaf, whose digest covers
-their sorted digests.
+Records that repeat an id, and all without one, share a leaf.  Its digest covers
+how many they are and the sums of their digests' parts, which are combined before
+the shuffle, so no leaf gathers its records.
 
 Defined cases: a null page body or address is the empty text; rows with a null id
-are leaves of number -1, one leaf together; repeated rows are counted (an extra
-copy is ``corrupt``); a missing record is ``missing``, one that only the replica
-has is ``extra``.  Other columns are ignored.  Two empty tables have equal (null)
-roots and give no rows.
+are one leaf together, last in order; repeated rows are counted (an extra copy is
+``corrupt``); a missing record is ``missing``, one that only the replica has is
+``extra``.  Other columns are ignored.  Two empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_empty, written
+from .common import dropped, is_empty, written
+
+BITS = 8
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -40,81 +47,88 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
 
 def leaves(recs: DataFrame) -> DataFrame:
     """``node, digest, bytes``: one leaf an id (written)."""
-    each = recs.select(F.coalesce("page_id", F.lit(-1)).alias("node"), F.sha2("record", 256).alias("d"), F.octet_length("record").cast("long").alias("n"))
-    # Copies of one record are counted, not gathered.
-    each = each.groupBy("node", "d").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("n"))
-    grouped = each.groupBy("node").agg(F.sort_array(F.collect_list(F.concat_ws("*", "d", "times"))).alias("ds"), F.sum("n").alias("bytes"), F.sum("times").alias("times"), F.min("d").alias("one"))
-    digest = F.when(F.col("times") == 1, F.col("one")).otherwise(F.sha2(F.array_join("ds", ","), 256))
-    return written(grouped.select("node", digest.alias("digest"), "bytes"), "leaves")
+    each = recs.select(F.col("page_id").alias("node"), F.sha2("record", 256).alias("d"), F.octet_length("record").cast("long").alias("n"))
+    widths = [15, 15, 15, 15, 4]  # hexadecimal digits: each part is a number of 60 bits at most
+    parts = [F.conv(F.substring("d", 1 + sum(widths[:k]), w), 16, 10).cast("decimal(20,0)") for k, w in enumerate(widths)]
+    grouped = each.groupBy("node").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("bytes"), *[F.sum(x).alias(f"p{k}") for k, x in enumerate(parts)])
+    own = F.concat(*[F.lower(F.lpad(F.hex(F.col(f"p{k}").cast("long")), w, "0")) for k, w in enumerate(widths)])
+    all_of = F.sha2(F.concat_ws(",", "times", *[f"p{k}" for k in range(len(widths))]), 256)
+    return written(grouped.select("node", F.when(F.col("times") == 1, own).otherwise(all_of).alias("digest"), "bytes"), "leaves")
+
+
+def height(*bottoms: DataFrame, bits: int = BITS) -> int:
+    """Levels under the root that hold the ids of all these leaves."""
+    ends = [x.agg(F.min("node"), F.max("node")).first() for x in bottoms]
+    ids = [i for pair in ends for i in pair if i is not None] or [0]
+    lo, hi, levels = min(ids), max(ids), 1
+    while hi - lo >= 1 << bits:
+        lo, hi, levels = lo >> bits, hi >> bits, levels + 1
+    return levels
 
 
-def tree(bottom: DataFrame, fanout: int = 64) -> list[DataFrame]:
-    """Levels ``node, digest, bytes, before`` from the leaves up to one root.
+def tree(bottom: DataFrame, levels: int, bits: int = BITS) -> list[DataFrame]:
+    """Levels ``node, up, digest, bytes, before`` from the leaves to the root, which is number 0.
 
     ``before``: bytes of the siblings that stand before the node.
     """
-    levels, now = [], bottom
-    while True:
-        up = F.floor(F.col("node") / fanout)
-        before = F.coalesce(F.sum("bytes").over(Window.partitionBy("up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        levels.append(now.withColumn("up", up).withColumn("before", before).drop("up"))
-        ends = now.agg(F.min("node"), F.max("node")).first()
-        if ends[0] == ends[1]:
-            return levels
-        kids = F.array_sort(F.collect_list(F.struct("node", "digest")))
-        text = F.array_join(F.transform(kids, lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"])), ",")
-        now = written(now.groupBy(up.alias("node")).agg(F.sha2(text, 256).alias("digest"), F.sum("bytes").alias("bytes")), "nodes")
-        if ends[0] < 0 and ends[1] <= 0:  # -1 and 0 never meet in one parent
-            now = written(now.groupBy(F.lit(0).cast("long").alias("node")).agg(F.sha2(F.array_join(F.transform(kids, lambda x: x["digest"]), ","), 256).alias("digest"), F.sum("bytes").alias("bytes")), "nodes")
-
-
-def offsets(levels: list[DataFrame], fanout: int = 64) -> DataFrame:
+    out, now = [], bottom
+    for k in range(levels + 1):
+        up = F.shiftright("node", bits) if k < levels - 1 else F.lit(0).cast("long")
+        siblings = Window.partitionBy("up").orderBy(F.col("node").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        level = now.withColumn("up", up)
+        out.append(level.withColumn("before", F.coalesce(F.sum("bytes").over(siblings), F.lit(0))))
+        if k < levels:
+            kids = F.array_sort(F.collect_list(F.struct("node", "digest")))
+            text = F.array_join(F.transform(kids, lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"])), ",")
+            now = written(level.groupBy("up").agg(F.sha2(text, 256).alias("digest"), F.sum("bytes").alias("bytes")).withColumnRenamed("up", "node"), "nodes")
+    return out
+
+
+def offsets(levels: list[DataFrame]) -> DataFrame:
     """``node, digest, bytes, offset`` of the leaves."""
-    above = None
-    for level in reversed(levels):
-        if above is None:
-            now = level.withColumn("offset", F.col("before"))
-        else:
-            now = level.join(above.select(F.col("node").alias("up"), F.col("offset").alias("base")), F.floor(F.col("node") / fanout) == F.col("up"), "left")
-            now = now.withColumn("offset", F.col("before") + F.coalesce("base", F.lit(0)))
-        above = now.select("node", "digest", "bytes", "offset")
+    above = levels[-1].withColumn("offset", F.lit(0).cast("long"))
+    for level in reversed(levels[:-1]):
+        over = above.select(F.col("node").alias("parent"), F.col("offset").alias("base"))
+        above = level.join(over, F.col("up").eqNullSafe(F.col("parent"))).withColumn("offset", F.col("before") + F.col("base")).select("node", "digest", "bytes", "offset")
     return above
 
 
-def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = 64) -> DataFrame:
+def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     """``node, digest, other``: leaves that differ; a digest is null where a side lacks the leaf."""
 
     def differ(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.select("node", "digest").join(b.select("node", F.col("digest").alias("other")), "node", "full")
-        return both.where(~F.col("digest").eqNullSafe(F.col("other")))
+        b = b.select(F.col("node").alias("there"), F.col("digest").alias("other"))
+        both = a.select("node", "digest").join(b, F.col("node").eqNullSafe(F.col("there")), "full")
+        return both.where(~F.col("digest").eqNullSafe(F.col("other"))).select(F.coalesce("node", "there").alias("node"), "digest", "other")
 
-    if len(ours) != len(theirs):  # trees of unlike height share only their leaves
-        return differ(ours[0], theirs[0])
-    suspects = None
+    found = None
     for a, b in zip(reversed(ours), reversed(theirs), strict=True):
-        if suspects is not None:
-            inside = lambda level, s=suspects: level.join(s, F.floor(F.col("node") / fanout) == F.col("up"), "left_semi")
-            a, b = inside(a), inside(b)
-        found = written(differ(a, b), "suspects")
-        suspects = found.select(F.col("node").alias("up"))
+        if found is not None:
+            parents = found.select(F.col("node").alias("suspect"))
+            a, b = (x.join(parents, F.col("up").eqNullSafe(F.col("suspect")), "left_semi") for x in (a, b))
+        before, found = found, written(differ(a, b), "suspects")
+        if before is not None:
+            dropped(before)
         if is_empty(found):
-            break
-    return found if not is_empty(found) else ours[0].select("node", "digest", F.col("digest").alias("other")).where("false")
+            return found
+    return found
 
 
-def fixity(ours: DataFrame, theirs: DataFrame, fanout: int = 64) -> DataFrame:
+def fixity(ours: DataFrame, theirs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row per leaf of either replica: ``page_id, offset, bytes, digest, status`` of records from :func:`records`."""
-    a, b = (tree(leaves(x), fanout) for x in (ours, theirs))
-    bad = audit(a, b, fanout)
+    bottoms = [leaves(x) for x in (ours, theirs)]
+    levels = height(*bottoms, bits=bits)
+    a, b = (tree(x, levels, bits) for x in bottoms)
+    bad = audit(a, b)
     status = F.when(F.col("digest").isNull(), "extra").when(F.col("other").isNull(), "missing").otherwise("corrupt")
-    bad = bad.select("node", status.alias("status"), F.col("other"))
-    out = offsets(a, fanout).join(bad, "node", "full")
-    return out.select(F.when(F.col("node") >= 0, F.col("node")).alias("page_id"), "offset", "bytes", F.coalesce("digest", "other").alias("digest"), F.coalesce("status", F.lit("ok")).alias("status"))
+    bad = bad.select(F.col("node").alias("at"), status.alias("status"), F.coalesce("digest", "other").alias("seen"))
+    out = offsets(a).join(bad, F.col("node").eqNullSafe(F.col("at")), "full")
+    return out.select(F.coalesce("node", "at").alias("page_id"), "offset", "bytes", F.coalesce("digest", "seen").alias("digest"), F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
     """A replica as a failing disk might leave it: some bodies cut or changed, some records lost, some added."""
-    body = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.substring("html", 2, 10_000_000))).when(F.col("page_id") % 101 == 7, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    body = F.when(F.col("page_id") % 97 == 5, F.expr("concat('#', substring(html, 2))")).when(F.col("page_id") % 101 == 7, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
     rest = pages.where("page_id % 103 <> 11").select("page_id", "url", body.alias("html"))
     return rest.union(pages.where("page_id % 107 = 13").select(F.col("page_id") + 1_000_000_000_000, "url", "html"))
 
