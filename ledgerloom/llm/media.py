@@ -5,7 +5,8 @@ positive multiple of 192, as 8-bit samples: a PNG of 64 RGB pixels a row, its
 samples deflated.  A task writes its images to one tar shard of the shared
 folder, each payload once a shard under its digest, and the rows carry only
 digest, shard, offset and length.  Reading is by ranges: the first 33 bytes of a
-member fill the metadata columns, the whole member gives the payload back.
+member, read alone, fill the metadata columns (width, height, bits, colour); a second
+read of the whole member gives the payload back.
 
 A shard is written under a name of its own attempt, and the rows name the shard
 that their own attempt wrote: a task that runs again leaves a shard that no row
@@ -36,6 +37,8 @@ from .common import new_path, written
 UNIT, WIDTH, PIXEL = 192, 64, 3
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
+#: Reads are dealt by shard and range of this size, in as many tasks as the media need.
+SPREAD_BYTES = 16 << 20
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -152,12 +155,12 @@ def _headers(folder: str):
 
 def with_metadata(index: DataFrame, folder: str) -> DataFrame:
     """The index with ``width, height, bits, colour``, from header-only range reads."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema.fields)
     return index.mapInArrow(_headers(folder), f"{columns}, width int, height int, bits int, colour int")
 
 
-def _features(folder: str):
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def _payloads(folder: str):
+    """Reads whole members and checks them; passes the first columns on."""
 
     def run(batches):
         shards = _Shards(folder)
@@ -169,21 +172,24 @@ def _features(folder: str):
                     seen, last = {}, r["shard"]
                 if r["digest"] not in seen:
                     media = shards.read(r["shard"], r["offset"], r["length"])
-                    width, height, bits, colour = png_header(media[:HEADER_BYTES])
                     payload = from_png(media)
-                    ink = sum(payload) / len(payload)
-                    seen[r["digest"]] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"png {width}x{height}x{bits} colour {colour} mean {ink:.4f}")
+                    seen[r["digest"]] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), sum(payload) / len(payload))
                 out.append(seen[r["digest"]])
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], names)
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
+            new = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "mean"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], [*batch.schema.names, *new])
 
     return run
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
-    """Checksums and features of the payloads as stored, one row per index row."""
-    id_type = index.schema["doc_id"].dataType.simpleString()
-    return index.select("doc_id", "digest", "shard", "offset", "length", "n_bytes").mapInArrow(_features(folder), f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Metadata from header-only reads, checksums and features of the payloads as stored; one row per index row."""
+    spread = index.repartition(F.col("shard"), F.expr(f"offset div {SPREAD_BYTES}"))
+    meta = with_metadata(spread, folder)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in meta.schema.fields)
+    read = meta.mapInArrow(_payloads(folder), f"{columns}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean double")
+    feature = F.format_string("png %dx%dx%d colour %d mean %.4f", "width", "height", "bits", "colour", "mean")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "bits", "colour")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
