@@ -11,7 +11,7 @@ That last threshold is found without sorting documents: sizes are summed by
 source and hash bucket (a sum combined before its shuffle), a running sum over
 a source's buckets shows which bucket holds the threshold, and only the rows of
 that boundary bucket are summed again by the next bits of the hash.  After
-three levels of 4,096 buckets the boundary holds one document in 2^36, and the
+three levels of 256 buckets the boundary holds one document in 2^24, and the
 exact hash decides.  The document on the threshold gives the words still missing
 (rows that share its hash give equal shares, rounded down).  Thresholds are
 nested: a larger budget takes whatever a smaller one takes, in the same order.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, free_name, written
 
-BITS, LEVELS, HASH_BITS = 12, 3, 60
+BITS, LEVELS, HASH_BITS = 8, 3, 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -39,8 +39,8 @@ END_ID = 2
 #: Chunks that are a run of letters and then a run of marks, which this kind of tokenizer cuts apart.
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[.,!?;:%$#&*|()\"/+=<>@_-]*)$"
 _PROBES = ("one two", "Abc!?", "IDLE, ???", "é... ß:", "a_b <x> it's 12a3", " \t lead", "x,y\u00a0z")
-_MOST_KEPT = 250_000
-_SLICE_BYTES = 4 << 20
+_MOST_KEPT = 200_000
+_SLICE_BYTES = 2 << 20
 _PARTS_AT_ONCE = 4096
 
 
