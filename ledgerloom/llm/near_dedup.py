@@ -300,7 +300,9 @@ def _find(docs: DataFrame, percent: int, trees: int, block: int, most: int, dept
     sets = spark.table(sets_name)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.withColumnsRenamed({"cls": "a", "vals": "va"}), "a").join(sets.withColumnsRenamed({"cls": "b", "vals": "vb"}), "b")
+        # A leader has many pairs: its set is written apart, so that this join shuffles two plain tables and can be split.
+        lead = keep(sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi"), "leading")
+        both = pairs.join(sets.withColumnsRenamed({"cls": "b", "vals": "vb"}), "b").join(lead.withColumnsRenamed({"cls": "a", "vals": "va"}), "a")
         return keep(both.select("a", "b", "va", "vb").mapInArrow(_confirm(percent), "a binary, b binary"), "confirmed")
 
     sketches = classes.select("cls", "sketch")
@@ -342,7 +344,7 @@ def _find(docs: DataFrame, percent: int, trees: int, block: int, most: int, dept
     return rows, classes, named
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 256, most: int = 2048, depth: int = 4, tokens: int = 6, miss: float = 1e-5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 1024, most: int = 2048, depth: int = 4, tokens: int = 6, miss: float = 1e-5) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept`` (see the module's text)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, classes, named = _find(docs, percent, trees, block, most, depth, tokens, miss)
@@ -353,7 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 256, most: int = 2048, depth: int = 4, tokens: int = 6, miss: float = 1e-5) -> DataFrame:
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 1024, most: int = 2048, depth: int = 4, tokens: int = 6, miss: float = 1e-5) -> DataFrame:
     """The input's rows and columns, with one row of each group of near duplicates.
 
     The row of least id stays (a null id only where a group has no other), of rows
@@ -395,8 +397,9 @@ def _meeting(members: DataFrame, part: str) -> DataFrame:
     return met.withColumn(part, F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).drop("blocks", "own", "other")
 
 
-def _split(alike: DataFrame, sizes: DataFrame, keep, most_shingles: int = 1 << 19) -> DataFrame:
-    """Groups, dealt again over blocks that meet two by two where their sets hold more than ``most_shingles`` together."""
+def _split(alike: DataFrame, sizes: DataFrame, keep, most_shingles: int = 1 << 18, most_sets: int = 400) -> DataFrame:
+    """Groups, dealt again over blocks that meet two by two where they have more sets, or sets of more shingles together, than a block takes."""
     sized = keep(alike.join(sizes, "cls"), "alike")
-    weight = keep(sized.groupBy("node", "part").agg(F.ceil(F.sum("n_shingles") / F.lit(most_shingles)).cast("int").alias("blocks")), "weights")
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / F.lit(most_shingles)), F.ceil(F.count(F.lit(1)) / F.lit(most_sets)))
+    weight = keep(sized.groupBy("node", "part").agg(blocks.cast("int").alias("blocks")), "weights")
     return _meeting(sized.join(weight, ["node", "part"]), "again").select("node", "part", "again", "cls", "label")
