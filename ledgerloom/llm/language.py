@@ -59,16 +59,23 @@ def _model_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "cell", "n"])
 
 
-def learn(docs: DataFrame, most_docs: int = 4_000, most_languages: int = 200) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log probabilities by cell, from ``lang, text`` of at most ``most_docs`` documents."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", "lang")
-    ids = known.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "lang").limit(most_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "lang")
+def learn(docs: DataFrame, most_docs: int = 4_000, most_languages: int = 200, least_docs: int = 200) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their log probabilities by cell, from ``lang, text``.
+
+    The languages are those of a count over all documents.  Each has an even share
+    of about ``most_docs`` documents, ``least_docs`` or all it has at least, chosen
+    by hash, so that a rare language has a model as well.
+    """
+    known = docs.where("lang is not null and text is not null")
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"over {most_languages} languages; at most so many have models")
+    share = max(least_docs, most_docs // max(1, len(sizes)))
+    below = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1 << 30, (share << 30) // n))]) if sizes else F.create_map().cast("map<string,bigint>")
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) < below[F.col("lang")]).select("text", "lang")
     counts = sample.mapInArrow(_model_counts, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()  # at most most_languages * CELLS numbers
-    langs = sorted(rows.lang.unique())
-    if len(langs) > most_languages:
-        raise ValueError(f"{len(langs)} languages; at most {most_languages} have models")
+    langs = sorted(sizes)
     table = np.full((len(langs), CELLS), 0.5)
     for k, lang in enumerate(langs):
         own = rows[rows.lang == lang]
@@ -130,7 +137,9 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     hosts = written(hosts, "hosts")
     domains = hosts.groupBy("domain").agg(*[F.sum(c).alias(f"d{c}") for c in named])
     hosts = written(hosts.join(domains, "domain").select("host", *named, *[f"d{c}" for c in named]), "host-priors")
-    spread = post.join(hosts, "host", "left")
+    # Pages without a host meet nothing: they are dealt evenly instead of under one key.
+    at = F.when(F.col("host") != "", F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("page_id", "evidence").cast("string")))
+    spread = post.withColumn("at", at).join(hosts.withColumnRenamed("host", "at"), "at", "left")
     own = lambda k: F.get("p", F.lit(k))
     zero = F.lit(0.0)
     of_domain = [F.greatest(F.coalesce(F.col(f"ds{k}") - own(k), zero), zero) for k in range(n)]

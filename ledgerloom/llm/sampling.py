@@ -23,5 +23,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(remainder(F.col("doc_id"), folds) != remain)
     ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")  # one row an id, whatever repeats it
     return written(rows.withColumn("half", (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2))).cast("int")), "labelled")
