@@ -173,9 +173,9 @@ def _payloads(folder: str):
                 if r["digest"] not in seen:
                     media = shards.read(r["shard"], r["offset"], r["length"])
                     payload = from_png(media)
-                    seen[r["digest"]] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), sum(payload) / len(payload))
+                    seen[r["digest"]] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{sum(payload) / len(payload):.4f}")
                 out.append(seen[r["digest"]])
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             new = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "mean"]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], [*batch.schema.names, *new])
 
@@ -187,8 +187,8 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
     spread = index.repartition(F.col("shard"), F.expr(f"offset div {SPREAD_BYTES}"))
     meta = with_metadata(spread, folder)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in meta.schema.fields)
-    read = meta.mapInArrow(_payloads(folder), f"{columns}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean double")
-    feature = F.format_string("png %dx%dx%d colour %d mean %.4f", "width", "height", "bits", "colour", "mean")
+    read = meta.mapInArrow(_payloads(folder), f"{columns}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean string")
+    feature = F.format_string("png %dx%dx%d colour %d mean %s", "width", "height", "bits", "colour", "mean")
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "bits", "colour")
 
 
