@@ -37,8 +37,8 @@ def bag_vector(text: Column, vocabulary=VOCABULARY) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """All ``[n]`` as numbers, in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int"))
+    """All ``[n]`` as numbers, in order; one too large for an integer is the largest, so still out of range."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: F.coalesce(x.try_cast("int"), F.lit(2**31 - 1)))
 
 
 def paragraphs(text: Column) -> Column:

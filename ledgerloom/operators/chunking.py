@@ -43,15 +43,16 @@ def chunks_of(sections: list[dict], most: int = 2000, least: int = 200) -> Itera
         if heading:
             above = [x for x in above if x[0] < level]
             above.append((level, heading))
-        path = [h for _, h in above]
+        path = [h for _, h in above] if heading else []
         if not body:
             continue
         if held is not None:
             if len(held[1]) + 2 + len(body) <= most:
-                yield held[0], f"{held[1]}\n\n{body}", heading
+                # A held part without a heading takes the later one's path, and so spans no second heading.
+                yield held[0] or path, f"{held[1]}\n\n{body}", heading if held[0] else None
                 held = None
                 continue
-            yield held[0], held[1], None
+            yield from ((held[0], piece, None) for piece in split_oversized(held[1], most))
             held = None
         if len(body) < least:
             held = (path, body, heading)
@@ -59,7 +60,7 @@ def chunks_of(sections: list[dict], most: int = 2000, least: int = 200) -> Itera
         for piece in split_oversized(body, most):
             yield path, piece, None
     if held is not None:
-        yield held[0], held[1], None
+        yield from ((held[0], piece, None) for piece in split_oversized(held[1], most))
 
 
 def _run(most: int, least: int):

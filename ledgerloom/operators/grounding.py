@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import citations, declines, lenient_json, paragraphs, quote_present, sentences, words
 
 LEAD_IN_WORDS, EXEMPT_WORDS, CLAIM_WORDS = 25, 6, 4
-MARKER = "INSUFFICIENT_CONTEXT"
+#: Fixed value: what a model says when it declines.
+MARKER = "INSUFFICIENT_EVIDENCE"
 #: Markdown that is structure, not a claim.
 STRUCTURE = r"^(?:#{1,6}\s|\|.*\||-{3,}$|\*{2,}$|\d+\.$|[-*+]$|\*\*[^*]+:\*\*$)"
 

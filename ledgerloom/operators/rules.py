@@ -58,8 +58,8 @@ def normal_status(name: Column) -> Column:
 def quoted(text: Column) -> Column:
     """Single quotes, or double ones around a text that holds single ones only."""
     double = text.contains("'") & ~text.contains('"')
-    escaped = F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\\\\\"), "'", r"\\\\'")
-    return F.when(double, F.concat(F.lit('"'), F.regexp_replace(text, r"\\", r"\\\\\\\\"), F.lit('"'))).otherwise(F.concat(F.lit("'"), escaped, F.lit("'")))
+    plain = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
 def _cite(cfg: RiskConfig, key: Column, excerpt: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,16 +69,37 @@ def totals(spans: DataFrame) -> DataFrame:
     )
 
 
-def index_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+def index_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = (0.5, 0.95), buckets: int = 1024) -> DataFrame:
     """mean, percentiles by index ``min(int(n * p), n - 1)`` of the sorted values, and max.
 
-    Ranks come from a window, so a group is sorted (and spilled) by Spark rather than
-    gathered into an array.
+    Equal values are counted together first (combined before the shuffle).  A
+    histogram of ``buckets`` even parts of a group's range tells the part that holds
+    each index, a second one divides that part again, and only the values in it are
+    put in order: no task sorts a whole group.  Nulls are left out.
     """
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("__r") == F.least(F.floor(F.col("__n") * F.lit(p)), F.col("__n") - 1), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *[at(p).alias(f"p{round(100 * p)}") for p in points], F.max(value).alias("max"))
+    df = df.where(F.col(value).isNotNull())
+    names = [f"k{i}" for i in range(len(keys))]
+    by = lambda *more: Window.partitionBy(*names, *more)
+    same = lambda a, b: F.lit(True) if not names else functools.reduce(lambda x, y: x & y, [F.col(f"{a}{n}").eqNullSafe(F.col(f"{b}{n}")) for n in names])
+    values = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = values.groupBy(*names).agg(F.sum("n").alias("all"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    point = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)]))
+    asked = ends.withColumn("x", point).select(*[F.col(n).alias(f"a_{n}") for n in names], "lo", "hi", F.col("x.i").alias("i"), F.least(F.floor(F.col("all") * F.col("x.p")), F.col("all") - 1).alias("index"))
+    part = lambda lo, hi: F.when(F.col(hi) > F.col(lo), F.least(F.greatest(F.lit(0), F.floor((F.col("v") - F.col(lo)) / (F.col(hi) - F.col(lo)) * buckets)), F.lit(buckets - 1))).otherwise(0).cast("int")
+    rows = values.join(asked, same("", "a_")).drop(*[f"a_{n}" for n in names])
+    for level in range(2):
+        rows = rows.withColumn("b", part("lo", "hi"))
+        sums = rows.groupBy(*names, "i", "index", "b").agg(F.sum("n").alias("m"))
+        upto = F.sum("m").over(by("i").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        hit = sums.withColumn("upto", upto).where("index < upto and index >= upto - m").select(*[F.col(n).alias(f"h_{n}") for n in names], F.col("i").alias("h_i"), F.col("b").alias("h_b"), (F.col("index") - F.col("upto") + F.col("m")).alias("rest"))
+        rows = rows.join(hit, same("", "h_") & (F.col("i") == F.col("h_i")) & (F.col("b") == F.col("h_b")))
+        width = (F.col("hi") - F.col("lo")) / buckets
+        rows = rows.select(*names, "v", "n", "i", F.col("rest").alias("index"), (F.col("lo") + width * F.col("b")).alias("lo"), (F.col("lo") + width * (F.col("b") + 1)).alias("hi"))
+    upto = F.sum("n").over(by("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("upto", upto).where("index < upto and index >= upto - n")
+    found = found.groupBy(*[F.col(n).alias(f"f_{n}") for n in names]).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
+    out = ends.join(found, same("", "f_"))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], F.col("all").alias("n"), "mean", *[f"p{round(100 * p)}" for p in points], F.col("hi").alias("max"))
 
 
 def slowest(spans: DataFrame, n: int = 5) -> DataFrame:

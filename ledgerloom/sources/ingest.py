@@ -6,25 +6,26 @@ import json
 import re
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..operators.rules import current_sprint
 
 _STATUS = "struct<name: string, statusCategory: struct<key: string>>"
 _SIDE = f"struct<key: string, fields: struct<summary: string, status: {_STATUS}>>"
 RAW_ISSUE = (
-    f"struct<key: string, fields: struct<summary: string, project: struct<key: string>, status: {_STATUS}, assignee: struct<accountId: string>, created: string, updated: string, duedate: string, release: string, "
+    f"struct<key: string, fields: struct<summary: string, project: struct<key: string>, status: {_STATUS}, assignee: struct<accountId: string>, created: string, updated: string, duedate: string, "
     "comment: struct<comments: array<struct<id: string, author: struct<accountId: string>, created: string, body: string>>>, "
     f"issuelinks: array<struct<type: struct<name: string, inward: string, outward: string>, inwardIssue: {_SIDE}, outwardIssue: {_SIDE}>>>, "
     "changelog: struct<histories: array<struct<created: string, author: struct<accountId: string>, items: array<struct<field: string, fromString: string, toString: string>>>>>>"
 )
 #: Categories, phrases that mean "the other issue blocks this one", and link aliases in order.
 CATEGORIES = {"new": "todo", "indeterminate": "in_progress", "done": "done"}
-BLOCKED_BY = ("is blocked by", "blocked by", "depends on", "is dependent on")
-LINK_ALIASES = (("block", "blocks"), ("depend", "depends_on"), ("relate", "relates_to"), ("duplicate", "duplicates"), ("clone", "clones"))
+BLOCKED_BY = ("is blocked by", "depends on", "is caused by", "is prevented by")
+LINK_ALIASES = (("blocks", "blocks"), ("dependency", "depends_on"), ("depends", "depends_on"), ("relates", "relates_to"), ("duplicate", "duplicates"), ("cloners", "clones"))
 
 
 def timestamp(text: Column) -> Column:
@@ -117,21 +118,35 @@ def flatten_rich_text(raw):
     return raw.map(one)
 
 
+def _body(x: str | None) -> str:
+    """A comment's body: a tree, or a text that stays as it is."""
+    if x is None or not x.lstrip().startswith("{"):
+        return x or ""
+    try:
+        return rich_text(json.loads(x))
+    except ValueError:
+        return x
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _flat_bodies(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda xs: [_body(x) for x in xs])
+
 
 def map_issues(raw: DataFrame, release_field: str = "release") -> tuple[DataFrame, DataFrame]:
     """(issues, gaps) from ``payload`` (JSON text of one issue, the tenant's release field named).
 
     A row without a key, project or creation time is a gap, not an issue.
     """
-    named = F.regexp_replace("payload", f'"{re.escape(release_field)}"', '"release"')
-    parsed = raw.withColumn("r", F.from_json(named, RAW_ISSUE, {"mode": "PERMISSIVE"}))
+    parsed = raw.withColumn("r", F.from_json("payload", RAW_ISSUE, {"mode": "PERMISSIVE"}))
+    parsed = parsed.withColumn("bodies", _flat_bodies(F.transform(F.coalesce("r.fields.comment.comments", F.array()), lambda c: c["body"])))
     f = F.col("r.fields")
     moves = changes(F.col("r.changelog.histories"))
     flat = parsed.select(
         "payload", F.col("r.key").alias("key"), f["project"]["key"].alias("project_key"), f["summary"].alias("summary"), f["status"]["name"].alias("status_name"),
         category(F.coalesce(f["status"]["statusCategory"]["key"], F.lit("new"))).alias("status_category"), f["assignee"]["accountId"].alias("assignee_id"), F.lit(None).cast("double").alias("story_points"),
-        release(_raw_json(named)).alias("target_release"), timestamp(f["created"]).alias("created_at"), timestamp(f["updated"]).alias("updated_at"), due_date(f["duedate"]).alias("due_date"),
-        F.transform(F.coalesce(f["comment"]["comments"], F.array()), lambda c: F.struct(c["id"].alias("id"), c["body"].alias("body"), c["author"]["accountId"].alias("author_id"), timestamp(c["created"]).alias("created_at"))).alias("comments"),
+        release(_raw_json(F.col("payload"), release_field)).alias("target_release"), timestamp(f["created"]).alias("created_at"), timestamp(f["updated"]).alias("updated_at"), due_date(f["duedate"]).alias("due_date"),
+        F.transform(F.coalesce(f["comment"]["comments"], F.array()), lambda c, i: F.struct(c["id"].alias("id"), F.get("bodies", i).alias("body"), c["author"]["accountId"].alias("author_id"), timestamp(c["created"]).alias("created_at"))).alias("comments"),
         moves.alias("changelog"), links(f["issuelinks"]).alias("links"),
     )
     good = F.col("key").isNotNull() & F.col("project_key").isNotNull() & F.col("created_at").isNotNull()
@@ -140,8 +155,9 @@ def map_issues(raw: DataFrame, release_field: str = "release") -> tuple[DataFram
     return issues, gaps
 
 
-def _raw_json(payload: Column) -> Column:
-    return F.to_json(F.try_variant_get(F.try_parse_json(payload), "$.fields.release", "variant"))
+def _raw_json(payload: Column, field: str) -> Column:
+    """A field of the issue by its path, as JSON text."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(payload), f'$.fields["{field}"]', "variant"))
 
 
 class _Storage(HTMLParser):
@@ -163,7 +179,7 @@ class _Storage(HTMLParser):
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag in ("ac:structured-macro", "ac:macro"):
-            dropped = attrs.get("ac:name", "") not in self.KEPT
+            dropped = (attrs.get("ac:name") or "").lower() not in self.KEPT
             self.macros.append(dropped)
             self.skip += dropped
         elif tag in self.SILENT:
@@ -211,13 +227,14 @@ def sections_of(html: str | None) -> list[dict]:
 def _sections(batches):
     kind = pa.list_(pa.struct([("heading", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sections_of(x) for x in batch.column(2).to_pylist()], kind)], ["page_id", "title", "sections"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array([sections_of(x) for x in batch.column(2).to_pylist()], kind)], [*batch.schema.names[:2], *batch.schema.names[3:], "sections"])
 
 
-def page_sections(pages: DataFrame, id_col: str = "page_id", title_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, title, sections`` of pages in storage format; one row a page, no shuffle."""
-    rows = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(title_col).cast("string").alias("title"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_sections, "page_id string, title string, sections array<struct<heading: string, level: int, text: string>>")
+def page_sections(pages: DataFrame, id_col: str = "page_id", title_col: str = "url", html_col: str = "html", keep: str | None = None) -> DataFrame:
+    """``page_id, title, sections`` of pages in storage format, and a column ``keep``; one row a page, no shuffle."""
+    rows = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(title_col).cast("string").alias("title"), F.col(html_col).cast("string").alias("html"), *([keep] if keep else []))
+    kept = f"{keep} {pages.schema[keep].dataType.simpleString()}, " if keep else ""
+    return rows.mapInArrow(_sections, f"page_id string, title string, {kept}sections array<struct<heading: string, level: int, text: string>>")
 
 
 def read_issue_pages(spark: SparkSession, path: str) -> DataFrame:
