@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunking, evaluation, grounding, report, retrieval, rules, trace
+from .operators import chunking, evaluation, grounding, ranks, report, retrieval, rollup, rules, trace, wording
 from .plans import gates, views
-from .sources import ingest
+from .sources import ingest, readers
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -160,12 +160,12 @@ def findings_text(spark, sf_dir):
     return report.findings_text(_findings(spark, sf_dir))
 
 
-@_query("SELECT c_mktsegment AS project_key, CASE WHEN count(*) FILTER (WHERE c_acctbal < -900) > 0 THEN 'partial' ELSE 'complete' END AS status, CASE WHEN count(*) FILTER (WHERE c_acctbal < -900) > 0 THEN arg_min(CASE WHEN c_custkey % 2 = 0 THEN 'rate_limited' ELSE 'timeout' END, c_custkey) FILTER (WHERE c_acctbal < -900) END AS reason FROM customer GROUP BY 1")
+@_query("SELECT c_mktsegment AS project_key, CASE WHEN count(*) FILTER (WHERE c_acctbal < -990) > 0 OR c_mktsegment LIKE 'M%' THEN 'partial' ELSE 'complete' END AS status, CASE WHEN count(*) FILTER (WHERE c_acctbal < -990) > 0 THEN arg_min(CASE WHEN c_custkey % 2 = 0 THEN 'rate_limited' ELSE 'timeout' END, c_custkey) FILTER (WHERE c_acctbal < -990) WHEN c_mktsegment LIKE 'M%' THEN 'aborted' END AS reason FROM customer GROUP BY 1")
 def completeness_gate(spark, sf_dir):
     c = views.read(spark, sf_dir, "customer")
     projects = c.select(F.col("c_mktsegment").alias("project_key")).distinct()
-    gaps = c.where("c_acctbal < -900").select(F.col("c_mktsegment").alias("scope"), F.when(F.col("c_custkey") % 2 == 0, "rate_limited").otherwise("timeout").alias("reason"), F.col("c_custkey").alias("seq"))
-    return gates.project_status(projects, projects, gaps)
+    gaps = c.where("c_acctbal < -990").select(F.col("c_mktsegment").alias("scope"), F.when(F.col("c_custkey") % 2 == 0, "rate_limited").otherwise("timeout").alias("reason"), F.col("c_custkey").alias("seq"))
+    return gates.project_status(projects, projects.where("project_key not like 'M%'"), gaps)
 
 
 # --------------------------------------------------------------------- trace
@@ -245,18 +245,24 @@ def _tok(text):
     return f"list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z0-9][A-Za-z0-9._-]*'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP}))"
 
 
-CHUNKS = """
-WITH ch AS (SELECT doc_id * 100000 + p - 1 AS ord, doc_id || '#' || (p - 1) AS chunk_id, l[p] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS p) WHERE length(l[p]) > 0)"""
-BM25 = (
-    CHUNKS
-    + f""",
-tk AS (SELECT ord, {_tok('text')} AS t FROM ch), ln AS (SELECT ord, len(t) AS len FROM tk),
-po AS (SELECT ord, term, count(*) AS tf FROM (SELECT ord, unnest(t) AS term FROM tk) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+CHUNKS = f"""
+WITH ch AS MATERIALIZED (SELECT doc_id * {views.MOST_LINES} + p - 1 AS ord, doc_id || '#' || (p - 1) AS chunk_id, l[p] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS p) WHERE length(l[p]) > 0)"""
+
+
+def _bm25(every):
+    return (
+        CHUNKS
+        + f""",
+tk AS MATERIALIZED (SELECT ord, {_tok('text')} AS t FROM ch), ln AS (SELECT ord, len(t) AS len FROM tk),
+po AS MATERIALIZED (SELECT ord, term, count(*) AS tf FROM (SELECT ord, unnest(t) AS term FROM tk) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
 st AS (SELECT count(*) AS n, CASE WHEN avg(len) > 0 THEN avg(len) ELSE 1 END AS av FROM ln),
-q AS (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark WHERE item_id < 8),
-bm AS (SELECT query_id, ord, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))) AS score FROM q JOIN po USING (term) JOIN df USING (term) JOIN ln USING (ord), st GROUP BY 1, 2),
-kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM bm) WHERE rank < 30)"""
-)
+q AS (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark WHERE item_id % {every} = 0),
+bm AS MATERIALIZED (SELECT query_id, ord, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))) AS score FROM q JOIN po USING (term) JOIN df USING (term) JOIN ln USING (ord), st GROUP BY 1, 2),
+kr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM bm) WHERE rank < 30)"""
+    )
+
+
+BM25, BM25_SEARCH = _bm25(1), _bm25(50)  # evaluation takes every item, a search those whose id 50 divides
 
 
 @_query(CHUNKS + f" SELECT chunk_id, len({_tok('text')})::INT AS n_tokens FROM ch")
@@ -269,28 +275,37 @@ def doc_frequency(spark, sf_dir):
     return retrieval.corpus_document_frequency(views.chunks(spark, sf_dir))
 
 
-@_query(BM25 + " SELECT query_id, ord, rank::INT AS rank, round(score, 6) AS score FROM kr WHERE rank < 10")
+@_query(BM25_SEARCH + " SELECT query_id, ord, rank::INT AS rank, round(score, 6) AS score FROM kr WHERE rank < 10")
 def bm25_topk(spark, sf_dir):
-    return retrieval.ranked(retrieval.bm25(views.chunks(spark, sf_dir), views.questions(spark, sf_dir)), 10, digits=9).withColumn("score", F.round("score", 6))
+    return retrieval.ranked(retrieval.bm25(views.chunks(spark, sf_dir), views.questions(spark, sf_dir, 50)), 10, digits=9).withColumn("score", F.round("score", 6))
 
 
-_COS = "WITH v AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS vector FROM embeddings), s AS (SELECT a.ord AS query_id, b.ord AS ord, list_cosine_similarity(a.vector, b.vector) AS score FROM v a, v b WHERE a.ord < 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM s)"
+_COS = "WITH v AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS vector FROM embeddings), s AS (SELECT a.ord AS query_id, b.ord AS ord, list_cosine_similarity(a.vector, b.vector) AS score FROM v a, v b WHERE a.ord % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM s)"
 
 
 @_query(_COS + " SELECT query_id, ord, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank < 10")
 def cosine_topk(spark, sf_dir):
     v = views.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    q = v.where("ord < 10").withColumnRenamed("ord", "query_id")
+    q = v.where("ord % 50 = 0").withColumnRenamed("ord", "query_id")
     return retrieval.ranked(retrieval.vector_scores(v, q), 10, digits=9).withColumn("score", F.round("score", 6))
 
 
 def _hybrid(spark, sf_dir, **more):
-    c, q = views.chunks(spark, sf_dir), views.questions(spark, sf_dir)
-    return retrieval.hybrid(c.withColumn("vector", T.bag_vector(F.col("text"))), q.withColumn("vector", T.bag_vector(F.col("text"))), **more)
+    c, q = views.chunks(spark, sf_dir), views.questions(spark, sf_dir, 50)
+    vector = T.bag_vector(F.col("text"), views.VOCABULARY)
+    return retrieval.hybrid(c.withColumn("vector", vector), q.withColumn("vector", vector), **more)
 
 
-# The bag of words knows none of the made-up words, so every cosine is 0 and ranks go by order.
-_RRF = BM25 + ", vr AS (SELECT query_id, ord, rank FROM (SELECT query_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY ord) - 1 AS rank FROM (SELECT DISTINCT item_id AS query_id FROM benchmark WHERE item_id < 8), (SELECT ord FROM ch ORDER BY ord LIMIT 30))), fu AS (SELECT query_id, ord, kr.rank AS kw, vr.rank AS vc, coalesce(1.0 / (60 + kr.rank), 0)::DOUBLE + coalesce(1.0 / (60 + vr.rank), 0)::DOUBLE AS score FROM kr FULL JOIN vr USING (query_id, ord)), po2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, ord) AS position FROM fu)"
+_RRF = (
+    BM25_SEARCH
+    + f""",
+vo AS (SELECT unnest([{', '.join(f"'{v}'" for v in views.VOCABULARY)}]) AS term), vc AS MATERIALIZED (SELECT ord, term, tf FROM po JOIN vo USING (term)), cn AS (SELECT ord, sqrt(sum(tf * tf)) AS norm FROM vc GROUP BY 1),
+vq AS (SELECT query_id, term, count(*) AS tf FROM q JOIN vo USING (term) GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS norm FROM vq GROUP BY 1),
+dt AS (SELECT query_id, ord, sum(vc.tf * vq.tf) AS dot FROM vc JOIN vq USING (term) GROUP BY 1, 2),
+cs AS (SELECT b.query_id, ch.ord, coalesce(dot / (cn.norm * qn.norm), 0) AS score FROM (SELECT item_id AS query_id FROM benchmark WHERE item_id % 50 = 0) b CROSS JOIN ch LEFT JOIN dt ON dt.query_id = b.query_id AND dt.ord = ch.ord LEFT JOIN cn ON cn.ord = ch.ord LEFT JOIN qn ON qn.query_id = b.query_id),
+vr AS (SELECT query_id, ord, rank FROM (SELECT query_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM cs) WHERE rank < 30),
+fu AS (SELECT query_id, ord, kr.rank AS kw, vr.rank AS vc, coalesce(1.0 / (60 + kr.rank), 0)::DOUBLE + coalesce(1.0 / (60 + vr.rank), 0)::DOUBLE AS score FROM kr FULL JOIN vr USING (query_id, ord)), po2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, ord) AS position FROM fu)"""
+)
 
 
 @_query(_RRF + " SELECT query_id, ord, round(score, 9) AS score, position::INT AS position FROM po2 WHERE position <= 5")
@@ -311,23 +326,25 @@ def multi_query_rrf(spark, sf_dir):
     return retrieval.fuse_subqueries(hits).withColumn("fused", F.round("fused", 9))
 
 
-@_query(CHUNKS + f", t AS (SELECT chunk_id, list_transform([{', '.join(repr(v) for v in T.VOCABULARY)}], lambda v: len(list_filter({_tok('text')}, lambda x: x = v))) AS c FROM ch) SELECT chunk_id, round(coalesce(sqrt(list_sum(list_transform(c, lambda x: x * x))) / nullif(sqrt(list_sum(list_transform(c, lambda x: x * x))), 0), 0), 6) AS norm FROM t")
+@_query(CHUNKS + f", t AS (SELECT chunk_id, {_tok('text')} AS t FROM ch), v AS (SELECT chunk_id, list_transform([{', '.join(repr(v) for v in views.VOCABULARY)}], lambda v: len(list_filter(t, lambda x: x = v))) AS c FROM t) SELECT chunk_id, round(coalesce(c[1] / nullif(sqrt(list_sum(list_transform(c, lambda x: x * x))), 0), 0), 6) AS first, list_sum(list_transform(c, lambda x: (x > 0)::INT))::INT AS words FROM v")
 def bow_embedding(spark, sf_dir):
-    v = views.chunks(spark, sf_dir).select("chunk_id", T.bag_vector(F.col("text")).alias("v"))
-    return v.select("chunk_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+    v = views.chunks(spark, sf_dir).select("chunk_id", T.bag_vector(F.col("text"), views.VOCABULARY).alias("v"))
+    return v.select("chunk_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.size(F.filter("v", lambda x: x > 0)).alias("words"))
 
 
-@_query()
+@_query("SELECT n_nationkey, s.i::INT AS sub, s.q AS question FROM (SELECT n_nationkey, 'Nation_' || split_part(n_name, '_', 2) AS x, n_nationkey % 3 AS k FROM nation), LATERAL (SELECT unnest(CASE k WHEN 0 THEN [{'i': 0, 'q': 'Who owns ' || x || ' exports'}, {'i': 1, 'q': 'what are the open risks ' || x}, {'i': 2, 'q': 'when does it ship ' || x}] WHEN 1 THEN [{'i': 0, 'q': 'Is ' || x || ' late this week'}, {'i': 1, 'q': 'any dates slip for it ' || x}, {'i': 2, 'q': 'there is a backlog for ' || x}] ELSE [{'i': 0, 'q': 'Is ' || x || ' blocked and why or how?'}] END) AS s)")
 def decompose_questions(spark, sf_dir):
-    q = views.read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("Who owns "), F.initcap("n_name"), F.lit(" exports and what are the open risks, and when does it ship?")).alias("text"))
+    k, name = F.col("n_nationkey") % 3, F.initcap("n_name")
+    text = F.when(k == 0, F.concat(F.lit("Who owns "), name, F.lit(" exports and what are the open risks, and when does it ship?"))).when(k == 1, F.concat(F.lit("Is "), name, F.lit(" late this week, and any dates slip for it and there is a backlog for "), name, F.lit("?"))).otherwise(F.concat(F.lit("Is "), name, F.lit(" blocked and why or how?")))
+    q = views.read(spark, sf_dir, "nation").select("n_nationkey", text.alias("text"))
     return q.select("n_nationkey", F.posexplode(retrieval.subqueries(F.col("text"))).alias("sub", "question"))
 
 
 # ---------------------------------------------------------------- evaluation
 
 _CASES = BM25 + """, pg AS (SELECT query_id, list(chunk_id[:strpos(chunk_id, '#') - 1] ORDER BY rank) AS retrieved FROM kr JOIN ch USING (ord) WHERE rank < 5 GROUP BY 1),
-re AS (SELECT item_id, list(doc_id::VARCHAR) AS relevant FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE item_id < 8 GROUP BY 1),
-ca AS (SELECT item_id AS case_id, 'k' || item_id % 3 AS category, coalesce(relevant, []) AS relevant, coalesce(retrieved, []) AS retrieved, list_filter(coalesce(retrieved, []), lambda p: p::BIGINT % 3 = 0) AS bad FROM benchmark LEFT JOIN re USING (item_id) LEFT JOIN pg ON query_id = item_id WHERE item_id < 8),
+re AS (SELECT item_id, list(doc_id::VARCHAR) AS relevant FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) GROUP BY 1),
+ca AS (SELECT item_id AS case_id, 'k' || item_id % 3 AS category, coalesce(relevant, []) AS relevant, coalesce(retrieved, []) AS retrieved, list_filter(coalesce(retrieved, []), lambda p: p::BIGINT % 3 = 0) AS bad FROM benchmark LEFT JOIN re USING (item_id) LEFT JOIN pg ON query_id = item_id),
 cr AS (SELECT *, list_min(list_filter(list_transform(relevant, lambda r: list_position(retrieved, r)), lambda p: p > 0)) AS first FROM ca)"""
 
 
@@ -337,7 +354,7 @@ def _cases(spark, sf_dir):
     hits = retrieval.ranked(retrieval.bm25(c, q), 5, digits=9).join(c.select("ord", "page_id"), "ord")
     got = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page_id"))), lambda x: x["page_id"]).alias("retrieved"))  # at most five a query
     docs = views.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    relevant = docs.join(F.broadcast(q), F.contains("body", "text")).groupBy("query_id").agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant"))
+    relevant = docs.join(retrieval.small(q), F.contains("body", "text")).groupBy("query_id").agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant"))
     none = F.array().cast("array<string>")
     cases = q.join(relevant, "query_id", "left").join(got, "query_id", "left").select(F.col("query_id").alias("case_id"), F.concat(F.lit("k"), (F.col("query_id") % 3).cast("string")).alias("category"), F.coalesce("relevant", none).alias("relevant"), F.coalesce("retrieved", none).alias("retrieved"))
     return evaluation.case_results(cases.withColumn("forbidden", F.filter("retrieved", lambda p: p.cast("long") % 3 == 0)))
@@ -405,9 +422,19 @@ def extract_claims(spark, sf_dir):
     return grounding.claims(views.answers(spark, sf_dir)).select("answer_id", "par", "pos", "claim", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"))
 
 
-@_query(ANSWERS + r" SELECT outcome, count(*) AS answers FROM (SELECT an.answer_id, CASE WHEN coalesce(u, 0) = 0 AND len(list_filter(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: x::INT > 5)) = 0 THEN 'answered' ELSE 'failed_grounding_check' END AS outcome FROM an LEFT JOIN (SELECT answer_id, count(*) FILTER (WHERE uncited) AS u FROM ex GROUP BY 1) USING (answer_id)) GROUP BY 1")
+_TAXONOMY = """
+, ot AS (SELECT an.answer_id, CASE split_part(an.answer_id, '-', 1)::BIGINT % 11 WHEN 0 THEN 'no_context_retrieved' WHEN 1 THEN 'model_declined' WHEN 2 THEN 'model_declined_without_marker' ELSE
+  CASE WHEN coalesce(u, 0) = 0 AND len(list_filter(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: x::INT > 5)) = 0 THEN 'answered' ELSE 'failed_grounding_check' END END AS outcome
+  FROM an LEFT JOIN (SELECT answer_id, count(*) FILTER (WHERE uncited) AS u FROM ex GROUP BY 1) USING (answer_id))"""
+
+
+@_query(ANSWERS + _TAXONOMY + " SELECT outcome, count(*) AS answers FROM ot GROUP BY 1")
 def refusal_taxonomy(spark, sf_dir):
-    return grounding.outcome(grounding.check(views.answers(spark, sf_dir))).groupBy("outcome").agg(F.count(F.lit(1)).alias("answers"))
+    a = views.answers(spark, sf_dir)
+    k = F.split("answer_id", "-")[0].cast("long") % 11
+    text = F.when(k == 1, "INSUFFICIENT_EVIDENCE: nothing here says so.").when(k == 2, "The passages do not mention this delivery at all").otherwise(F.col("text"))
+    a = a.withColumn("text", text).withColumn("passages", F.when(k == 0, 0).otherwise(F.col("passages")))
+    return grounding.outcome(grounding.check(a)).groupBy("outcome").agg(F.count(F.lit(1)).alias("answers"))
 
 
 @_query("SELECT item_id, contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(substr(text, 1, 20), '\\s+', ' ', 'g')))) AS whole, item_id % 2 = 0 AS elided FROM benchmark")
@@ -418,10 +445,13 @@ def quote_present(spark, sf_dir):
     return b.select("item_id", T.quote_present(head, F.col("text")).alias("whole"), T.quote_present(quote, F.col("text")).alias("elided"))
 
 
-@_query("SELECT conv_id, turn, regexp_matches(lower(t), '\\bflag\\b|\\bescalate\\b|\\bcomment\\s+on\\b') AND NOT regexp_matches(lower(t), '^(who|whom|whose|what|which|why|when|where|how)\\b') AS wants FROM (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'Why flag ' WHEN 1 THEN 'Please flag ' WHEN 2 THEN 'Comment on ' ELSE 'flagged ' END || text AS t FROM conversations)")
+_ASKED = ("Why flag ", "Please flag ", "Comment on ", "flagged ", "Mark this one as at-risk ", "Leave a short note ", "Escalate this ")
+
+
+@_query(f"SELECT conv_id, turn, regexp_matches(lower(t), '\\bflag\\b|\\bescalate\\b|\\bcomment\\s+on\\b|\\b(mark|label|tag|raise)\\b.{{0,40}}\\bat[-\\s]?risk\\b|\\b(add|leave|post|write)\\b.{{0,25}}\\b(comment|note)\\b') AND NOT regexp_matches(lower(t), '^(who|whom|whose|what|which|why|when|where|how)\\b') AS wants FROM (SELECT conv_id, turn, [{', '.join(repr(x) for x in _ASKED)}][conv_id % 7 + 1] || text AS t FROM conversations)")
 def write_intent(spark, sf_dir):
     c = views.read(spark, sf_dir, "conversations")
-    start = F.when(F.col("conv_id") % 4 == 0, "Why flag ").when(F.col("conv_id") % 4 == 1, "Please flag ").when(F.col("conv_id") % 4 == 2, "Comment on ").otherwise("flagged ")
+    start = F.element_at(F.array(*[F.lit(x) for x in _ASKED]), (F.col("conv_id") % 7 + 1).cast("int"))
     return c.select("conv_id", "turn", T.write_intent(F.concat(start, F.col("text"))).alias("wants"))
 
 
@@ -507,9 +537,21 @@ def unnest_changelog(spark, sf_dir):
     return c.select("o_orderkey", F.size("c").cast("long").alias("changes"), F.size(F.filter("c", lambda x: F.lower(x["field"]) == "sprint")).cast("long").alias("moves"))
 
 
-@_query("SELECT p_type, CASE WHEN lower(p_type) LIKE '%block%' THEN 'blocks' WHEN lower(p_type) LIKE '%depend%' THEN 'depends_on' WHEN lower(p_type) LIKE '%relate%' THEN 'relates_to' WHEN lower(p_type) LIKE '%duplicate%' THEN 'duplicates' WHEN lower(p_type) LIKE '%clone%' THEN 'clones' ELSE replace(lower(trim(p_type)), ' ', '_') END AS kind, count(*) AS n FROM part GROUP BY 1, 2")
+_LINK_NAMES = ("Blocks", "Dependency", "Depends On", "Relates", "Duplicate", "Cloners", "Blocker", " Custom Link ")
+_LINK_INWARD = ("is blocked by", " Depends On ", "is caused by", "is prevented by", "is duplicated by", "blocked by", "relates to", "is dependent on")
+
+
+@_query("SELECT p_partkey, 'K-' || CASE p_size % 4 WHEN 1 THEN 'out' ELSE 'in' END AS target_key, ['blocks', 'depends_on', 'depends_on', 'relates_to', 'duplicates', 'clones', 'blocker', 'custom_link'][p_partkey % 8 + 1] AS link_type, CASE WHEN p_size % 4 = 1 THEN p_partkey % 2 = 0 ELSE p_partkey % 8 < 4 END AS target_blocks_this, CASE p_size % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'todo' END AS target_status_category FROM part WHERE p_size % 4 < 3")
 def link_direction(spark, sf_dir):
-    return views.read(spark, sf_dir, "part").groupBy("p_type", ingest.link_type(F.col("p_type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """An inward side counts before an outward one (sizes 0 and 2 mod 4 have it); without either there is no link."""
+    p = views.read(spark, sf_dir, "part")
+    pick = lambda words: F.element_at(F.array(*[F.lit(x) for x in words]), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    status = F.when(F.col("p_size") % 3 == 0, "done").when(F.col("p_size") % 3 == 1, "new").otherwise("odd")
+    side = lambda key, when: F.when(when, F.struct(F.lit(key).alias("key"), F.struct(F.lit("s").alias("summary"), F.struct(F.lit("n").alias("name"), F.struct(status.alias("key")).alias("statusCategory")).alias("status")).alias("fields")))
+    k = F.col("p_size") % 4
+    kind = F.struct(pick(_LINK_NAMES).alias("name"), pick(_LINK_INWARD).alias("inward"), pick((" Depends on", "blocks")).alias("outward"))
+    links = ingest.links(F.array(F.struct(kind.alias("type"), side("K-in", k.isin(0, 2)).alias("inwardIssue"), side("K-out", k.isin(1, 2)).alias("outwardIssue"))))
+    return p.select("p_partkey", F.explode(links).alias("l")).select("p_partkey", "l.target_key", "l.link_type", "l.target_blocks_this", "l.target_status_category")
 
 
 @_query("SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN n_name WHEN 1 THEN n_name WHEN 2 THEN n_name WHEN 3 THEN n_name END AS release FROM nation")
@@ -610,9 +652,8 @@ def write_outbox(spark, sf_dir):
 
 @_query("WITH r AS (SELECT ps_key, row_number() OVER (ORDER BY ps_key) AS up, row_number() OVER (ORDER BY ps_key DESC) AS down FROM (SELECT s_suppkey AS ps_key FROM supplier WHERE s_acctbal > 0)) SELECT a.ps_key AS issue, b.ps_key AS blocker FROM r a JOIN r b ON a.up = b.down WHERE a.up < b.up")
 def pair_blockers(spark, sf_dir):
-    """The i-th candidate from the start with the i-th from the end (a generator's fixture: one row a supplier)."""
-    s = views.read(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey")
-    up = s.withColumn("i", F.row_number().over(Window.orderBy("s_suppkey")))
-    n = up.select("i", F.col("s_suppkey").alias("issue"))
-    m = s.withColumn("i", F.row_number().over(Window.orderBy(F.desc("s_suppkey")))).select("i", F.col("s_suppkey").alias("blocker"))
-    return n.join(m, "i").where("issue < blocker").select("issue", "blocker")
+    """The i-th candidate from the start with the i-th from the end."""
+    s = ranks.numbered(views.read(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey"), "s_suppkey", "i")
+    n = s.agg(F.count(F.lit(1)).alias("n"))
+    down = s.crossJoin(F.broadcast(n)).select((F.col("n") + 1 - F.col("i")).alias("i"), F.col("s_suppkey").alias("blocker"))  # the count is one row
+    return s.select("i", F.col("s_suppkey").alias("issue")).join(down, "i").where("issue < blocker").select("issue", "blocker")

@@ -16,7 +16,7 @@ K1, B, RRF_K, POOL = 1.5, 0.75, 60, 30
 BROADCAST_ROWS = 10_000
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast if it has at most ``most`` rows, else leave the choice to the planner."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -49,10 +49,10 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
     terms = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    posts = postings(chunks).join(_small(terms.select("term").distinct()), "term", "left_semi")
+    posts = postings(chunks).join(small(terms.select("term").distinct()), "term", "left_semi")
     idf = document_frequency(posts).crossJoin(F.broadcast(corpus_size(chunks)))  # the corpus's size is one row
     idf = idf.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "average")
-    hits = posts.join(idf, "term").join(_small(terms), "term")
+    hits = posts.join(idf, "term").join(small(terms), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     return hits.groupBy("query_id", "ord").agg(F.sum(part).alias("score"))
 
@@ -73,12 +73,16 @@ def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, pool: int, floor: float | None = None, digits: int | None = None) -> DataFrame:
-    """Scores with a 0-based ``rank`` in each query (score, then ``ord``), the first ``pool`` only."""
+    """Scores with a 0-based ``rank`` in each query (score, then ``ord``), the first ``pool`` only.
+
+    The bare row number is filtered, from which the planner keeps each task's first
+    ``pool`` rows of a query before anything is shuffled.
+    """
     if floor is not None:
         scores = scores.where(F.col("score") >= floor)
     key = F.round("score", digits) if digits is not None else F.col("score")
     order = Window.partitionBy("query_id").orderBy(F.desc(key), "ord")
-    return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < pool)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).withColumn("rank", F.col("rank") - 1)
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, top_k: int = 5, rrf_k: int = RRF_K) -> DataFrame:
@@ -101,11 +105,16 @@ def reason(bm25_rank, vector_rank):
     return F.concat_ws(" + ", k, v)
 
 
+#: Where a question parts, and openings that carry no subject.
+PARTS_AT = r"(?i),?\s+and\s+(?=are|is|was|were|does|do|did|what|which|who|when|how|any|there)"
+LEAD_IN = r"(?i)^(?:and\s+)?(?:are there|is there|are|is|what|which|who|does|do|did)\s+"
+
+
 def subqueries(text, most: int = 3, least_words: int = 3):
     """A compound question's parts, each with the first part's subject; the question itself if it does not part."""
-    parts = F.filter(F.transform(F.split(text, r"(?i)\s*,?\s+and\s+(?=(?:who|what|which|when|where|why|how|is|are|does|do|did|has|have|can|will|was|were)\b)"), lambda p: F.regexp_replace(p, r"^[ ?,.]+|[ ?,.]+$", "")), lambda p: p != "")
+    parts = F.transform(F.filter(F.split(text, PARTS_AT), lambda p: F.trim(p) != ""), lambda p: F.regexp_replace(p, r"^[ ?,.]+|[ ?,.]+$", ""))
     count = lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
-    bare = F.regexp_replace(F.get(parts, F.lit(0)), r"(?i)^(?:who|what|which|when|where|why|how|is|are|does|do|did|has|have|can|will|was|were)\s+", "")
+    bare = F.regexp_replace(F.get(parts, F.lit(0)), LEAD_IN, "")
     names = F.filter(F.transform(F.split(bare, r"\s+"), lambda t: F.regexp_replace(t, r"^[,.?]+|[,.?]+$", "")), lambda t: (t.rlike(r"^\p{Lu}") & (F.length(t) > 2)) | t.rlike(r"^[A-Z]+-?\d+$"))
     subject = F.array_join(F.slice(names, 1, 2), " ")
     rebuilt = F.transform(parts, lambda p, i: F.when((i > 0) & (subject != "") & ~F.lower(p).contains(F.lower(subject)), F.concat(p, F.lit(" "), subject)).otherwise(p))

@@ -77,16 +77,21 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words of the test tables for vectors of counts, none of them a stop word.
+VOCABULARY = "ci de en la der que le er ou die re ch und es des ai et tion ein zu".split()
+MOST_LINES = 10_000_000
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents; ``ord`` orders them by document and position."""
+    """Lines of documents; ``ord`` orders them by document and position (of at most ``MOST_LINES`` lines)."""
     d = read(spark, sf_dir, "documents").where("doc_id is not null")
     rows = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(F.length("text") > 0)
-    return rows.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("ord"), F.concat_ws("#", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("chunk_id"), F.col("doc_id").cast("string").alias("page_id"), "text")
+    return rows.select((F.col("doc_id") * MOST_LINES + F.col("pos")).alias("ord"), F.concat_ws("#", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("chunk_id"), F.col("doc_id").cast("string").alias("page_id"), "text")
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """The first ``n`` benchmark items as a stated set of queries."""
-    return read(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "text")
+def questions(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+    """Benchmark items as a stated set of queries: those whose id ``every`` divides."""
+    return read(spark, sf_dir, "benchmark").where(F.col("item_id") % every == 0).select(F.col("item_id").alias("query_id"), "text")
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
