@@ -8,30 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunking, evaluation, grounding, ranks, report, retrieval, rollup, rules, trace, wording
+from .operators import chunking, evaluation, grounding, ranks, report, retrieval, rules, trace
 from .plans import gates, views
-from .sources import ingest, readers
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def _query(oracle: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__.lstrip("_")] = f
-        if oracle is not None:
-            _ORACLES[f.__name__.lstrip("_")] = oracle
-        return f
-
-    return add
+from .registry import ORACLES, QUERIES
+from .registry import query as _query
+from .sources import ingest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
 
 
 # ---------------------------------------------------------------- risk rules
@@ -92,8 +81,8 @@ def _one_rule(rule):
 
 
 for _name, _rule in (("risk_stale", rules.stale_in_progress), ("risk_missing_release", rules.missing_target_release), ("risk_sprint_carryover", rules.sprint_carryover), ("risk_overdue", rules.overdue), ("risk_blocked_dependency", rules.blocked_dependency), ("risk_blocked_status", rules.blocked_status)):
-    _QUERIES[_name] = _one_rule(_rule)
-    _ORACLES[_name] = FINDINGS + f" SELECT key AS issue_key, rule_id, level, detail, n::BIGINT AS n_citations FROM f WHERE rule_id = '{_rule.__name__}'"
+    QUERIES[_name] = _one_rule(_rule)
+    ORACLES[_name] = FINDINGS + f" SELECT key AS issue_key, rule_id, level, detail, n::BIGINT AS n_citations FROM f WHERE rule_id = '{_rule.__name__}'"
 
 
 @_query(ISSUES + " SELECT key AS issue_key, epoch(a.last)::BIGINT AS last_activity FROM a")
@@ -657,3 +646,6 @@ def pair_blockers(spark, sf_dir):
     n = s.agg(F.count(F.lit(1)).alias("n"))
     down = s.crossJoin(F.broadcast(n)).select((F.col("n") + 1 - F.col("i")).alias("i"), F.col("s_suppkey").alias("blocker"))  # the count is one row
     return s.select("i", F.col("s_suppkey").alias("issue")).join(down, "i").where("issue < blocker").select("issue", "blocker")
+
+
+from . import catalogue_runs  # noqa: E402, F401  (registers the queries of readers, logs and roll-ups)

@@ -15,7 +15,7 @@ STRUCTURE = r"^(?:#{1,6}\s|\|.*\||-{3,}$|\*{2,}$|\d+\.$|[-*+]$|\*\*[^*]+:\*\*$)"
 
 
 def _claim_text(unit):
-    lines = F.filter(F.transform(F.split(unit, r"\r?\n"), F.trim), lambda x: (x != "") & ~x.rlike(STRUCTURE))
+    lines = F.filter(F.transform(F.split(unit, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(STRUCTURE))
     return F.array_join(lines, " ")
 
 

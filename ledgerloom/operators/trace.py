@@ -111,3 +111,9 @@ def export_json(spans: DataFrame) -> DataFrame:
     timed = self_time(spans)
     shape = F.struct("trace_id", "span_id", "parent_id", "name", "kind", F.bround("duration_ms", 2).alias("duration_ms"), F.bround("self_ms", 2).alias("self_ms"), "input_tokens", "output_tokens", F.bround("cost_usd", 6).alias("cost_usd"), "model", "error")
     return timed.select("span_id", F.to_json(shape).alias("json"))
+
+
+def running_tokens(spans: DataFrame) -> DataFrame:
+    """Spans with the tokens used in their trace up to and with them."""
+    order = Window.partitionBy("trace_id").orderBy("started_at", F.col("span_id").cast("long"), "span_id").rowsBetween(Window.unboundedPreceding, 0)
+    return spans.withColumn("tokens", F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).over(order))

@@ -71,7 +71,7 @@ def newest_first(comments: Column) -> Column:
 
 def rich_document(text: Column) -> Column:
     """Plain text as a rich-text document (JSON): a paragraph for each block between blank lines."""
-    blocks = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), F.trim), lambda p: p != "")
+    blocks = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
     paragraph = lambda p: F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), p.alias("text"))).alias("content"))
     return F.to_json(F.struct(F.lit("doc").alias("type"), F.lit(1).alias("version"), F.transform(blocks, paragraph).alias("content")))
 

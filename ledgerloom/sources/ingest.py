@@ -161,67 +161,75 @@ def _raw_json(payload: Column, field: str) -> Column:
 
 
 class _Storage(HTMLParser):
-    """Wiki storage format (XHTML with macros) to sections."""
+    """Wiki storage format (XHTML with macros) to sections ``[heading, level, text parts]``."""
 
+    #: Macros whose body is kept (all others go), and tags that break a line.
     KEPT = {"info", "note", "warning", "tip", "panel", "expand", "excerpt", "code"}
-    BLOCKS = {"p", "div", "li", "ul", "ol", "tr", "table", "br", "blockquote", "pre", "section", "article", "nav", "header", "footer"}
-    SILENT = {"script", "style", "title", "ac:parameter"}
+    BLOCKS = {"p", "div", "li", "tr", "br", "blockquote", "table", "ul", "ol"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.sections: list[list] = [[None, 0, []]]
-        self.skip, self.macros, self.heading, self.title = 0, [], None, []
+        self.macros: list[bool] = []
+        self.silent = False
+        self.title: list[str] | None = None
 
-    def put(self, text: str):
-        if not self.skip:
-            (self.title if self.heading is not None else self.sections[-1][2]).append(text)
+    @property
+    def quiet(self) -> bool:
+        return self.silent or any(self.macros)
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
-        if tag in ("ac:structured-macro", "ac:macro"):
-            dropped = (attrs.get("ac:name") or "").lower() not in self.KEPT
-            self.macros.append(dropped)
-            self.skip += dropped
-        elif tag in self.SILENT:
-            self.skip += 1
-        elif tag == "ri:attachment":
-            self.put(f"[attachment: {attrs.get('ri:filename', '')}]")
-        elif re.fullmatch(r"h[1-6]", tag) and not self.skip:
-            self.heading, self.title = int(tag[1]), []
+        named = dict(attrs)
+        if tag == "ac:structured-macro":
+            self.macros.append((named.get("ac:name") or "").lower() not in self.KEPT)
+        elif tag == "ac:parameter":
+            self.silent = True
+        elif self.quiet:
+            return
+        elif re.fullmatch(r"h[1-6]", tag):
+            self.sections.append([None, int(tag[1]), []])
+            self.title = []
+        elif tag == "ri:attachment" and named.get("ri:filename"):
+            self.sections[-1][2].append(f"[attachment: {named['ri:filename']}]")
         elif tag in ("td", "th"):
-            self.put(" | ")
+            self.sections[-1][2].append(" | ")
         elif tag in self.BLOCKS:
-            self.put("\n")
+            self.sections[-1][2].append("\n")
 
     def handle_endtag(self, tag):
-        if tag in ("ac:structured-macro", "ac:macro"):
-            self.skip -= bool(self.macros and self.macros.pop())
-        elif tag in self.SILENT:
-            self.skip = max(0, self.skip - 1)
-        elif re.fullmatch(r"h[1-6]", tag) and self.heading is not None:
-            self.sections.append([" ".join("".join(self.title).split()) or None, self.heading, []])
-            self.heading = None
+        if tag == "ac:structured-macro":
+            del self.macros[-1:]
+        elif tag == "ac:parameter":
+            self.silent = False
+        elif any(self.macros):
+            return
+        elif re.fullmatch(r"h[1-6]", tag) and self.title is not None:
+            self.sections[-1][0] = _tidy(self.title) or None
+            self.title = None
         elif tag in self.BLOCKS:
-            self.put("\n")
+            self.sections[-1][2].append("\n")
 
     def handle_data(self, data):
-        self.put(data)
+        if not self.quiet:
+            (self.sections[-1][2] if self.title is None else self.title).append(data)
 
     def unknown_decl(self, data):
-        if data.startswith("CDATA["):
-            self.put(data[6:])
+        if not self.quiet and data.startswith("CDATA["):
+            self.sections[-1][2].append(f"\n{data[6:]}\n")
+
+
+def _tidy(parts: list[str]) -> str:
+    """Lines trimmed, blanks in a row as one, at most one empty line in a row."""
+    lines = "\n".join(re.sub(r"[ \t]+", " ", line).strip() for line in "".join(parts).split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", lines).strip()
 
 
 def sections_of(html: str | None) -> list[dict]:
     parser = _Storage()
     parser.feed(html or "")
     parser.close()
-    out = []
-    for heading, level, parts in parser.sections:
-        text = re.sub(r"\n\s*\n+", "\n\n", re.sub(r"[^\S\n]+", " ", re.sub(r" *\n *", "\n", "".join(parts)))).strip()
-        if heading or text:
-            out.append({"heading": heading, "level": level, "text": text})
-    return out
+    tidy = [(heading, level, _tidy(parts)) for heading, level, parts in parser.sections]
+    return [{"heading": heading, "level": level, "text": text} for heading, level, text in tidy if heading or text]
 
 
 def _sections(batches):
