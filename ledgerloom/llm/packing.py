@@ -192,6 +192,29 @@ def _best_pattern(value: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     return float(best[units]), pattern
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """A product by element-wise sums.
+
+    The plan is made on the driver, where a linear-algebra library's threads may
+    hang once the process has forked; nothing here starts any.
+    """
+    return (matrix * vector).sum(axis=1)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss and Jordan, with the largest pivot of each column."""
+    n = len(matrix)
+    work = np.concatenate([matrix, np.eye(n)], axis=1)
+    for k in range(n):
+        row = k + int(np.argmax(np.abs(work[k:, k])))
+        work[[k, row]] = work[[row, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0.0
+        work -= factor[:, None] * work[k]
+    return work[:, n:]
+
+
 def plan_patterns(demand: np.ndarray, most_steps: int = 4000) -> list[tuple[np.ndarray, int]]:
     """``[(pieces of each size, sequences)]`` for ``demand[k]`` pieces of size k + 1, in a capacity of len(demand).
 
@@ -206,14 +229,14 @@ def plan_patterns(demand: np.ndarray, most_steps: int = 4000) -> list[tuple[np.n
         basis = np.diag((units // (used + 1)).astype(float))
         inverse = np.diag(1.0 / np.diag(basis))
         columns = [np.eye(1, units, int(k), dtype=np.int64)[0] * (units // (int(k) + 1)) for k in used]
-        amount = inverse @ need
+        amount = _times(inverse, need)
         for step in range(most_steps):
             price = np.zeros(units)
             price[used] = np.maximum(inverse.sum(axis=0), 0.0)
             worth, pattern = _best_pattern(price, units)
             if worth <= 1 + 1e-7:
                 break
-            change = inverse @ pattern[used].astype(float)
+            change = _times(inverse, pattern[used].astype(float))
             up = change > 1e-9
             ratio = np.full(len(used), np.inf)
             ratio[up] = np.maximum(amount[up], 0.0) / change[up]
@@ -225,8 +248,8 @@ def plan_patterns(demand: np.ndarray, most_steps: int = 4000) -> list[tuple[np.n
             amount = amount - ratio[out] * change
             amount[out] = ratio[out]
             if step % 200 == 199:
-                inverse = np.linalg.inv(np.array([c[used] for c in columns], dtype=float).T)
-                amount = inverse @ need
+                inverse = _inverse(np.array([c[used] for c in columns], dtype=float).T)
+                amount = _times(inverse, need)
         for pattern, x in zip(columns, amount, strict=True):
             times = int(x + 1e-6)
             on = pattern > 0
