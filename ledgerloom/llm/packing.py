@@ -39,9 +39,9 @@ END_ID = 2
 #: Chunks that are a run of letters and then a run of marks, which this kind of tokenizer cuts apart.
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[.,!?;:%$#&*|()\"/+=<>@_-]*)$"
 _PROBES = ("one two", "Abc!?", "IDLE, ???", "é... ß:", "a_b <x> it's 12a3", " \t lead", "x,y\u00a0z")
-_MOST_KEPT = 200_000
-_SLICE_BYTES = 2 << 20
-_PARTS_AT_ONCE = 4096
+_MOST_KEPT = 400_000
+_SLICE_BYTES = 4 << 20
+_PARTS_AT_ONCE = 512
 
 
 def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -84,6 +84,7 @@ class Encoder:
     def _learn(self, parts: list[str]) -> None:
         """Ids of new parts; runs of one kind are put together, and end marks tell them apart again."""
         simple = [p.isalpha() or not any(c.isalnum() or c in "'\u2019" or ord(c) > 127 for c in p) for p in parts]
+        all_ids, counts, at = [], [], len(self.first)
         for kind in (True, False):
             own = [p for p, x in zip(parts, simple, strict=True) if x == kind]
             for k in range(0, len(own), _PARTS_AT_ONCE):
@@ -95,10 +96,14 @@ class Encoder:
                     count = np.diff(stops, prepend=-1) if len(stops) == len(some) and stops[-1] == len(ids) - 1 else None
                 if count is None:
                     ids, count = self._alone(some)
-                self.known.update(zip(some, range(len(self.first), len(self.first) + len(some)), strict=True))
-                self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
-                self.count = np.concatenate([self.count, count])
-                self.pool = np.concatenate([self.pool, ids])
+                all_ids.append(ids)
+                counts.append(count)
+            self.known.update(zip(own, range(at, at + len(own)), strict=True))
+            at += len(own)
+        count = np.concatenate(counts)
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.pool = np.concatenate([self.pool, *all_ids])
 
     def _places(self, parts: pa.Array) -> np.ndarray:
         coded = parts.dictionary_encode()
