@@ -3,7 +3,7 @@
 ``run`` writes each stage's rows to the shared folder and reads them again for the
 next.  No SQL can express the stages (a learned lexicon, minwise sketches and a
 tokenizer are among them), so ``ORACLE_SQL`` is None and the tests hold the
-pipeline against brute force.
+pipeline against brute force, stage by stage (its packing by tokens and places).
 
 Documents with a null text pass every stage and are packed as their end id.
 Repeated rows are treated alike; other columns pass through.  A document that
