@@ -6,7 +6,8 @@ tokenizer are among them), so ``ORACLE_SQL`` is None and the tests hold the
 pipeline against brute force, stage by stage (its packing by tokens and places).
 
 Documents with a null text pass every stage and are packed as their end id.
-Repeated rows are treated alike; other columns pass through.  A document that
+Rows equal in id and text are copies of which near dedup keeps one; rows of one id
+with other texts are documents of their own; other columns pass through.  A document that
 line dedup leaves without any text is dropped there; one that came empty stays.
 """
 
