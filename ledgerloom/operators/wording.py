@@ -1,4 +1,8 @@
-"""Texts and formats that reports, logs and tools show, as column expressions."""
+"""Texts and formats that reports, logs and tools show, as column expressions.
+
+The sentences that are shown to people and models are fixed values: their words are
+the results of these operators.
+"""
 
 from __future__ import annotations
 
