@@ -119,7 +119,15 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > heaviest.get(start, 0.0):
                 heaviest[start] = weight
-        total = sum(w for at, w in heaviest.items() if not any(lo <= at < hi for lo, hi in spared))
+        # One sweep over both in order of place, so that a very long text of many phrases stays linear.
+        spared.sort()
+        total, k, until = 0.0, 0, -1
+        for at in sorted(heaviest):
+            while k < len(spared) and spared[k][0] <= at:
+                until = max(until, spared[k][1])
+                k += 1
+            if at >= until:
+                total += heaviest[at]
         return (total / words if words else 0.0), words
 
 
