@@ -63,10 +63,10 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")))
     spans = _spans(keyed.select(f"{own}.id", f"{own}.key", f"{own}.text")).select(F.struct("*").alias(gone))
     joined = keyed.join(spans, (F.col(f"{own}.id") == F.col(f"{gone}.id")) & (F.col(f"{own}.key") == F.col(f"{gone}.key")), "left")
-    # What stays lies between the spans: as many slices as spans, and one.
-    stays = f"""array_join(flatten(transform(sequence(0, size({gone}.spans)), k -> slice(split({own}.text, '\n'),
+    # What stays lies between the spans: as many slices as spans, and one; the text is split once.
+    stays = f"""array_join(get(transform(array(split({own}.text, '\n')), l -> flatten(transform(sequence(0, size({gone}.spans)), k -> slice(l,
         coalesce(get({gone}.spans, k - 1).hi + 2, 1),
-        coalesce(get({gone}.spans, k).lo, size(split({own}.text, '\n'))) - coalesce(get({gone}.spans, k - 1).hi + 1, 0)))), '\n')"""
+        coalesce(get({gone}.spans, k).lo, size(l)) - coalesce(get({gone}.spans, k - 1).hi + 1, 0))))), 0), '\n')"""
     kept = F.when(F.col(f"{gone}.spans").isNull(), F.col(f"{own}.text")).otherwise(F.expr(stays))
     lines = F.when(F.col(f"{own}.text").isNull(), 0).otherwise(F.size(F.split(f"{own}.text", "\n")))
     removed = F.coalesce(F.expr(f"aggregate({gone}.spans, 0, (n, s) -> n + s.hi - s.lo + 1)"), F.lit(0))
