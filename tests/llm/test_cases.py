@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -62,6 +63,14 @@ def test_lines_of_one_very_long_text(spark):
     assert got == dict(lines_by_hand(rows)) and got[2].count("\n") == 1
 
 
+def test_many_spans_of_one_long_text(spark):
+    rng = random.Random(5)
+    blocks = ["\n".join(text(rng, 4) for _ in range(3)) for _ in range(2_000)]
+    rows = [(1, "\n".join(blocks)), (2, "\n".join(f"{b}\nown {k}" for k, b in enumerate(blocks))), (3, "\n".join(blocks[::-1]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\n".join(f"own {k}" for k in range(2_000)), 3: ""}
+
+
 # ------------------------------------------------------------------ fixity
 
 
@@ -325,6 +334,16 @@ def test_scores_by_hand(spark, odd):
     assert sorted(r.score for r in quality.score(odd, model).collect()) == pytest.approx(want)
 
 
+def test_exceptions_of_one_very_long_text():
+    weights = {"clown": 3.0, "stupid": 2.0, "idiot": 1.0}
+    value = "class clown fish, stupid idiot proof clown. " * 300
+    lexicon = toxicity.Lexicon(weights)
+    assert lexicon.density(value)[0] == pytest.approx(density_by_hand(weights, value)) == pytest.approx(5 / 7)
+    began = time.time()
+    assert lexicon.density(value * 200) == (pytest.approx(5 / 7), 420_000)
+    assert time.time() - began < 20  # pairs of a match and a phrase would take hours
+
+
 def test_quality_leaves_good_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in labels.collect()}
