@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_dedup, media, mixing, quality, toxicity, warc
+from . import infill, language, line_dedup, media, mixing, quality, sharding, toxicity, warc
 from .common import table
 from .embed_dedup import embedding_duplicates
 from .near_dedup import near_duplicates
@@ -58,5 +58,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_line_dedup, op6_warc_fixity, op7_media_columns, op8_embedding_dedup, op9_pack, op10_language)}
-ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op6_warc_fixity": warc.SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op12_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_line_dedup, op6_warc_fixity, op7_media_columns, op8_embedding_dedup, op9_pack, op10_language, op11_fill_in_middle, op12_shard)}
+ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op6_warc_fixity": warc.SQL, "op11_fill_in_middle": infill.SQL, "op12_shard": sharding.SQL}
