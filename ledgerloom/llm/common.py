@@ -98,3 +98,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+#: CRC-32 for oracles in DuckDB, which has no such function: the table of the polynomial's remainders, in a WITH RECURSIVE.
+CRC_CTES = """poly(k, v, step) AS (
+  SELECT range, range, 0 FROM range(256) UNION ALL
+  SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM poly WHERE step < 8),
+crc AS (SELECT list(v ORDER BY k) AS t FROM poly WHERE step = 8)"""
+
+
+def crc32_sql(blob: str) -> str:
+    """The checksum of a blob, in a query that also reads ``crc``."""
+    codes = f"[('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex({blob}), '..')]"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT"

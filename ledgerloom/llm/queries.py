@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import infill, language, line_dedup, media, mixing, quality, sharding, toxicity, warc
+from . import infill, language, line_dedup, media, mixing, quality, sharding, toxicity, trie, warc
 from .common import table
 from .embed_dedup import embedding_duplicates
 from .near_dedup import near_duplicates
@@ -66,5 +66,9 @@ def op12_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_line_dedup, op6_warc_fixity, op7_media_columns, op8_embedding_dedup, op9_pack, op10_language, op11_fill_in_middle, op12_shard)}
-ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op6_warc_fixity": warc.SQL, "op11_fill_in_middle": infill.SQL, "op12_shard": sharding.SQL}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_line_dedup, op6_warc_fixity, op7_media_columns, op8_embedding_dedup, op9_pack, op10_language, op11_fill_in_middle, op12_shard, op13_prefix_trie)}
+ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op6_warc_fixity": warc.SQL, "op11_fill_in_middle": infill.SQL, "op12_shard": sharding.SQL, "op13_prefix_trie": trie.SQL}

@@ -39,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, free_name, is_empty, written
+from .common import CRC_CTES, crc32_sql, dropped, free_name, is_empty, written
 
 HASH_BITS, LEAST_PROBES, MOST_PROBES = 60, 16, 1 << 16
 LEAST_PIECES, PIECE_BYTES, PIECE_ROWS = 256, 32 << 20, 1 << 20
@@ -97,7 +97,7 @@ def _plan(rows: DataFrame, n: int, shards: int, together: float, tolerance: floa
     cut = F.expr(f"held is null and bytes * {shards} > {float(tolerance)!r}D * {total} and cast(bytes_below as decimal(38,0)) * {shards} div {total} <> (cast(bytes_below + bytes as decimal(38,0)) * {shards} - 1) div {total}")
     start = whole.select(F.lit(0).cast("long").alias("bucket"), "*", F.lit(0).cast("long").alias("bytes_below"), F.lit(0).cast("long").alias("rows_below"), F.lit(None).cast("int").alias("held"), (~one).alias("open"))
     opens, levels = [], []
-    buckets, now = start.withColumn("shard", F.lit(0)).withColumn("tied", one & F.lit(count > 1)), rows.withColumn("bucket", F.lit(0).cast("long"))
+    buckets, now = start.withColumn("shard", F.expr(middle)).withColumn("tied", one & F.lit(count > 1)), rows.withColumn("bucket", F.lit(0).cast("long"))
     level = 0
     while True:
         buckets = written(buckets, "histogram")
@@ -129,7 +129,7 @@ def shards(docs: DataFrame, n_shards: int = 8, text_col: str = "text", digits: l
     placed = docs.withColumn(own, fields(F.lit(0)))
     narrow = written(placed.select(F.col(own).alias("own")), "sizes")
     opens, levels = _plan(narrow, n, n_shards, together, tolerance)
-    tied = written(levels[0].where("tied").select(*[f"min{k}" for k in range(n)]) if len(levels) == 1 else _all(levels).where("tied").select(*[f"min{k}" for k in range(n)]), "tied") if levels else None
+    tied = written(_all(levels).where("tied").select(*[f"min{k}" for k in range(n)]), "tied") if levels else None
     if tied is not None and not is_empty(tied):
         # Repeated rows get numbers, which must not change between passes: they are written with them.
         same = [F.col(f"{own}.d{k}") == F.col(f"min{k}") for k in range(n - 1)]
@@ -162,17 +162,13 @@ def sharded(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", f"{name}.size", F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), f"{name}.shard", f"{name}.slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-SQL = r"""
-WITH RECURSIVE poly(k, v, step) AS (
-  SELECT range, range, 0 FROM range(256) UNION ALL
-  SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM poly WHERE step < 8),
-crc AS (SELECT list(v ORDER BY k) AS t FROM poly WHERE step = 8),
+SQL = rf"""
+WITH RECURSIVE {CRC_CTES},
 d AS (SELECT doc_id, text, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
   coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1) AS a, coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, -1) AS b FROM documents),
 o AS (SELECT *, sum(size) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) - size AS below, sum(size) OVER () AS total, row_number() OVER (ORDER BY a, b) AS place FROM d),
 g AS (SELECT *, sum(size) OVER (PARTITION BY a) AS copies, min(below) OVER (PARTITION BY a) AS first FROM o),
 s AS (SELECT *, (CASE WHEN copies * 8 <= 0.02::DOUBLE * total THEN (2 * first + copies) * 8 // (2 * total) ELSE (2 * below + size) * 8 // (2 * total) END)::INT AS shard FROM g)
-SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, [('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]),
-    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+SELECT doc_id, size, {crc32_sql("encode(coalesce(text, ''))")} AS text_crc32,
   'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard FROM s, crc
 """
