@@ -2,55 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..steps import delete, dropped, new_path, shared_folder, spent, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset, which a cluster refuses."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
-
+__all__ = ["CRC_CTES", "components", "crc32_sql", "delete", "dropped", "free_name", "is_empty", "new_path", "shared_folder", "spent", "table", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once and kept as Parquet in the shared folder.
 
-    A lost executor then costs no recomputation of the Python stages behind it,
-    and each later reader takes only the columns it needs.  :func:`dropped` takes
-    it away when its last reader is done; what a returned result still reads stays
-    until the shared folder's owner clears it.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._ledgerloom_path = path
-    return out
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Delete the files of frames that :func:`written` made and nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_ledgerloom_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -80,24 +41,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     split over tasks.  ``component`` is the least node of the component.
     Self-links and nulls are ignored; no links give no rows.
     """
-    now = written(edges.select("a", "b").where("a <> b").distinct(), "links")
-    before = None
-    for _ in range(most_rounds):
-        seen = _fingerprint(now)
-        if seen == before or not seen[0]:
-            break
-        before = seen
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        down = written(large.distinct(), "links")
-        lower = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = down.join(lower, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        old, now = now, written(small.select("x.a", "x.b").where("a <> b").distinct(), "links")
-        dropped(old, least, down, lower)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    made = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
+    try:
+        now = keep(edges.select("a", "b").where("a <> b").distinct(), "links")
+        before = None
+        for _ in range(most_rounds):
+            seen = _fingerprint(now)
+            if seen == before or not seen[0]:
+                break
+            before = seen
+            both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+            large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+            down = keep(large.distinct(), "links")
+            lower = keep(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+            small = down.join(lower, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+            now = keep(small.select("x.a", "x.b").where("a <> b").distinct(), "links")
+            dropped(*made[:-1])
+            del made[:-1]
+        else:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    except BaseException:
+        dropped(*made)
+        raise
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._ledgerloom_path = now._ledgerloom_path  # for dropped(), when the caller has read it
+    return out
 
 
 #: CRC-32 for oracles in DuckDB, which has no such function: the table of the polynomial's remainders, in a WITH RECURSIVE.

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, written
+from .common import components, spent, written
 
 #: A bucket's number holds the vectors' length, the table and the key.
 KEY_BITS, TABLE_BITS = 30, 12
@@ -273,28 +273,34 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     id_type = vectors.schema[id_col].dataType.simpleString()
     vectors = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
     rows = written(vectors.mapInArrow(_classes, f"vec_id {id_type}, cls binary, vec binary"), "vectors")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbered once, as written
-    k, tables = plan_tables(classes.count(), threshold, miss, fill)
-    coded = written(classes.select("id", "vec").mapInArrow(_encode(k * tables), "id long, dim long, code binary"), "codes")
-    large = coded.mapInArrow(_deal(k, tables, False), "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    large = written(large.select(F.col("bucket").alias("full"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
-    dealt = coded.mapInArrow(_deal(k, tables, True), "id long, bucket long, code binary")
-    met = dealt.join(large, F.col("bucket") == F.col("full"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # Two blocks meet once; a block meets itself in a part of its own, so that each pair is seen once a table.
-    met = met.select("id", "bucket", "own", "code", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"))
-    groups = met.groupBy("bucket", "part").agg(F.collect_list(F.struct("id", "own", "code")).alias("members")).where(F.size("members") > 1)
-    alive = written(groups.mapInArrow(_undecided(k, tables, threshold, error), "bucket long, part int, own int, id long"), "undecided")
-    exact = alive.join(classes.select("id", "copies", "vec"), "id").groupBy("bucket", "part").agg(F.collect_list(F.struct("id", "own", "copies", "vec")).alias("members")).select("bucket", "members")
-    found = written(exact.mapInArrow(_links(k, tables, threshold, k * tables), "id long, links long, to long"), "links")
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnsRenamed({"node": "id"})
-    least = named.join(classes.select("id", "vec_id"), "id").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    named = named.join(least, "component").select("id", "component_id")
-    of_class = classes.select("id", "cls", F.col("vec_id").alias("own"), (F.col("copies") - 1).alias("same")).join(counts, "id", "left").join(named, "id", "left")
-    of_class = written(of_class.select("cls", (F.col("same") + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "own").alias("component_id")), "components")
-    dropped(coded, large, alive, found, classes)
+    with spent() as gone:
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            gone.append(written(df, name))
+            return gone[-1]
+
+        classes = rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+        classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbered once, as written
+        k, tables = plan_tables(classes.count(), threshold, miss, fill)
+        coded = keep(classes.select("id", "vec").mapInArrow(_encode(k * tables), "id long, dim long, code binary"), "codes")
+        large = coded.mapInArrow(_deal(k, tables, False), "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+        large = keep(large.select(F.col("bucket").alias("full"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
+        dealt = coded.mapInArrow(_deal(k, tables, True), "id long, bucket long, code binary")
+        met = dealt.join(large, F.col("bucket") == F.col("full"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # Two blocks meet once; a block meets itself in a part of its own, so that each pair is seen once a table.
+        met = met.select("id", "bucket", "own", "code", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"))
+        groups = met.groupBy("bucket", "part").agg(F.collect_list(F.struct("id", "own", "code")).alias("members")).where(F.size("members") > 1)
+        alive = keep(groups.mapInArrow(_undecided(k, tables, threshold, error), "bucket long, part int, own int, id long"), "undecided")
+        exact = alive.join(classes.select("id", "copies", "vec"), "id").groupBy("bucket", "part").agg(F.collect_list(F.struct("id", "own", "copies", "vec")).alias("members")).select("bucket", "members")
+        found = keep(exact.mapInArrow(_links(k, tables, threshold, k * tables), "id long, links long, to long"), "links")
+        counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+        gone.append(components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))))
+        named = gone[-1].withColumnsRenamed({"node": "id"})
+        least = named.join(classes.select("id", "vec_id"), "id").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+        named = named.join(least, "component").select("id", "component_id")
+        of_class = classes.select("id", "cls", F.col("vec_id").alias("own"), (F.col("copies") - 1).alias("same")).join(counts, "id", "left").join(named, "id", "left")
+        of_class = written(of_class.select("cls", (F.col("same") + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "own").alias("component_id")), "components")
     out = rows.select("vec_id", "cls").join(of_class, "cls", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

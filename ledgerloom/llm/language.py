@@ -31,11 +31,29 @@ from pyspark.sql import functions as F
 from .common import written
 
 CELLS = 1 << 14
-_TAGS = re.compile(r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;")
+_ENTITY = r"&[a-z#0-9]+;"
+_MARK = re.compile(rf"(?i)<(script|style|nav)\b|<!--|<|{_ENTITY}")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "nav")} | {"<!--": re.compile("-->")}
 
 
 def page_text(html: str | None) -> str:
-    return _TAGS.sub(" ", html or "")
+    """The text between tags, comments, scripts, styles and menus, each of which leaves a blank.
+
+    One pass: what closes is searched from where the last one ended, and not again once none follows.
+    """
+    html, out, at, unclosed = html or "", [], 0, set()
+    while mark := _MARK.search(html, at):
+        out.append(html[at : mark.start()])
+        kind, close = (mark[1] or mark[0]).lower(), None
+        if kind in _CLOSE and kind not in unclosed:
+            close = _CLOSE[kind].search(html, mark.end())
+            if close is None:
+                unclosed.add(kind)
+        at = close.end() if close else mark.end() if kind[0] == "&" else html.find(">", mark.end()) + 1
+        if not at:  # no tag is closed from here on
+            return "".join(out) + re.sub(rf"(?i){_ENTITY}", " ", html[mark.start() :])
+        out.append(" ")
+    return "".join(out) + html[at:]
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -106,7 +124,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     id_type = pages.schema[id_col].dataType.simpleString()
     known = F.array(*[F.lit(x) for x in langs])
     html, url = F.col(html_col).cast("string"), F.lower(F.col(url_col).cast("string"))
-    said = F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    said = F.lower(F.regexp_extract(F.regexp_extract(html, r"(?i)<html([^>]*)", 1), r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1)
     step = F.regexp_extract(url, r"^[^?#]*?//[^/]+/([a-z]{2})(?:[/?#]|$)", 1)
     value = F.regexp_extract(url, r"[?&](?:lang|hl|locale)=([a-z]{2})", 1)
@@ -133,7 +151,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
 
     # Host within domain within corpus.
     named = [f"s{k}" for k in range(n)]
-    hosts = post.where("host <> ''").groupBy("host").agg(*sums).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
+    hosts = post.where("host <> ''").groupBy("host").agg(*sums).withColumn("domain", F.when(F.contains("host", F.lit(".")), F.substring_index("host", ".", -2)).otherwise(""))
     hosts = written(hosts, "hosts")
     domains = hosts.groupBy("domain").agg(*[F.sum(c).alias(f"d{c}") for c in named])
     hosts = written(hosts.join(domains, "domain").select("host", *named, *[f"d{c}" for c in named]), "host-priors")

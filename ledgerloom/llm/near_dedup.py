@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import components, dropped, free_name, is_empty, written
+from .common import components, delete, free_name, is_empty, new_path, spent, written
 from .mixing import WORD
 
 SKETCH = 64
@@ -274,11 +274,22 @@ def _find(docs: DataFrame, percent: int, trees: int, block: int, most: int, dept
     docs = docs.withColumn("row_key", _key(F.col("doc_id"), F.col("text")))
     least = _least(percent, miss)
     trees, branch = _branches(percent, trees, depth, tokens, miss)
-    spent = []
+    sets_name, sets_path = f"ledgerloom_sets_{uuid.uuid4().hex}", new_path(spark, "sets")
+    with spent() as gone:
+        try:
+            return _searched(docs, id_type, sets_name, sets_path, gone, (percent, trees, branch, block, most, depth, tokens, least))
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {sets_name}")
+            delete(spark, sets_path)
+
+
+def _searched(docs: DataFrame, id_type: str, sets_name: str, sets_path: str, gone: list, how: tuple) -> tuple[DataFrame, DataFrame, DataFrame]:
+    spark = docs.sparkSession
+    percent, trees, branch, block, most, depth, tokens, least = how
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        spent.append(written(df, name))
-        return spent[-1]
+        gone.append(written(df, name))
+        return gone[-1]
 
     rows = written(docs.mapInArrow(_rows_of_sketches(id_type), f"doc_id {id_type}, row_key long, n_shingles long, cls binary, sketch binary"), "sketches")
     classes = written(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
@@ -294,9 +305,8 @@ def _find(docs: DataFrame, percent: int, trees: int, block: int, most: int, dept
     # Full sets of the classes that share any node, bucketed by class: made from the one row that stands for the class.
     shared = members.select("cls").distinct().join(classes.select("cls", "row_key"), "cls")
     texts = docs.select("row_key", "text").join(shared, "row_key").select("cls", "text")
-    sets_name = f"ledgerloom_sets_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (texts.mapInArrow(_sets, "cls binary, vals binary").dropDuplicates(["cls"]).repartition(buckets, "cls").write.bucketBy(buckets, "cls").sortBy("cls").saveAsTable(sets_name))
+    (texts.mapInArrow(_sets, "cls binary, vals binary").dropDuplicates(["cls"]).repartition(buckets, "cls").write.bucketBy(buckets, "cls").sortBy("cls").option("path", sets_path).saveAsTable(sets_name))
     sets = spark.table(sets_name)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -309,7 +319,8 @@ def _find(docs: DataFrame, percent: int, trees: int, block: int, most: int, dept
     star = members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
     star = star.join(sketches.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b")
     links = confirmed(keep(star.select("a", "b", "sa", "sb").mapInArrow(_agree(least), "a binary, b binary"), "agreeing"))
-    labels = keep(components(links).withColumnsRenamed({"node": "cls", "component": "label"}), "labels")
+    gone.append(components(links))
+    labels = keep(gone[-1].withColumnsRenamed({"node": "cls", "component": "label"}), "labels")
 
     # Nodes in which more than one component is left, and in which trees a class is in a small one.
     now = members.select("node", "tree", "cls").join(labels, "cls", "left").select("node", "tree", "cls", F.coalesce("label", "cls").alias("label"))
@@ -338,10 +349,8 @@ def _find(docs: DataFrame, percent: int, trees: int, block: int, most: int, dept
     groups = keep(_split(alike, classes.select("cls", "n_shingles"), keep), "groups").join(sets, "cls")
     groups = groups.groupBy("node", "part", "again").agg(F.collect_list(F.struct("cls", "label", "vals")).alias("members")).select("members")
     links = links.union(keep(groups.mapInArrow(_joined(percent), "a binary, b binary"), "confirmed"))
-    named = written(components(links).withColumnsRenamed({"node": "cls"}), "components")
-    spark.sql(f"DROP TABLE IF EXISTS {sets_name}")
-    dropped(*spent)
-    return rows, classes, named
+    gone.append(components(links))
+    return rows, classes, written(gone[-1].withColumnsRenamed({"node": "cls"}), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 8, block: int = 1024, most: int = 2048, depth: int = 4, tokens: int = 6, miss: float = 1e-5) -> DataFrame:

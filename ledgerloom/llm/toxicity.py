@@ -11,8 +11,8 @@ logistic curve turns this density into a score.
 Weights are smoothed log odds of documents with the word among toxic and other
 labelled documents, in two halves of a bounded sample (``most_labels`` rows);
 the curve is fitted on each half with the other half's lexicon, and the lexicon
-in use has both halves.  The lexicon holds at most ``most_terms`` terms, those of
-the largest support.  Words without evidence keep the weight of ``BASE``.
+in use has both halves.  The lexicon holds every term with enough support in the
+sample, whose size alone bounds it.  Words without evidence keep the weight of ``BASE``.
 
 Defined cases: null and empty texts, and texts without words, have density 0;
 repeated rows score alike; a table without usable labels leaves ``BASE`` and a
@@ -179,8 +179,11 @@ def _score(terms: tuple, curve: tuple[float, float]):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold_out: tuple[int, int] = (1, 3), most_labels: int = 20_000, most_terms: int = 5_000) -> tuple[tuple, tuple[float, float]]:
-    """(terms with weights, curve) from labelled rows outside ``fold_out`` (remainder, folds)."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold_out: tuple[int, int] = (1, 3), most_labels: int = 20_000) -> tuple[tuple, tuple[float, float]]:
+    """(terms with weights, curve) from ``most_labels`` labelled rows at most outside ``fold_out`` (remainder, folds).
+
+    The lexicon has every term of the sample that two toxic rows hold and that is toxic in six of ten of its rows.
+    """
     sample = labelled_sample(docs, labels, label, fold_out, most_labels).select("text", "y", "half")
     size = {(r.half, r.y): r.n for r in sample.groupBy("half", F.when(F.col("y") > 0, 1).otherwise(0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = sample.mapInArrow(_counts, "term string, half int, y int, n long")
@@ -188,14 +191,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold_out: tu
     found = counts.groupBy("term").agg(*sums)
     toxic = F.col("n01") + F.col("n11")
     telling = found.where((toxic >= 2) & (toxic >= 0.6 * (toxic + F.col("n00") + F.col("n10"))) | F.col("term").isin(*BASE))
-    rows = telling.orderBy(F.desc(toxic), "term").limit(4 * most_terms).collect()  # bounded by most_terms
+    rows = telling.collect()  # terms of the bounded sample
     n = {k: size.get(k, 0) for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
 
     def terms(use: tuple[int, ...]) -> tuple:
         stats = [(r.term, sum(r[f"n{h}1"] for h in use), sum(r[f"n{h}0"] for h in use)) for r in rows]
         weights = weights_of(stats, sum(n[h, 1] for h in use), sum(n[h, 0] for h in use))
-        support = {t: a for t, a, _ in stats}
-        return tuple(sorted(sorted(weights.items(), key=lambda x: (-support.get(x[0], 0), x[0]))[:most_terms]))
+        return tuple(sorted(weights.items()))
 
     scored = sample.mapInArrow(_densities([terms((0,)), terms((1,))]), "density double, y int").toPandas()  # two numbers a labelled row
     return terms((0, 1)), fit_curve(scored.density.to_numpy(), (scored.y > 0).to_numpy().astype(float))
