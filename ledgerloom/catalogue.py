@@ -200,7 +200,7 @@ def trace_wall_time(spark, sf_dir):
     return trace.totals(_spans(spark, sf_dir)).select("trace_id", F.round("wall_ms", 3).alias("wall_ms"), F.round("cost_usd", 6).alias("cost_usd"), "input_tokens", "output_tokens")
 
 
-@_query(SPANS + " SELECT CASE m WHEN 0 THEN 'large-1' WHEN 1 THEN 'medium-1' WHEN 2 THEN 'small-1' ELSE 'other' END AS model, count(*) AS spans, round(sum(cost), 6) AS cost_usd FROM d GROUP BY 1")
+@_query(SPANS + " SELECT CASE m WHEN 0 THEN 'claude-opus-1' WHEN 1 THEN 'claude-sonnet-1' WHEN 2 THEN 'claude-haiku-1' ELSE 'other' END AS model, count(*) AS spans, round(sum(cost), 6) AS cost_usd FROM d GROUP BY 1")
 def trace_cost_by_model(spark, sf_dir):
     return trace.with_durations(_spans(spark, sf_dir)).groupBy("model").agg(F.count(F.lit(1)).alias("spans"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
 
@@ -639,13 +639,13 @@ def write_outbox(spark, sf_dir):
     return gates.outbox(gates.latest_state(_events(spark, sf_dir))).select("proposal_id", "written")
 
 
-@_query("WITH r AS (SELECT ps_key, row_number() OVER (ORDER BY ps_key) AS up, row_number() OVER (ORDER BY ps_key DESC) AS down FROM (SELECT s_suppkey AS ps_key FROM supplier WHERE s_acctbal > 0)) SELECT a.ps_key AS issue, b.ps_key AS blocker FROM r a JOIN r b ON a.up = b.down WHERE a.up < b.up")
+@_query("WITH r AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS up, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey DESC) AS down FROM supplier) SELECT a.k AS issue, b.k AS blocker FROM r a JOIN r b ON a.up = b.down WHERE a.up < b.up")
 def pair_blockers(spark, sf_dir):
-    """The i-th candidate from the start with the i-th from the end."""
-    s = ranks.numbered(views.read(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey"), "s_suppkey", "i")
+    """The i-th candidate by balance from the start with the i-th from the end."""
+    s = ranks.numbered(views.read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"], "i")
     n = s.agg(F.count(F.lit(1)).alias("n"))
-    down = s.crossJoin(F.broadcast(n)).select((F.col("n") + 1 - F.col("i")).alias("i"), F.col("s_suppkey").alias("blocker"))  # the count is one row
-    return s.select("i", F.col("s_suppkey").alias("issue")).join(down, "i").where("issue < blocker").select("issue", "blocker")
+    down = s.crossJoin(F.broadcast(n)).select((F.col("n") + 1 - F.col("i")).alias("i"), F.col("i").alias("other"), F.col("s_suppkey").alias("blocker"))  # the count is one row
+    return s.select("i", F.col("s_suppkey").alias("issue")).join(down, "i").where("i < other").select("issue", "blocker")
 
 
 from . import catalogue_runs  # noqa: E402, F401  (registers the queries of readers, logs and roll-ups)

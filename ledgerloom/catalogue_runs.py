@@ -131,7 +131,7 @@ def _proposals(spark, sf_dir):
 
 
 _P = "WITH p AS (SELECT o_orderkey AS place, row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders WHERE o_orderkey % 9 <> 0), s AS (SELECT place, seq, CASE WHEN seq < 10000 THEN printf('prop_%04d', seq) ELSE 'prop_' || seq END AS proposal_id FROM p)"
-_DEC = _P + """, d AS (SELECT proposal_id, place, 1000000 + 2 * seq + i AS nr, CASE WHEN (place + i) % 3 = 0 THEN 'rejected' ELSE 'approved' END AS act, CASE WHEN place % 5 = 0 AND i = 0 THEN ' ' ELSE 'lead' END AS actor FROM s, (SELECT unnest([0, 1]) AS i) WHERE place % 4 = 0),
+_DEC = _P + """, d AS (SELECT proposal_id, place, 1000000 + 2 * seq + i AS nr, CASE WHEN (place + i) % 3 = 0 THEN 'rejected' ELSE 'approved' END AS act, CASE WHEN place % 5 = 0 AND i = 0 THEN ' ' ELSE 'lead' END AS actor FROM s, (SELECT unnest([0, 1]) AS i)),
 v AS (SELECT *, act <> 'approved' OR trim(actor) <> '' AS valid FROM d), w AS (SELECT *, row_number() OVER (PARTITION BY proposal_id, valid ORDER BY nr) AS turn FROM v)"""
 
 
@@ -147,7 +147,7 @@ def proposals_refused(spark, sf_dir):
 
 def _decided(spark, sf_dir):
     events = gates.submitted(_proposals(spark, sf_dir), "place")[0]
-    asked = events.where("place % 4 = 0").select("proposal_id", "place", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    asked = events.select("proposal_id", "place", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
     d = asked.select("proposal_id", (F.lit(1_000_000) + 2 * F.col("seq") + F.col("i")).alias("seq"), F.when((F.col("place") + F.col("i")) % 3 == 0, "rejected").otherwise("approved").alias("act"), F.when((F.col("place") % 5 == 0) & (F.col("i") == 0), " ").otherwise("lead").alias("actor"))
     return gates.decided(d, gates.latest_state(events))
 
@@ -162,13 +162,14 @@ def approval_conflicts(spark, sf_dir):
     return _decided(spark, sf_dir)[1].select("proposal_id", "seq", "conflict")
 
 
-@_query(_DEC + """, r AS (SELECT proposal_id, nr, act, place, act = 'approved' AS done, CASE WHEN place % 8 = 0 THEN 'refused' ELSE '' END AS error, place % 16 = 4 AS written FROM w WHERE valid AND turn = 1)
-SELECT proposal_id, nr AS seq, CASE WHEN act = 'rejected' THEN '' WHEN error <> '' THEN ', not applied — refused' WHEN written THEN ', written to Jira' ELSE ', recorded — dry run, nothing written to Jira' END AS outcome FROM r""")
+@_query(_DEC + """, r AS (SELECT proposal_id, nr, act, place, turn, CASE WHEN place % 8 = 0 THEN 'refused' ELSE '' END AS error, place % 16 = 4 AS written FROM w WHERE valid)
+SELECT proposal_id, nr AS seq, CASE WHEN act = 'rejected' THEN '' WHEN turn > 1 THEN ', approved but not yet applied' WHEN error <> '' THEN ', not applied — refused' WHEN written THEN ', written to Jira' ELSE ', recorded — dry run, nothing written to Jira' END AS outcome FROM r""")
 def audit_outcomes(spark, sf_dir):
-    """The write's result is kept with the decision, and told."""
-    audit = _decided(spark, sf_dir)[0]
+    """The write's result is kept with the decision that stands, and told; later ones of the proposal are in the log as well."""
+    stands, later = _decided(spark, sf_dir)
+    audit = stands.unionByName(later.where("conflict = 'already decided'").drop("conflict"))
     place = F.substring("issue_key", 3, 20).cast("long")
-    results = audit.where("act = 'approved'").select("proposal_id", F.when(place % 8 == 0, "refused").otherwise("").alias("error"), (place % 16 == 4).alias("written"))
+    results = stands.where("act = 'approved'").select("proposal_id", F.when(place % 8 == 0, "refused").otherwise("").alias("error"), (place % 16 == 4).alias("written"))
     rows = gates.applied(audit, results)
     return rows.select("proposal_id", "seq", wording.audit_outcome(F.col("act"), F.col("applied"), F.col("apply_error"), F.col("written")).alias("outcome"))
 
@@ -407,9 +408,11 @@ def finding_citations(spark, sf_dir):
     return found.select("issue_key", "rule_id", F.explode(F.slice(own, 1, 1)).alias("c")).select("issue_key", "rule_id", "c.source_type", "c.url")
 
 
-@_query("SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rank FROM supplier")
+@_query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice * CASE WHEN o_orderkey % 2 = 0 THEN -1e9 ELSE 1 END END NULLS LAST, o_orderkey) AS rank FROM orders")
 def ranks_by_range(spark, sf_dir):
-    return ranks.numbered(views.read(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", "rank", width=16).select("s_suppkey", F.col("rank").cast("long").alias("rank"))
+    """Orders by a sparse and signed key, null for every eleventh."""
+    o = views.read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") * F.when(F.col("o_orderkey") % 2 == 0, -1e9).otherwise(1.0)).alias("k"))
+    return ranks.numbered(o, ["k", "o_orderkey"], "rank").select("o_orderkey", "rank")
 
 
 @_query("SELECT project, requested - covered AS missing FROM (SELECT c_mktsegment AS project, count(DISTINCT c_nationkey) AS requested, count(DISTINCT c_nationkey) FILTER (WHERE c_acctbal > 0) AS covered FROM customer GROUP BY 1)")

@@ -7,8 +7,11 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Price per million tokens, by model prefix in order of preference; the last is the default.
-RATES = (("large-", 15.0, 75.0), ("medium-", 3.0, 15.0), ("small-", 0.8, 4.0), ("", 3.0, 15.0))
+from ..steps import dropped, written
+from . import ranks
+
+#: Price of a million tokens read and written, by prefix of the model's id; the last is the default (fixed values).
+RATES = (("claude-opus", 15.0, 75.0), ("claude-sonnet", 3.0, 15.0), ("claude-haiku", 0.8, 4.0), ("", 3.0, 15.0))
 
 
 def milliseconds(start: Column, end: Column) -> Column:
@@ -26,8 +29,9 @@ def cost(rates=RATES) -> Column:
     return out
 
 
-def with_durations(spans: DataFrame) -> DataFrame:
-    return spans.withColumn("duration_ms", milliseconds(F.col("started_at"), F.col("ended_at"))).withColumn("cost_usd", cost())
+def with_durations(spans: DataFrame, rates=RATES) -> DataFrame:
+    """Spans with ``duration_ms`` and ``cost_usd``; ``rates`` is the price card, the first prefix that fits counts."""
+    return spans.withColumn("duration_ms", milliseconds(F.col("started_at"), F.col("ended_at"))).withColumn("cost_usd", cost(rates))
 
 
 def self_time(spans: DataFrame) -> DataFrame:
@@ -38,15 +42,9 @@ def self_time(spans: DataFrame) -> DataFrame:
 
 
 def occupancy(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """``occupancy_ms`` of each group: the length of the union of its intervals; touching ones merge."""
-    end = F.coalesce("ended_at", "started_at")
-    w = Window.partitionBy(*keys).orderBy("started_at", "__end")
-    spans = spans.withColumn("__end", end)
-    before = F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("__new", F.when(before.isNull() | (F.col("started_at") > before), 1).otherwise(0))
-    islands = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy(*keys, "__island").agg(F.min("started_at").alias("s"), F.max("__end").alias("e"))
-    return merged.groupBy(*keys).agg(F.sum(milliseconds(F.col("s"), F.col("e"))).alias("occupancy_ms"))
+    """``occupancy_ms`` of each group: the length of the union of its intervals, by time ranges, so a trace of any size is no single task."""
+    ends = spans.withColumn("__until", F.coalesce("ended_at", "started_at"))
+    return ranks.covered(ends, keys, "started_at", "__until", milliseconds).withColumnRenamed("covered", "occupancy_ms")
 
 
 def by_kind(spans: DataFrame) -> DataFrame:
@@ -72,7 +70,8 @@ def totals(spans: DataFrame) -> DataFrame:
 def index_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = (0.5, 0.95), buckets: int = 1024) -> DataFrame:
     """mean, percentiles by index ``min(int(n * p), n - 1)`` of the sorted values, and max.
 
-    Equal values are counted together first (combined before the shuffle).  A
+    Equal values are counted together first (combined before the shuffle) and
+    written with their counts, so ``df`` is read once.  A
     histogram of ``buckets`` even parts of a group's range tells the part that holds
     each index, a second one divides that part again, and only the values in it are
     put in order: no task sorts a whole group.  Nulls are left out.
@@ -81,7 +80,7 @@ def index_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[
     names = [f"k{i}" for i in range(len(keys))]
     by = lambda *more: Window.partitionBy(*names, *more)
     same = lambda a, b: F.lit(True) if not names else functools.reduce(lambda x, y: x & y, [F.col(f"{a}{n}").eqNullSafe(F.col(f"{b}{n}")) for n in names])
-    values = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = written(df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "values")
     ends = values.groupBy(*names).agg(F.sum("n").alias("all"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     point = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)]))
     asked = ends.withColumn("x", point).select(*[F.col(n).alias(f"a_{n}") for n in names], "lo", "hi", F.col("x.i").alias("i"), F.least(F.floor(F.col("all") * F.col("x.p")), F.col("all") - 1).alias("index"))
@@ -99,7 +98,10 @@ def index_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[
     found = rows.withColumn("upto", upto).where("index < upto and index >= upto - n")
     found = found.groupBy(*[F.col(n).alias(f"f_{n}") for n in names]).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
     out = ends.join(found, same("", "f_"))
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], F.col("all").alias("n"), "mean", *[f"p{round(100 * p)}" for p in points], F.col("hi").alias("max"))
+    out = out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], F.col("all").alias("n"), "mean", *[f"p{round(100 * p)}" for p in points], F.col("hi").alias("max"))
+    out = written(out, "percentiles")  # one row a group
+    dropped(values)
+    return out
 
 
 def slowest(spans: DataFrame, n: int = 5) -> DataFrame:
@@ -115,5 +117,5 @@ def export_json(spans: DataFrame) -> DataFrame:
 
 def running_tokens(spans: DataFrame) -> DataFrame:
     """Spans with the tokens used in their trace up to and with them."""
-    order = Window.partitionBy("trace_id").orderBy("started_at", F.col("span_id").cast("long"), "span_id").rowsBetween(Window.unboundedPreceding, 0)
-    return spans.withColumn("tokens", F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).over(order))
+    used = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    return ranks.running_sum(spans, ["trace_id"], ["started_at", F.col("span_id").try_cast("long"), "span_id"], used, "tokens")

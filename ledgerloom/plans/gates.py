@@ -93,7 +93,7 @@ def outbox(state: DataFrame, dry_run: bool = True) -> DataFrame:
 
 
 def submitted(proposals: DataFrame, order: str, first: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(events, refused): proposals with ids in order of the integer ``order``; those without a citation are refused."""
+    """(events, refused): proposals with ids in order of ``order``, nulls last; those without a citation are refused."""
     cited = F.coalesce(F.size("citations"), F.lit(0)) > 0
     good = numbered(proposals.where(cited), order, "seq").withColumn("seq", F.col("seq") + (first - 1))
     return good.withColumn("proposal_id", F.format_string("prop_%04d", "seq")).withColumn("act", F.lit("submitted")), proposals.where(~cited)
@@ -116,14 +116,14 @@ def decided(decisions: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def applied(audit: DataFrame, results: DataFrame) -> DataFrame:
-    """Audit rows with what their write came to (``proposal_id, error, written``); the latest row of a proposal is kept up to date, the others stay.
+    """Audit rows with what their write came to (``proposal_id, error, written``): it belongs to the proposal's first row, the others stay.
 
-    A failed write is no write, whatever the writer says.
+    A result with an error has neither been applied nor written.
     """
-    latest = F.row_number().over(Window.partitionBy("proposal_id").orderBy(F.desc("seq"))) == 1
+    first = F.min("seq").over(Window.partitionBy("proposal_id")) == F.col("seq")
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
-    met = audit.withColumn("latest", latest).join(results.withColumn("done", F.lit(True)), "proposal_id", "left")
-    own = F.col("latest") & F.coalesce("done", F.lit(False))
+    met = audit.withColumn("first", first).join(results.withColumn("done", F.lit(True)), "proposal_id", "left")
+    own = F.col("first") & F.coalesce("done", F.lit(False))
     return met.select(*audit.columns, (own & ~failed).alias("applied"), F.when(own, F.col("error")).alias("apply_error"), (own & ~failed & F.coalesce("written", F.lit(False))).alias("written"))
 
 

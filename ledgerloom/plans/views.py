@@ -66,7 +66,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans from events: one trace a user, each span's parent the event before, unless the id divides by 3."""
     e = read(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    model = F.element_at(F.array(*[F.lit(x) for x in ("large-1", "medium-1", "small-1", "other")]), (F.col("event_id") % 4 + 1).cast("int"))
+    model = F.element_at(F.array(*[F.lit(x) for x in ("claude-opus-1", "claude-sonnet-1", "claude-haiku-1", "other")]), (F.col("event_id") % 4 + 1).cast("int"))
     k = F.get_json_object("props", "$.k").cast("long")
     start = F.col("ts").cast("timestamp")
     return e.select(
