@@ -5,29 +5,52 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue import ANSWERS, FINDINGS, SPANS, _findings, _spans
+from . import steps
 from .functions import text as T
 from .operators import evaluation, grounding, ranks, report, rollup, rules, trace, wording
 from .plans import gates, views
 from .registry import query as _query
-from .sources import ingest, readers
+from .sources import ingest, paged, readers
 
 # ------------------------------------------------------------------- readers
 
 
-def _search_pages(spark, sf_dir):
-    """Orders as search pages of a customer: two issues a page; page 2 of odd customers says it is the last, page 3 names no next one."""
-    o = views.read(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select("o_orderkey", "o_custkey", "o_orderstatus")
-    numbered = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("x"))  # a customer's few orders
-    pages = numbered.select("o_custkey", F.posexplode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 2).cast("int"))).alias("number", "k"), "x")
-    issue = lambda e: F.struct(F.concat(F.lit("O-"), e["o_orderkey"]).alias("key"), F.struct(F.struct(e["o_orderstatus"].alias("name")).alias("status")).alias("fields"))
-    page = F.struct(F.transform(F.slice("x", F.col("k") * 2 + 1, 2), issue).alias("issues"), F.when(F.col("k") < 3, F.concat(F.lit("t"), F.col("k"))).alias("nextPageToken"), ((F.col("k") == 2) & (F.col("o_custkey") % 20 == 0)).alias("isLast"))
-    return pages.select(F.concat(F.lit("C-"), F.col("o_custkey")).alias("scope"), "number", F.to_json(page).alias("payload"))
+def _search(spark, sf_dir):
+    """All orders as the pages of an issue search, a project for each nation's customers, streams by status."""
+    o, c = views.read(spark, sf_dir, "orders"), views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    issue = F.struct(
+        F.concat(F.lit("O-"), F.col("o_orderkey")).alias("key"),
+        F.struct(F.struct(F.concat(F.lit("N-"), F.col("c_nationkey")).alias("key")).alias("project"), F.struct(F.col("o_orderstatus").alias("name")).alias("status"), F.when(F.col("o_orderkey") % 7 != 0, "2001-01-02T03:04:05.000+0000").alias("created")).alias("fields"),
+    )
+    rows = o.join(c, "o_custkey").select(F.concat(F.lit("N-"), F.col("c_nationkey")).alias("scope"), F.col("o_orderstatus").alias("facet"), F.col("o_orderkey").alias("ord"), F.to_json(issue).alias("payload"))
+    path = steps.new_path(spark, "search-pages")
+    paged.publish(rows, path, "token")
+    return path
+
 
+_O = "SELECT 'N-' || c_nationkey AS project, 'O-' || o_orderkey AS issue_key, o_orderstatus AS status, row_number() OVER (PARTITION BY c_nationkey, o_orderstatus ORDER BY o_orderkey) - 1 AS place, o_orderkey % 7 AS seventh FROM orders JOIN customer ON c_custkey = o_custkey"
 
-@_query("WITH r AS (SELECT o_orderkey, o_custkey, o_orderstatus, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 2 AS page FROM orders WHERE o_custkey % 10 = 0) SELECT 'C-' || o_custkey AS project, 'O-' || o_orderkey AS issue_key, o_orderstatus AS status FROM r WHERE page <= CASE WHEN o_custkey % 20 = 0 THEN 2 ELSE 3 END")
+
+@_query(f"SELECT project, issue_key, status, (place // 50)::INT AS page FROM ({_O})")
 def issue_search_pages(spark, sf_dir):
-    issues = readers.items(readers.until_last(_search_pages(spark, sf_dir)), "issues")
-    return issues.select(F.col("scope").alias("project"), F.get_json_object("payload", "$.key").alias("issue_key"), F.get_json_object("payload", "$.fields.status.name").alias("status"))
+    """Cursors followed within each project and status, over all of them."""
+    issues = paged.search_issues(spark, _search(spark, sf_dir))
+    return issues.select("project", F.get_json_object("payload", "$.key").alias("issue_key"), "status", "page")
+
+
+@_query(f"SELECT project, issue_key, status AS status_name FROM ({_O}) WHERE project IN ('N-3', 'N-7') AND status <> 'F' AND seventh <> 0")
+def open_issues_of_projects(spark, sf_dir):
+    """Two projects and the open statuses are asked for; what does not map is set aside."""
+    rows = paged.search_issues(spark, _search(spark, sf_dir)).where("project in ('N-3', 'N-7') and status in ('O', 'P')")
+    issues, _ = ingest.map_issues(rows.where("error is null"))
+    return issues.select(F.col("project_key").alias("project"), F.col("key").alias("issue_key"), "status_name")
+
+
+@_query(f"SELECT project, count(*) AS gaps FROM ({_O}) WHERE seventh = 0 GROUP BY 1")
+def issue_search_gaps(spark, sf_dir):
+    rows = paged.search_issues(spark, _search(spark, sf_dir))
+    _, unmapped = ingest.map_issues(rows)
+    return unmapped.unionByName(paged.gaps(rows, "project")).groupBy(F.col("scope").alias("project")).agg(F.count(F.lit(1)).alias("gaps"))
 
 
 @_query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'")
@@ -44,8 +67,11 @@ def _wiki(spark, sf_dir):
         F.when(k % 10 != 3, k).alias("id"), F.concat(F.lit("Page "), k).alias("title"), F.struct(F.when(k % 2 == 0, k % 7).alias("number"), F.when(k % 10 != 4, "2001-01-02T03:04:05.000Z").alias("createdAt")).alias("version"),
         F.struct(F.struct(F.concat(F.lit("<h2>One</h2><p>a</p>"), F.lit("<p>b</p>")).alias("value")).alias("storage")).alias("body"), F.struct(F.array(label(k % 3), label(k % 5)).alias("results")).alias("labels"), F.struct(F.concat(F.lit("/x/"), k).alias("webui")).alias("_links"),
     )
-    pages = p.select(F.concat(F.lit("S"), k % 4).alias("scope"), F.to_json(F.struct(F.array(page).alias("results"))).alias("payload"))
-    return readers.map_pages(readers.items(pages, "results"), "https://w.example", ["l1", "l4"])
+    # All pages, streams by their first label; a second label is met by the filter after the parse.
+    path = steps.new_path(spark, "wiki-pages")
+    paged.publish(p.select(F.concat(F.lit("S"), k % 4).alias("scope"), F.concat(F.lit("l"), k % 3).alias("facet"), k.alias("ord"), F.to_json(page).alias("payload")), path, "link", field="results")
+    rows = paged.wiki_pages(spark, path).where("error is null").select(F.col("space").alias("scope"), "payload")
+    return readers.map_pages(rows, "https://w.example", ["l1", "l4"])
 
 
 @_query("SELECT page_id::VARCHAR AS page_id, 'S' || page_id % 4 AS space_key, 'Page ' || page_id AS title, 'https://w.example/wiki/x/' || page_id AS url, CASE WHEN page_id % 2 = 0 THEN page_id % 7 ELSE 1 END::INT AS version, 978404645::BIGINT AS updated, 'l' || page_id % 3 || ',l' || page_id % 5 AS labels, 'One:2:a' || chr(10) || chr(10) || 'b' AS sections FROM pages WHERE page_id % 10 NOT IN (3, 4) AND (page_id % 3 = 1 OR page_id % 5 IN (1, 4))")
