@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunking, evaluation, grounding, ranks, report, retrieval, rules, trace
+from .operators import chunking, evaluation, grounding, index, ranks, report, retrieval, rules, trace
 from .plans import gates, views
 from .registry import ORACLES, QUERIES
 from .registry import query as _query
@@ -269,6 +269,20 @@ def bm25_topk(spark, sf_dir):
     return retrieval.ranked(retrieval.bm25(views.chunks(spark, sf_dir), views.questions(spark, sf_dir, 50)), 10, digits=9).withColumn("score", F.round("score", 6))
 
 
+def _titled(sql):
+    """The search's SQL with each line below its document's source and language, and each question with a language more."""
+    return sql.replace("l[p] AS text FROM (SELECT doc_id,", "source || ' > ' || lang || chr(10) || chr(10) || l[p] AS text, l[p] AS line FROM (SELECT doc_id, source, lang,").replace(f"unnest({_tok('text')}) AS term FROM benchmark", f"""unnest({_tok("text || ' en'")}) AS term FROM benchmark""")
+
+
+@_query(_titled(BM25_SEARCH) + " SELECT query_id, ord, rank::INT AS rank, round(score, 6) AS score FROM kr WHERE rank < 10")
+def breadcrumb_search(spark, sf_dir):
+    """Lines are indexed below their document's source and language, and found by these as well."""
+    about = views.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page_id"), F.col("source").alias("page_title"), F.array("lang").alias("heading_path"))
+    kept = index.build(views.chunks(spark, sf_dir).join(about, "page_id"))
+    asked = views.questions(spark, sf_dir, 50).withColumn("text", F.concat("text", F.lit(" en")))
+    return retrieval.ranked(retrieval.search(kept, asked), 10, digits=9).withColumn("score", F.round("score", 6))
+
+
 _COS = "WITH v AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS vector FROM embeddings), s AS (SELECT a.ord AS query_id, b.ord AS ord, list_cosine_similarity(a.vector, b.vector) AS score FROM v a, v b WHERE a.ord % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM s)"
 
 
@@ -340,10 +354,12 @@ cr AS (SELECT *, list_min(list_filter(list_transform(relevant, lambda r: list_po
 def _cases(spark, sf_dir):
     """Benchmark items as cases; relevant are the documents that hold the item's text."""
     c, q = views.chunks(spark, sf_dir), views.questions(spark, sf_dir)
-    hits = retrieval.ranked(retrieval.bm25(c, q), 5, digits=9).join(c.select("ord", "page_id"), "ord")
+    kept = index.build(c)
+    hits = retrieval.ranked(retrieval.search(kept, q), 5, digits=9).join(c.select("ord", "page_id"), "ord")
     got = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page_id"))), lambda x: x["page_id"]).alias("retrieved"))  # at most five a query
     docs = views.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    relevant = docs.join(retrieval.small(q), F.contains("body", "text")).groupBy("query_id").agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant"))
+    holders = index.holders(kept, q.select(F.col("query_id").alias("item_id"), "text"), docs, F.expr(f"ord div {views.MOST_LINES}"))
+    relevant = holders.groupBy(F.col("item_id").alias("query_id")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant"))
     none = F.array().cast("array<string>")
     cases = q.join(relevant, "query_id", "left").join(got, "query_id", "left").select(F.col("query_id").alias("case_id"), F.concat(F.lit("k"), (F.col("query_id") % 3).cast("string")).alias("category"), F.coalesce("relevant", none).alias("relevant"), F.coalesce("retrieved", none).alias("retrieved"))
     return evaluation.case_results(cases.withColumn("forbidden", F.filter("retrieved", lambda p: p.cast("long") % 3 == 0)))

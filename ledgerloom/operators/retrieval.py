@@ -11,52 +11,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, tokens
+from .index import BROADCAST_ROWS, Index, build, small
 
 K1, B, RRF_K, POOL = 1.5, 0.75, 60, 30
-BROADCAST_ROWS = 10_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast if it has at most ``most`` rows, else leave the choice to the planner."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """``term, ord, tf, length``: one row per term of a chunk."""
-    toks = chunks.select("ord", tokens(F.col("text")).alias("t"))
-    return toks.select("ord", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("ord", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def corpus_size(chunks: DataFrame) -> DataFrame:
-    """One row: ``n, average`` (chunks, mean tokens, 1 where that is 0)."""
-    length = F.size(tokens(F.col("text")))
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("a")).select("n", F.when(F.col("a") > 0, F.col("a")).otherwise(1.0).alias("average"))
-
-
-def document_frequency(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_document_frequency(chunks: DataFrame) -> DataFrame:
     """``term, df`` over whole chunks (one row an ``ord``): terms are made distinct inside their row, so only sums by term are shuffled."""
-    return document_frequency(chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+    return chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, ord, score`` of chunks that share a term; a repeated query term counts again.
+def search(index: Index, queries: DataFrame) -> DataFrame:
+    """``query_id, ord, score`` (BM25) of chunks that share a term with a query; a repeated query term counts again.
 
-    Only postings of asked terms go on, and the frequencies come from those alone.
+    Only the buckets of asked terms are read from the index.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
-    terms = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    posts = postings(chunks).join(small(terms.select("term").distinct()), "term", "left_semi")
-    idf = document_frequency(posts).crossJoin(F.broadcast(corpus_size(chunks)))  # the corpus's size is one row
-    idf = idf.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "average")
-    hits = posts.join(idf, "term").join(small(terms), "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    terms = small(asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
+    weighed = terms.join(small(index.weights(terms).join(terms.select("term").distinct(), "term", "left_semi")), "term")
+    hits = index.postings(terms).join(small(weighed), "term")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / index.average))
     return hits.groupBy("query_id", "ord").agg(F.sum(part).alias("score"))
 
 
+def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`search` of an index built for these chunks."""
+    return search(build(chunks), queries)
+
+
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, ord, score``: cosine of every vector with each query's (``query_id, vector``).
 
