@@ -665,3 +665,4 @@ def pair_blockers(spark, sf_dir):
 
 
 from . import catalogue_runs  # noqa: E402, F401  (registers the queries of readers, logs and roll-ups)
+from . import catalogue_flows  # noqa: E402, F401  (registers those of streams, snapshots, models and tools)

@@ -34,9 +34,9 @@ def with_durations(spans: DataFrame, rates=RATES) -> DataFrame:
     return spans.withColumn("duration_ms", milliseconds(F.col("started_at"), F.col("ended_at"))).withColumn("cost_usd", cost(rates))
 
 
-def self_time(spans: DataFrame) -> DataFrame:
+def self_time(spans: DataFrame, rates=RATES) -> DataFrame:
     """Spans with ``self_ms``: their duration without that of their children, at least 0."""
-    spans = with_durations(spans)
+    spans = with_durations(spans, rates)
     kids = spans.where("parent_id is not null").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("duration_ms").alias("children_ms"))
     return spans.join(kids, ["trace_id", "span_id"], "left").withColumn("self_ms", F.greatest(F.lit(0.0), F.col("duration_ms") - F.coalesce("children_ms", F.lit(0.0)))).drop("children_ms")
 
@@ -58,10 +58,10 @@ def by_kind(spans: DataFrame) -> DataFrame:
     return out.withColumn("concurrency", F.coalesce(F.try_divide("total_ms", "occupancy_ms"), F.lit(0.0)))
 
 
-def totals(spans: DataFrame) -> DataFrame:
+def totals(spans: DataFrame, rates=RATES) -> DataFrame:
     """Of each trace: wall time (longest root), cost, tokens and errors."""
     roots = F.max(F.when(F.col("parent_id").isNull(), F.col("duration_ms")))
-    return with_durations(spans).groupBy("trace_id").agg(
+    return with_durations(spans, rates).groupBy("trace_id").agg(
         F.coalesce(roots, F.lit(0.0)).alias("wall_ms"), F.sum("cost_usd").alias("cost_usd"), F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"),
         F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"), F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("errors"),
     )
@@ -115,6 +115,50 @@ def export_json(spans: DataFrame) -> DataFrame:
     return timed.select("span_id", F.to_json(shape).alias("json"))
 
 
+#: Spans in one object; a trace of more goes out in parts.
+MOST_SPANS = 1_000
+
+
+def export_objects(spans: DataFrame, most: int = MOST_SPANS, rates=RATES) -> DataFrame:
+    """``trace_id, part, parts, json``: one object a trace, with its totals and its spans in order of their start.
+
+    A trace of more than ``most`` spans goes out in ``parts`` objects of ``most`` spans, each
+    with the trace's totals, so no array grows with a trace.  Values are rounded as they are reported.
+    """
+    timed = self_time(spans, rates)
+    span = F.struct(
+        "name", "kind", "span_id", "parent_id", F.bround("duration_ms", 2).alias("duration_ms"), F.bround("self_ms", 2).alias("self_ms"), F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"),
+        F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"), F.bround("cost_usd", 6).alias("cost_usd"), "model", F.coalesce("error", F.lit("")).alias("error"),
+    )
+    rows = ranks.running_sum(timed.select("trace_id", "started_at", F.col("span_id").alias("of"), span.alias("span")), ["trace_id"], ["started_at", F.col("of").try_cast("long"), "of"], F.lit(1), "place")
+    rows = rows.withColumn("part", F.expr(f"(place - 1) div {int(most)}"))
+    parts = rows.groupBy("trace_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "span"))), lambda x: x.span).alias("spans"))
+    first = spans.groupBy("trace_id").agg(F.min("started_at").alias("started_at"), F.count(F.lit(1)).alias("n"))
+    about = totals(spans, rates).join(first, "trace_id")
+    said = about.select("trace_id", "started_at", F.bround("wall_ms", 1).alias("wall_ms"), F.bround("cost_usd", 6).alias("cost_usd"), "input_tokens", "output_tokens", F.expr(f"(n - 1) div {int(most)} + 1").alias("parts"))
+    whole = F.struct("trace_id", "started_at", "wall_ms", "cost_usd", "input_tokens", "output_tokens", "spans")
+    return parts.join(said, "trace_id").select("trace_id", "part", "parts", F.to_json(whole).alias("json"))
+
+
+def export_collector(spans: DataFrame) -> DataFrame:
+    """``trace_id, span_id, json``: a span as a trace collector takes it, with times in nanoseconds and a status of 2 for errors, 1 for others."""
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    nanos = lambda c: F.unix_micros(c) * 1000
+    attributes = F.struct(F.col("kind").alias("gen_ai.operation.name"), F.coalesce("input_tokens", F.lit(0)).alias("gen_ai.usage.input_tokens"), F.coalesce("output_tokens", F.lit(0)).alias("gen_ai.usage.output_tokens"))
+    shape = F.struct(
+        "name", F.col("span_id").alias("spanId"), F.col("parent_id").alias("parentSpanId"), nanos(F.col("started_at")).alias("startTimeUnixNano"), nanos(F.coalesce("ended_at", "started_at")).alias("endTimeUnixNano"),
+        attributes.alias("attributes"), F.struct(F.when(failed, 2).otherwise(1).alias("code"), F.coalesce("error", F.lit("")).alias("message")).alias("status"),
+    )
+    return spans.select("trace_id", "span_id", F.to_json(shape).alias("json"))
+
+
+def summary(spans: DataFrame) -> DataFrame:
+    """Kinds of each trace in the order of a summary, by the clock they owned: ``position`` and ``share`` of the trace's wall time in percent."""
+    kinds = by_kind(spans).join(totals(spans).select("trace_id", "wall_ms"), "trace_id")
+    order = Window.partitionBy("trace_id").orderBy(F.desc("occupancy_ms"), "kind")  # a row a kind
+    return kinds.withColumns({"position": F.row_number().over(order), "share": F.when(F.col("wall_ms") > 0, F.col("occupancy_ms") / F.col("wall_ms") * 100).otherwise(0.0)})
+
+
 def running_tokens(spans: DataFrame) -> DataFrame:
     """Spans with the tokens used in their trace up to and with them."""
     used = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))

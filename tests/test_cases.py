@@ -160,11 +160,11 @@ def test_percentiles_by_index(spark, buckets):
 
 
 def test_export_of_spans(spark):
-    rows = [("t", "1", None, "n", "llm", "2001-01-01 00:00:00", "2001-01-01 00:00:01.005", 10, 5, "large-1", ""), ("t", "2", "1", "m", "tool", "2001-01-01 00:00:00", None, None, None, None, "failed")]
+    rows = [("t", "1", None, "n", "llm", "2001-01-01 00:00:00", "2001-01-01 00:00:01.005", 10, 5, "claude-opus-1", ""), ("t", "2", "1", "m", "tool", "2001-01-01 00:00:00", None, None, None, None, "failed")]
     df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, name string, kind string, s string, e string, input_tokens long, output_tokens long, model string, error string")
     df = df.withColumns({"started_at": F.to_timestamp("s"), "ended_at": F.to_timestamp("e")}).drop("s", "e")
     got = {r.span_id: json.loads(r.json) for r in trace.export_json(df).collect()}
-    assert got["1"] == {"trace_id": "t", "span_id": "1", "name": "n", "kind": "llm", "duration_ms": 1005.0, "self_ms": 1005.0, "input_tokens": 10, "output_tokens": 5, "cost_usd": 0.000525, "model": "large-1", "error": ""}
+    assert got["1"] == {"trace_id": "t", "span_id": "1", "name": "n", "kind": "llm", "duration_ms": 1005.0, "self_ms": 1005.0, "input_tokens": 10, "output_tokens": 5, "cost_usd": 0.000525, "model": "claude-opus-1", "error": ""}
     assert got["2"]["duration_ms"] == 0.0 and got["2"]["error"] == "failed" and "model" not in got["2"]
 
 
