@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import steps
-from .catalogue import FINDINGS, SPANS, _spans
-from .operators import rules, trace
+from .catalogue import CHUNKS, FINDINGS, SPANS, _findings, _spans, _tok
+from .functions import markdown
+from .functions import text as T
+from .operators import embedding, models, rules, tools, trace
 from .plans import snapshots, views
 from .registry import query as _query
 from .streaming import findings as stream
@@ -90,3 +96,139 @@ def trace_collector(spark, sf_dir):
 def trace_summary(spark, sf_dir):
     """Kinds by the clock they owned."""
     return trace.summary(_spans(spark, sf_dir)).select("trace_id", "kind", "position", F.round("share", 3).alias("share"))
+
+
+# ------------------------------------------------- embedders, models and tools
+
+_TOKEN = re.compile(T.TOKEN)
+
+
+class WordCounts:
+    """An embedder for queries: unit vectors of the vocabulary's counts."""
+
+    def __init__(self, vocabulary, stopwords):
+        self.place, self.stop = {w: k for k, w in enumerate(vocabulary)}, set(stopwords)
+
+    def __call__(self, texts, kind):
+        out = []
+        for text in texts:
+            counts = [0.0] * len(self.place)
+            for token in _TOKEN.findall(text):
+                at = self.place.get(token.lower())
+                if at is not None and token.lower() not in self.stop:
+                    counts[at] += 1
+            norm = sum(c * c for c in counts) ** 0.5
+            out.append([c / norm for c in counts] if norm else counts)
+        return out
+
+
+def _word_counts():
+    return WordCounts(views.VOCABULARY, T.STOPWORDS)
+
+
+@_query(CHUNKS + f", e AS (SELECT DISTINCT text FROM ch WHERE ord % 2 = 0), t AS (SELECT chunk_id, e.text IS NOT NULL AS cached, {_tok('ch.text')} AS t FROM ch LEFT JOIN e ON e.text = ch.text), v AS (SELECT chunk_id, cached, list_transform([{', '.join(repr(v) for v in views.VOCABULARY)}], lambda v: len(list_filter(t, lambda x: x = v))) AS c FROM t) SELECT chunk_id, cached, round(coalesce(c[1] / nullif(sqrt(list_sum(list_transform(c, lambda x: x * x))), 0), 0), 6) AS first FROM v")
+def embedding_cache(spark, sf_dir):
+    """Every second line fills the cache; all lines are then embedded, and only what is not there is asked for."""
+    lines, at = views.chunks(spark, sf_dir), steps.new_path(spark, "vectors")
+    embedding.embedded(lines.where("ord % 2 = 0"), at, _word_counts, "word-counts")
+    had = steps.written(embedding.read_cache(spark, at).select("cache_key"), "cached")
+    rows = embedding.embedded(lines, at, _word_counts, "word-counts").withColumn("cache_key", embedding.cache_key("word-counts", "document", F.col("text")))
+    rows = rows.join(had.withColumn("had", F.lit(True)), "cache_key", "left")
+    return rows.select("chunk_id", F.coalesce("had", F.lit(False)).alias("cached"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
+
+
+class Finder:
+    """A model for queries: a claim is supported where the passage holds it; it fails on one that is empty."""
+
+    def __call__(self, prompt):
+        source, claim = prompt.removeprefix("PASSAGE:\n").split("\n\nCLAIM:\n")
+        if not claim:
+            raise ValueError("no claim")
+        return json.dumps({"verdict": "supported" if claim in source else "unsupported", "evidence": claim if claim in source else ""})
+
+
+_JUDGED = """
+WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations), p AS (SELECT conv_id, list(text ORDER BY position) AS p FROM t WHERE position <= 3 GROUP BY 1),
+c AS (SELECT conv_id, p, trim(regexp_replace(substr(p[(conv_id % 3) + 1], 1, 40), '(?s)[^A-Za-z ].*', '')) AS claim, CASE conv_id % 5 WHEN 0 THEN [1] WHEN 1 THEN [1, 2] WHEN 2 THEN [7] ELSE [2, 3] END AS cited FROM p),
+s AS (SELECT *, array_to_string([p[i] FOR i IN cited IF i <= len(p)], chr(10) || chr(10)) AS shown, array_to_string(p, chr(10) || chr(10)) AS every FROM c WHERE claim IS NOT NULL)"""
+
+
+@_query(_JUDGED + " SELECT conv_id, CASE WHEN shown = '' THEN CASE WHEN claim <> '' AND contains(every, claim) AND len(p) > len(cited) THEN 'miscited' ELSE 'unsupported' END WHEN claim = '' THEN 'unjudged' WHEN contains(shown, claim) THEN 'supported' WHEN contains(every, claim) AND len(p) > len(cited) THEN 'miscited' ELSE 'unsupported' END AS verdict FROM s")
+def claims_judged_by_model(spark, sf_dir):
+    """Each conversation's first turns as passages; claims are words of one of them and cite by rule."""
+    c = views.read(spark, sf_dir, "conversations")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    passages = c.withColumn("position", place).where("position <= 3").select(F.col("conv_id").alias("answer_id"), "position", F.lit("turn").alias("label"), "text")
+    lists = passages.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x.text).alias("p"))
+    claim = F.trim(F.regexp_replace(F.substring(F.get("p", (F.col("answer_id") % 3).cast("int")), 1, 40), r"(?s)[^A-Za-z ].*", ""))
+    k = F.col("answer_id") % 5
+    cited = F.when(k == 0, F.array(F.lit(1))).when(k == 1, F.array(F.lit(1), F.lit(2))).when(k == 2, F.array(F.lit(7))).otherwise(F.array(F.lit(2), F.lit(3)))
+    claims = lists.select(F.col("answer_id").alias("claim_id"), "answer_id", claim.alias("claim"), cited.alias("indices")).where("claim is not null")
+    return models.judge(claims, passages, Finder).select(F.col("claim_id").alias("conv_id"), "verdict")
+
+
+def _registry(spark, sf_dir):
+    orders = views.read(spark, sf_dir, "orders")
+    found = _findings(spark, sf_dir).groupBy("issue_key").agg(F.count(F.lit(1)).alias("n"))
+
+    def status(calls):
+        met = calls.join(orders.select(F.col("o_orderkey").alias("order"), "o_orderstatus"), "order", "left")
+        said = F.concat(F.lit("order "), F.col("order"), F.lit(" is "), F.when(F.coalesce("lower", F.lit(False)), F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus")))
+        return met.select("call_id", F.coalesce(said, F.lit("no such order")).alias("content"), F.col("o_orderstatus").isNull().alias("is_error"))
+
+    def risks(calls):
+        return calls.join(found, "issue_key").select("call_id", F.concat(F.col("n"), F.lit(" findings")).alias("content"))  # an issue without any is left out
+
+    return tools.Registry((tools.Tool("order_status", status, {"order": "integer", "lower": "boolean"}, ("order",), label="Orders"), tools.Tool("risk_findings", risks, {"issue_key": "string"}, ("issue_key",), label="Findings"), tools.flag_tool()))
+
+
+def _calls(spark, sf_dir):
+    """A call an event, in eight forms: the tools' own, and what does not fit."""
+    e = views.read(spark, sf_dir, "events")
+    n, k = F.col("user_id"), F.col("event_id") % 8
+    name = F.when(k.isin(0, 1, 2), "order_status").when(k.isin(3, 4), "risk_findings").when(k.isin(5, 6), "propose_flag_at_risk").otherwise("close_issue")
+    key = F.concat(F.lit('{"issue_key": "ORD-'), n, F.lit('"'))
+    text = F.when(k == 0, F.concat(F.lit('{"order": '), n, F.lit(', "lower": true}'))).when(k == 1, F.concat(F.lit('{"order": "'), n, F.lit('"}'))).when(k == 2, "{order").when(k == 3, F.concat(key, F.lit("}"))).when(k == 4, F.concat(key, F.lit(', "level": 1}')))
+    text = text.when(k == 5, F.concat(key, F.lit(', "rationale": "r", "evidence_rule_ids": ["overdue"]}'))).when(k == 6, F.concat(key, F.lit(', "rationale": "r", "evidence_rule_ids": []}')))
+    return e.select(F.col("event_id").alias("call_id"), name.alias("name"), text.alias("arguments"))
+
+
+_CALLS = FINDINGS + """, g AS (SELECT key, count(*) AS n FROM f GROUP BY 1), c AS (SELECT event_id AS call_id, event_id % 8 AS k, user_id AS u, o_orderstatus AS st, g.n AS n FROM events LEFT JOIN orders ON o_orderkey = user_id LEFT JOIN g ON g.key = 'ORD-' || user_id),
+r AS (SELECT call_id, k, CASE k WHEN 0 THEN coalesce('order ' || u || ' is ' || lower(st), 'no such order') WHEN 1 THEN 'Invalid arguments for order_status: argument ''order'' is no integer' WHEN 2 THEN 'Invalid arguments for order_status: not an object'
+  WHEN 3 THEN coalesce(n || ' findings', 'Tool risk_findings failed: no result') WHEN 4 THEN 'Invalid arguments for risk_findings: unexpected argument ''level'''
+  WHEN 5 THEN 'Proposed flagging ORD-' || u || ' as at-risk. AWAITING HUMAN APPROVAL — nothing has been written to Jira.' WHEN 6 THEN 'Rejected: a flag proposal requires at least one supporting rule id from get_risk_findings.'
+  ELSE 'Unknown tool ''close_issue''. Available: order_status, propose_flag_at_risk, risk_findings' END AS content, CASE k WHEN 0 THEN st IS NULL WHEN 3 THEN n IS NULL WHEN 5 THEN false ELSE true END AS is_error, CASE WHEN k = 5 THEN 'ORD-' || u END AS proposed FROM c)"""
+
+
+@_query(_CALLS + " SELECT call_id, content, is_error, proposed FROM r")
+def tool_calls(spark, sf_dir):
+    return _registry(spark, sf_dir).execute(_calls(spark, sf_dir)).select("call_id", "content", "is_error", F.col("proposal.issue_key").alias("proposed"))
+
+
+@_query(_CALLS + " SELECT call_id, CASE WHEN k IN (5, 6) THEN 'Unknown tool ''propose_flag_at_risk''. Available: order_status, risk_findings' WHEN k = 7 THEN 'Unknown tool ''close_issue''. Available: order_status, risk_findings' ELSE content END AS content FROM r")
+def tool_calls_read_only(spark, sf_dir):
+    """Without the tools that propose changes."""
+    return _registry(spark, sf_dir).read_only().execute(_calls(spark, sf_dir)).select("call_id", "content")
+
+
+# ------------------------------------------------------------------ Markdown
+
+_MD = "WITH c AS (SELECT conv_id, turn, len(string_split(text, chr(10))) AS n FROM conversations WHERE text IS NOT NULL)"
+
+
+@_query(
+    _MD
+    + """, b AS (SELECT conv_id, turn, n, unnest([0, 1, 2, 3, 4, 5]) AS ordinal FROM c)
+SELECT conv_id, turn, ordinal::INT AS ordinal, ['heading', 'list', 'rule', 'table', 'list', 'paragraph'][ordinal + 1] AS kind, CASE WHEN ordinal = 0 THEN conv_id % 6 + 1 ELSE 0 END::INT AS level,
+  CASE ordinal WHEN 0 THEN 'Turn ' || turn WHEN 1 THEN 'true' WHEN 3 THEN conv_id || '/' || turn WHEN 4 THEN 'false' WHEN 5 THEN 'wrapped ' || turn || ' prose' END AS said, CASE ordinal WHEN 1 THEN n WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END::INT AS items FROM b"""
+)
+def markdown_blocks(spark, sf_dir):
+    """Every turn, set as Markdown by rule, its lines as a loose list."""
+    c = views.read(spark, sf_dir, "conversations").where("text is not null")
+    n = F.col("turn").cast("string")
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("1. "), x)), "\n\n")
+    md = F.concat(F.repeat(F.lit("#"), (F.col("conv_id") % 6 + 1).cast("int")), F.lit(" Turn "), n, F.lit("\n"), lines, F.lit("\n---\n| a | b |\n|---|:-:|\n| "), F.col("conv_id"), F.lit(" | "), n, F.lit(" |\n* x\n\n+ y\n  wrapped\n "), n, F.lit(" \r\nprose\n"))
+    b = markdown.markdown_blocks(c.select("conv_id", "turn", md.alias("text")))
+    said = F.when(F.col("kind") == "list", F.col("ordered").cast("string")).when(F.col("kind") == "table", F.array_join(F.get("body", F.lit(0)), "/")).otherwise(F.col("text"))
+    items = F.when(F.col("kind") == "list", F.size("items")).when(F.col("kind") == "table", F.size("body")).otherwise(0)
+    return b.select("conv_id", "turn", "ordinal", "kind", F.coalesce("level", F.lit(0)).alias("level"), said.alias("said"), items.alias("items"))

@@ -78,12 +78,12 @@ def cited_passages(claim_rows: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def judged(replies: DataFrame) -> DataFrame:
-    """``claim_id, reply, source, in_range`` -> verdict: out of range, unreadable and unquoted replies do not stand."""
+    """``claim_id, reply, source, in_range`` -> verdict: replies out of range, unreadable, or with a quote that the source lacks do not stand."""
     said = lenient_json(F.col("reply"))
-    verdict, quote = F.lower(F.try_variant_get(said, "$.verdict", "string")), F.try_variant_get(said, "$.evidence", "string")
-    known = verdict.isin("supported", "overreach", "unsupported")
+    verdict, quote = F.lower(F.trim(F.try_variant_get(said, "$.verdict", "string"))), F.trim(F.coalesce(F.try_variant_get(said, "$.evidence", "string"), F.lit("")))
+    known = verdict.isin("supported", "overreach", "miscited", "unsupported", "unjudged")
     stands = F.when(~F.col("in_range"), "unsupported").when(said.isNull() | ~F.coalesce(known, F.lit(False)), "unjudged")
-    stands = stands.when((verdict == "supported") & ~F.coalesce(quote_present(quote, F.col("source")), F.lit(False)), "unjudged").otherwise(verdict)
+    stands = stands.when((verdict == "supported") & (quote != "") & ~F.coalesce(quote_present(quote, F.col("source")), F.lit(False)), "unjudged").otherwise(verdict)
     return replies.withColumn("verdict", stands).withColumn("evidence", quote)
 
 
