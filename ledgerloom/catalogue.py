@@ -417,12 +417,23 @@ def paragraph_grounding(spark, sf_dir):
     return grounding.check(views.answers(spark, sf_dir)).select("answer_id", "uncited_units", "grounded")
 
 
-@_query()
+_SENTENCES = ANSWERS + r""", se AS (SELECT answer_id, regexp_replace(regexp_replace(text, '([.!?])\s+((?:\[\d+\]\s*)+)', '\1' || chr(2) || '\2' || chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g') AS t FROM an),
+su AS (SELECT answer_id, replace(trim(u, chr(10) || ' '), chr(2), ' ') AS unit FROM se, LATERAL (SELECT unnest(string_split(t, chr(1))) AS u) WHERE trim(u, chr(10) || ' ') <> ''),
+sx AS (SELECT answer_id, NOT (regexp_matches(unit, '\[\d+\]') OR len(list_filter(regexp_split_to_array(unit, '\s+'), lambda w: w <> '')) <= 6 OR rtrim(unit) LIKE '%:') AS uncited FROM su)"""
+
+
+@_query(_SENTENCES + r" SELECT an.answer_id, coalesce(u, 0) AS uncited_units, coalesce(u, 0) = 0 AND len(list_filter(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: x::INT > 5)) = 0 AS grounded FROM an LEFT JOIN (SELECT answer_id, count(*) FILTER (WHERE uncited) AS u FROM sx GROUP BY 1) USING (answer_id)")
 def sentence_grounding(spark, sf_dir):
     return grounding.check(views.answers(spark, sf_dir), per_sentence=True).select("answer_id", "uncited_units", "grounded")
 
 
-@_query()
+_CLAIMS = ANSWERS + r""", cs AS (SELECT answer_id, par, unit, list_filter([trim(x) FOR x IN string_split(regexp_replace(unit, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))], lambda x: x <> '') AS l FROM pa),
+cl AS (SELECT answer_id, par, p - 1 AS pos, l[p] AS s, unit FROM cs, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS p)),
+ci AS (SELECT answer_id, par, pos, trim(regexp_replace(regexp_replace(s, '\[\d+\]', '', 'g'), '^[ \-*|]+|[ \-*|]+$', '', 'g')) AS claim,
+  list_sort(list_distinct([x::INT FOR x IN CASE WHEN regexp_matches(s, '\[\d+\]') THEN regexp_extract_all(s, '\[(\d+)\]', 1) ELSE regexp_extract_all(unit, '\[(\d+)\]', 1) END])) AS indices FROM cl)"""
+
+
+@_query(_CLAIMS + r" SELECT answer_id, par::INT AS par, pos::INT AS pos, claim, array_to_string(indices, ',') AS indices FROM ci WHERE len(indices) > 0 AND len(list_filter(regexp_split_to_array(claim, '\s+'), lambda w: w <> '')) >= 4")
 def extract_claims(spark, sf_dir):
     return grounding.claims(views.answers(spark, sf_dir)).select("answer_id", "par", "pos", "claim", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"))
 
@@ -592,10 +603,12 @@ def map_issues(spark, sf_dir):
     return i.select(F.col("key").alias("issue_key"), "status_category", "target_release", F.unix_seconds("created_at").alias("created"), F.unix_seconds("due_date").alias("due"))
 
 
-@_query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'permission_denied' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'timeout' ELSE 'upstream_error' END AS reason FROM customer")
+@_query("WITH m AS (SELECT conv_id, turn, 'HTTP ' || (400 + (conv_id * 7 + turn) % 40) || ' ' || CASE WHEN turn % 5 = 0 THEN 'it timed out: ' ELSE '' END || coalesce(text, '') AS m FROM conversations) SELECT conv_id, turn, CASE WHEN contains(m, '403') OR contains(lower(m), 'permission') THEN 'permission_denied' WHEN contains(lower(m), 'rate') OR contains(m, '429') THEN 'rate_limited' WHEN contains(lower(m), 'timeout') OR contains(lower(m), 'timed out') THEN 'timeout' ELSE 'upstream_error' END AS reason FROM m")
 def failure_reasons(spark, sf_dir):
-    texts = F.array(F.lit("HTTP 403 on search"), F.lit("could not generate"), F.lit("it timed out"), F.lit("bad gateway"))
-    return views.read(spark, sf_dir, "customer").select("c_custkey", ingest.failure_reason(F.get(texts, (F.col("c_custkey") % 4).cast("int"))).alias("reason"))
+    """Statuses and texts of all turns as messages."""
+    status = F.lit(400) + (F.col("conv_id") * 7 + F.col("turn")) % 40
+    message = F.concat(F.lit("HTTP "), status, F.lit(" "), F.when(F.col("turn") % 5 == 0, "it timed out: ").otherwise(""), F.coalesce("text", F.lit("")))
+    return views.read(spark, sf_dir, "conversations").select("conv_id", "turn", ingest.failure_reason(message).alias("reason"))
 
 
 # ------------------------------------------------------------ html and chunks

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalogue import ANSWERS, FINDINGS, SPANS, _findings, _spans
+from .catalogue import ANSWERS, FINDINGS, ISSUES, SPANS, _findings, _spans
 from . import steps
 from .functions import text as T
 from .operators import evaluation, grounding, ranks, report, rollup, rules, trace, wording
@@ -101,14 +101,14 @@ def eval_cases(spark, sf_dir):
     return readers.cases_of(files).select("question", F.array_join("relevant_page_ids", ",").alias("relevant"), "category", "note")
 
 
-_FILE = "WITH f AS (SELECT n_nationkey AS k, 'extra_' || n_nationkey AS key, n_nationkey * 0.1::DOUBLE AS value FROM nation WHERE n_nationkey < 4)"
+_FILE = "WITH f AS (SELECT n_nationkey AS k, 'extra_' || n_nationkey AS key, n_nationkey * 0.1::DOUBLE AS value FROM nation)"
 
 
-@_query(_FILE + " SELECT key, round(value, 6) AS baseline, CASE WHEN k % 2 = 0 THEN 0.05::DOUBLE ELSE 0 END AS tolerance, 'higher_is_better' AS direction, CASE WHEN k = 1 THEN 3 ELSE 1 END AS baseline_runs FROM f")
+@_query(_FILE + " SELECT key, round(value, 6) AS baseline, CASE WHEN k % 2 = 0 THEN 0.05::DOUBLE ELSE 0 END AS tolerance, 'higher_is_better' AS direction, CASE WHEN k % 5 = 1 THEN 3 ELSE 1 END AS baseline_runs FROM f")
 def thresholds_file(spark, sf_dir):
     k = F.col("n_nationkey")
-    entry = F.struct((k * 0.1).alias("value"), F.when(k % 2 == 0, 0.05).alias("tolerance"), F.when(k == 1, 3).alias("baseline_runs"))
-    files = views.read(spark, sf_dir, "nation").where("n_nationkey < 4").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("extra_"), k), entry))).alias("metrics"))).alias("json"))
+    entry = F.struct((k * 0.1).alias("value"), F.when(k % 2 == 0, 0.05).alias("tolerance"), F.when(k % 5 == 1, 3).alias("baseline_runs"))
+    files = views.read(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("extra_"), k), entry))).alias("metrics"))).alias("json"))
     merged = evaluation.overlay(readers.thresholds_of(files), evaluation.default_thresholds(spark)).where("key like 'extra%'")
     return merged.select("key", F.round("baseline", 6).alias("baseline"), "tolerance", "direction", "baseline_runs")
 
@@ -118,14 +118,22 @@ def field_catalogue(spark, sf_dir):
     return readers.field_catalogue(views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "A")
 
 
-@_query("SELECT least(count(*), 50) AS sampled FROM orders")
+@_query("SELECT DISTINCT l_partkey + CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE 1000000000 END AS id, l_orderkey % 2 = 0 AS \"exists\" FROM lineitem")
+def known_fields(spark, sf_dir):
+    """Field ids that line items name, half of which no part has."""
+    configured = views.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") + F.when(F.col("l_orderkey") % 2 == 0, 0).otherwise(1_000_000_000)).alias("id")).distinct()
+    return readers.known_fields(configured, views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))).select("id", "exists")
+
+
+@_query(ISSUES + ", f AS (SELECT * FROM i ORDER BY key LIMIT 50) SELECT count(*) AS sampled, count(*) FILTER (WHERE release IS NOT NULL) AS with_release, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM l WHERE l.ok = f.ok AND (rf = 'R' OR (ln <= 2 AND moment >= f.created)))) AS with_changes FROM f")
 def connection_sample(spark, sf_dir):
-    return readers.connection_sample(views.issues(spark, sf_dir)).select("sampled")
+    return readers.connection_sample(views.issues(spark, sf_dir))
 
 
-@_query("SELECT 'GEN-' || (i + 1) AS key, CASE i % 3 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'todo' ELSE 'done' END AS status_category, (i % 5)::INT AS moves FROM range(1000) t(i)")
+@_query("SELECT 'GEN-' || (i + 1) AS key, CASE i % 3 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'todo' ELSE 'done' END AS status_category, (i % 5)::INT AS moves FROM range((SELECT count(*) FROM customer)) t(i)")
 def generated_issues(spark, sf_dir):
-    return readers.generated_issues(spark, 1000).select("key", "status_category", "moves")
+    """As many issues as there are customers."""
+    return readers.generated_issues(spark, views.read(spark, sf_dir, "customer").count()).select("key", "status_category", "moves")
 
 
 @_query("SELECT count(*) AS issues, count(*) FILTER (WHERE o_orderkey % 5 < 2) AS blank FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -140,11 +148,13 @@ def reply_replay(spark, sf_dir):
     return readers.replayed(d.select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt")), recorded, "m").select("prompt_id", "reply")
 
 
-@_query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'no such field / summary: too long' WHEN 1 THEN 'owner: unknown' ELSE 'Gateway says no' END AS text FROM customer")
+@_query("SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN t || ' / ' || role || ': ' || t WHEN 1 THEN role || ': ' || t ELSE substr(t, 1, 200) END AS text FROM (SELECT *, coalesce(text, '') AS t FROM conversations)")
 def error_texts(spark, sf_dir):
-    k = F.col("c_custkey") % 3
-    body = F.when(k == 0, '{"errorMessages": ["no such field"], "errors": {"summary": "too long"}}').when(k == 1, '{"errors": {"owner": "unknown"}}').otherwise("Gateway says no")
-    return views.read(spark, sf_dir, "customer").select("c_custkey", ingest.explain_errors(body).alias("text"))
+    """Turns as bodies of refused requests: messages and fields, fields alone, or no JSON at all."""
+    k, t = F.col("conv_id") % 3, F.coalesce("text", F.lit(""))
+    fields = F.create_map("role", t)
+    body = F.when(k == 0, F.to_json(F.struct(F.array(t).alias("errorMessages"), fields.alias("errors")))).when(k == 1, F.to_json(F.struct(fields.alias("errors")))).otherwise(t)
+    return views.read(spark, sf_dir, "conversations").select("conv_id", "turn", ingest.explain_errors(body).alias("text"))
 
 
 # ---------------------------------------------------------------------- logs
@@ -253,39 +263,43 @@ def suite_rollup(spark, sf_dir):
     return rollup.suite(outcomes, spans).withColumn("value", F.round("value", 6))
 
 
-@_query("SELECT n_nationkey AS case_id, len(coalesce(h, []))::INT AS hits FROM nation LEFT JOIN (SELECT c_nationkey AS n_nationkey, list(c_custkey) AS h FROM customer WHERE c_acctbal > 9900 GROUP BY 1) USING (n_nationkey)")
+@_query("SELECT n_nationkey AS case_id, len(coalesce(h, []))::INT AS hits FROM nation LEFT JOIN (SELECT c_nationkey + 1 AS n_nationkey, list(c_custkey) AS h FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1) USING (n_nationkey)")
 def cases_with_hits(spark, sf_dir):
+    """A nation's case with the customers found for it, every third of them a hit; the first nation has none."""
     cases = views.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("case_id"))
-    hits = views.read(spark, sf_dir, "customer").where("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("case_id")).agg(F.collect_list("c_custkey").alias("hits"))
-    return rollup.paired(cases, hits, "case_id").select("case_id", F.size("hits").alias("hits"))
+    found = views.read(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") + 1).alias("case_id")).agg(F.array_compact(F.collect_list(F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")))).alias("hits"))
+    return rollup.paired(cases, found, "case_id").select("case_id", F.size("hits").alias("hits"))
 
 
-def _checks(spark):
+def _checks(spark, sf_dir):
+    """Observed: of all customers, the part whose key the length of the metric's name divides."""
     t = evaluation.default_thresholds(spark)
-    seen = t.select("key", F.lit(0.3).alias("value")).withColumn("runs", F.lit(1))
+    hit = (F.col("c_custkey") % F.length("key") == 0).cast("int")
+    seen = views.read(spark, sf_dir, "customer").crossJoin(F.broadcast(t.select("key"))).groupBy("key").agg(F.round(F.avg(hit), 6).alias("value"))  # a few metrics
+    seen = seen.withColumn("runs", F.lit(1))
     return seen, evaluation.check(seen, t), t
 
 
-_T = "WITH t(key, baseline, tolerance, direction, unit) AS (VALUES " + ", ".join(f"('{t[0]}', {t[2]}::DOUBLE, {t[3]}::DOUBLE, '{t[4]}', '{t[5]}')" for t in evaluation.THRESHOLDS) + ")"
+_T = "WITH th(key, baseline, tolerance, direction, unit) AS (VALUES " + ", ".join(f"('{t[0]}', {t[2]}::DOUBLE, {t[3]}::DOUBLE, '{t[4]}', '{t[5]}')" for t in evaluation.THRESHOLDS) + "), t AS (SELECT th.*, (SELECT round(avg((c_custkey % length(key) = 0)::INT), 6) FROM customer) AS seen FROM th)"
 
 
-@_query(_T + " SELECT key FROM t WHERE CASE WHEN direction = 'higher_is_better' THEN 0.3 - baseline < -tolerance ELSE 0.3 - baseline > tolerance END")
+@_query(_T + " SELECT key FROM t WHERE CASE WHEN direction = 'higher_is_better' THEN seen - baseline < -tolerance ELSE seen - baseline > tolerance END")
 def failed_checks(spark, sf_dir):
-    return rollup.failed(_checks(spark)[1]).select("key")
+    return rollup.failed(_checks(spark, sf_dir)[1]).select("key")
 
 
-@_query(_T + " SELECT key, 0.3::DOUBLE AS value, tolerance, direction, 3 AS baseline_runs FROM t")
+@_query(_T + " SELECT key, seen AS value, tolerance, direction, 3 AS baseline_runs FROM t")
 def new_baseline(spark, sf_dir):
-    seen, _, t = _checks(spark)
+    seen, _, t = _checks(spark, sf_dir)
     return rollup.baseline_rows(seen, t, runs=3).select("key", "value", "tolerance", "direction", "baseline_runs")
 
 
-@_query(_T + " SELECT to_json({'recorded_at': 'now', 'reason': 'a test', 'judge_model': '', 'n': (SELECT count(*) FROM t)})::VARCHAR AS head")
+@_query(_T + " SELECT key, 'now|a test|' AS head, seen AS value FROM t")
 def baseline_file(spark, sf_dir):
-    """The baseline's JSON, its metrics counted."""
-    seen, _, t = _checks(spark)
+    """The baseline's JSON, read again."""
+    seen, _, t = _checks(spark, sf_dir)
     j = rollup.baseline_json(rollup.baseline_rows(seen, t), "now", "a test").select(F.from_json("json", "struct<recorded_at: string, reason: string, judge_model: string, metrics: map<string, struct<value: double>>>").alias("j"))
-    return j.select(F.to_json(F.struct("j.recorded_at", "j.reason", "j.judge_model", F.size("j.metrics").alias("n"))).alias("head"))
+    return j.select(F.concat_ws("|", "j.recorded_at", "j.reason", "j.judge_model").alias("head"), F.explode("j.metrics").alias("key", "m")).select("key", "head", "m.value")
 
 
 @_query("""WITH r AS (SELECT 'k' || c_nationkey % 3 AS category, (c_custkey % 2 = 0)::INT AS hit FROM customer) SELECT '{"k":5,"recall":' || round(avg(hit), 6) || ',"mrr":' || round(avg(hit), 6) || ',"by_category":{' || (SELECT string_agg('"' || category || '":' || v, ',' ORDER BY category) FROM (SELECT category, round(avg(hit), 6) AS v FROM r GROUP BY 1)) || '},"negatives_declined":0}' AS json FROM r""")
@@ -310,11 +324,12 @@ def running_tokens(spark, sf_dir):
 # ------------------------------------------------------------------- wording
 
 
-@_query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '$' || printf('%.4f', n_nationkey * 0.25) WHEN 1 THEN printf('%.1f', n_nationkey * 0.5) || 's' ELSE printf('%.1f', n_nationkey * 25.0) || '%' END AS shown FROM nation")
+@_query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '$' || printf('%.4f', o_totalprice::DOUBLE / 4096) WHEN 1 THEN printf('%.1f', o_totalprice::DOUBLE / 8) || 's' ELSE printf('%.1f', o_totalprice::DOUBLE / 32768 * 100) || '%' END AS shown FROM orders")
 def format_by_unit(spark, sf_dir):
-    k = F.col("n_nationkey")
-    unit = F.when(k % 3 == 0, "usd").when(k % 3 == 1, "seconds").otherwise("ratio")
-    return views.read(spark, sf_dir, "nation").select("n_nationkey", wording.in_unit(F.when(k % 3 == 1, k * 0.5).otherwise(k * 0.25), unit).alias("shown"))
+    """All orders' totals in three units, ties among them."""
+    k, v = F.col("o_orderkey") % 3, F.col("o_totalprice").cast("double")
+    unit = F.when(k == 0, "usd").when(k == 1, "seconds").otherwise("ratio")
+    return views.read(spark, sf_dir, "orders").select("o_orderkey", wording.in_unit(F.when(k == 0, v / 4096).when(k == 1, v / 8).otherwise(v / 32768), unit).alias("shown"))
 
 
 @_query("WITH a AS (SELECT event_id, event_id * 37 AS s FROM events), m AS (SELECT *, floor(s / 60 + 0.5)::BIGINT AS m FROM a), h AS (SELECT *, floor(m / 60 + 0.5)::BIGINT AS h FROM m) SELECT event_id, CASE WHEN s < 90 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN h < 24 THEN h || ' hr ago' ELSE floor(h / 24 + 0.5)::BIGINT || ' days ago' END AS age FROM h")
@@ -376,10 +391,16 @@ def empty_narrative(spark, sf_dir):
     return c.select("project", wording.empty_narrative(covered, F.col("n")).alias("text"))
 
 
-@_query(FINDINGS + " SELECT level, key AS issue_key, rule_id FROM f")
+@_query(FINDINGS + " SELECT row_number() OVER (ORDER BY level, key, o) AS place, level, key AS issue_key, rule_id FROM f")
 def findings_in_order(spark, sf_dir):
-    """Ordered by the level's name, then the issue."""
-    return _findings(spark, sf_dir).orderBy("level", "issue_key", "rule_ordinal").select("level", "issue_key", "rule_id")
+    """Numbered by the level's name, then the issue."""
+    return ranks.numbered(_findings(spark, sf_dir), ["level", "issue_key", "rule_ordinal"], "place").select("place", "level", "issue_key", "rule_id")
+
+
+@_query(FINDINGS + " SELECT CASE level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END::INT AS level_rank, row_number() OVER (PARTITION BY level ORDER BY key, o) AS position, key AS issue_key, rule_id FROM f")
+def report_sections(spark, sf_dir):
+    """The report's lists, as places in their level."""
+    return report.sections(_findings(spark, sf_dir)).select("level_rank", F.col("position").cast("long").alias("position"), "issue_key", "rule_id")
 
 
 @_query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Search' WHEN 'view' THEN 'Findings' END AS label FROM events")
@@ -392,22 +413,24 @@ def tool_labels(spark, sf_dir):
 # ----------------------------------------------------------- judged and cited
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unsupported' WHEN doc_id % 4 = 1 THEN 'unjudged' WHEN doc_id % 3 = 0 THEN 'supported' ELSE 'unjudged' END AS verdict FROM documents WHERE length(text) > 40 AND NOT regexp_matches(substr(text, 1, 30), '[\\x00-\\x1f\"\\\\|…]|\\.\\.\\.') AND trim(substr(text, 1, 30)) <> ''")
+@_query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unsupported' WHEN doc_id % 4 = 1 THEN 'unjudged' WHEN doc_id % 3 = 0 THEN 'supported' WHEN doc_id % 3 = 1 THEN 'overreach' ELSE 'unjudged' END AS verdict FROM documents")
 def judged_claims(spark, sf_dir):
-    """Out of range, unreadable, and then quotes that are in the source or not."""
-    d = views.read(spark, sf_dir, "documents").where(r"length(text) > 40 and trim(substring(text, 1, 30)) <> ''").where(~F.substring("text", 1, 30).rlike(r'[\x00-\x1f"\\|…]|\.\.\.'))
-    quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 30)).otherwise("zq zq zq not there")
-    reply = F.when(F.col("doc_id") % 4 == 1, "no object here").otherwise(F.concat(F.lit('```json\n{"verdict": "Supported", "evidence": "'), quote, F.lit('"}\n```')))
-    rows = d.select("doc_id", reply.alias("reply"), F.col("text").alias("source"), (F.col("doc_id") % 4 != 0).alias("in_range"))
+    """All documents as sources: out of range, unreadable, and then quotes that are in the source or not, or need not be."""
+    k = F.col("doc_id") % 3
+    said = F.to_json(F.struct(F.when(k == 1, "overreach").otherwise(" Supported").alias("verdict"), F.when(k == 0, F.substring("text", 1, 30)).otherwise("zq zq zq not there").alias("evidence")))
+    reply = F.when(F.col("doc_id") % 4 == 1, "no object here").otherwise(F.concat(F.lit("```json\n"), said, F.lit("\n```")))
+    rows = views.read(spark, sf_dir, "documents").select("doc_id", reply.alias("reply"), F.col("text").alias("source"), (F.col("doc_id") % 4 != 0).alias("in_range"))
     return grounding.judged(rows).select("doc_id", "verdict")
 
 
-@_query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'vendor' ELSE 'unknown' END AS category, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'quote not in text' WHEN 2 THEN 'unknown category' WHEN 3 THEN 'unparseable reply' ELSE 'no text' END AS rejected_reason FROM customer")
+@_query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND trim(coalesce(text, '')) <> '' THEN 'vendor' ELSE 'unknown' END AS category, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no text' WHEN doc_id % 4 = 3 THEN 'unparseable reply' WHEN doc_id % 4 = 2 THEN 'unknown category' WHEN doc_id % 4 = 1 THEN 'quote not in text' ELSE '' END AS rejected_reason FROM documents")
 def blocker_classes(spark, sf_dir):
-    k = F.col("c_custkey") % 5
-    reply = F.when(k == 0, '{"category": "Vendor", "evidence": "waiting  ON the"}').when(k == 1, '{"category": "vendor", "evidence": "legal"}').when(k == 2, '{"category": "weather", "evidence": "waiting"}').when(k == 3, "none").otherwise('{"category": "vendor", "evidence": "x"}')
-    rows = views.read(spark, sf_dir, "customer").select("c_custkey", reply.alias("reply"), F.when(k == 4, " ").otherwise("We are waiting on\nthe vendor").alias("source"))
-    return grounding.blocker_class(rows, ("vendor", "legal")).select("c_custkey", "category", "rejected_reason")
+    """All documents as sources; quotes are their first words, spaced otherwise, or none of theirs."""
+    k = F.col("doc_id") % 4
+    quote = F.when(k == 0, F.concat(F.lit(" "), F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit("  ")))).otherwise("zq zq zq not there")
+    said = F.to_json(F.struct(F.when(k == 2, "weather").otherwise("Vendor").alias("category"), quote.alias("evidence")))
+    rows = views.read(spark, sf_dir, "documents").select("doc_id", F.when(k == 3, "none").otherwise(said).alias("reply"), F.col("text").alias("source"))
+    return grounding.blocker_class(rows, ("vendor", "legal")).select("doc_id", "category", F.coalesce("rejected_reason", F.lit("")).alias("rejected_reason"))
 
 
 @_query("SELECT o_custkey AS answer_id, string_agg('[' || r || '] ' || 'O' || o_orderkey || chr(10) || o_orderstatus, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r) AS context FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 5 GROUP BY 1")
@@ -447,9 +470,9 @@ def requested_not_covered(spark, sf_dir):
     return c.select("project", F.size(F.array_except("requested", "covered")).cast("long").alias("missing"))
 
 
-@_query("SELECT source, count(*) AS n FROM (SELECT 'tool' AS source, 'https://t/' || o_orderkey AS url FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'hit', 'https://h/' || page_id FROM pages) GROUP BY 1")
+@_query("SELECT row_number() OVER (ORDER BY turn, url) AS place, source, url FROM (SELECT 0 AS turn, 'tool' AS source, 'https://t/' || o_orderkey AS url FROM orders UNION ALL SELECT 1, 'hit', 'https://h/' || page_id FROM pages)")
 def evidence_union(spark, sf_dir):
-    """Evidence of tools first, then of searches."""
-    tool = views.read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.lit(0).alias("turn"), F.lit("tool").alias("source"), F.concat(F.lit("https://t/"), F.col("o_orderkey")).alias("url"))
+    """Evidence of tools first, then of searches, numbered."""
+    tool = views.read(spark, sf_dir, "orders").select(F.lit(0).alias("turn"), F.lit("tool").alias("source"), F.concat(F.lit("https://t/"), F.col("o_orderkey")).alias("url"))
     hits = views.read(spark, sf_dir, "pages").select(F.lit(1).alias("turn"), F.lit("hit").alias("source"), F.concat(F.lit("https://h/"), F.col("page_id")).alias("url"))
-    return tool.unionByName(hits).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return ranks.numbered(tool.unionByName(hits), ["turn", "url"], "place").select("place", "source", "url")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LEVELS
+from .ranks import running_sum
 
 
 def level_rank(level: Column) -> Column:
@@ -21,6 +22,15 @@ def by_level(findings: DataFrame) -> DataFrame:
     return n.withColumn("level_rank", level_rank(F.col("level"))).orderBy("level_rank")
 
 
+def sections(findings: DataFrame) -> DataFrame:
+    """A report's lists: every finding with its level's rank and its ``position`` in it, by issue and rule; levels without any are left out.
+
+    Positions are counted by ranges, so a level that has most findings is neither one array nor one task.
+    """
+    rows = running_sum(findings.withColumn("level_rank", level_rank(F.col("level"))), ["level_rank"], ["issue_key", "rule_ordinal"], F.lit(1), "position")
+    return rows.select("level_rank", "level", "position", "issue_key", "project_key", "rule_id", "detail", "citations")
+
+
 def rule_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import cosine, tokens
 from .index import BROADCAST_ROWS, Index, build, small
 
-K1, B, RRF_K, POOL = 1.5, 0.75, 60, 30
+K1, B, RRF_K, POOL, MOST_HITS = 1.5, 0.75, 60, 30, 10
 
 
 def corpus_document_frequency(chunks: DataFrame) -> DataFrame:
@@ -67,6 +67,13 @@ def ranked(scores: DataFrame, pool: int, floor: float | None = None, digits: int
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).withColumn("rank", F.col("rank") - 1)
 
 
+def asked_for(top_k: int) -> int:
+    """``top_k``, if it is one of 1 to ``MOST_HITS``."""
+    if not 1 <= top_k <= MOST_HITS:
+        raise ValueError(f"top_k is 1 to {MOST_HITS}, not {top_k}")
+    return top_k
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, top_k: int = 5, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked sides: ``query_id, ord, score, bm25_rank, vector_rank, position``."""
     both = keyword.select("query_id", "ord", F.col("rank").alias("bm25_rank")).join(vector.select("query_id", "ord", F.col("rank").alias("vector_rank")), ["query_id", "ord"], "full")
@@ -78,7 +85,7 @@ def fuse(keyword: DataFrame, vector: DataFrame, top_k: int = 5, rrf_k: int = RRF
 
 def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 5, pool: int = POOL, min_bm25: float = 0.0, min_cosine: float = 0.0, digits: int | None = 9) -> DataFrame:
     """Both sides over one corpus; ``chunks`` and ``queries`` also carry ``vector``."""
-    return fuse(ranked(bm25(chunks, queries), pool, min_bm25, digits), ranked(vector_scores(chunks, queries), pool, min_cosine, digits), top_k)
+    return fuse(ranked(bm25(chunks, queries), pool, min_bm25, digits), ranked(vector_scores(chunks, queries), pool, min_cosine, digits), asked_for(top_k))
 
 
 def reason(bm25_rank, vector_rank):
@@ -114,4 +121,4 @@ def fuse_subqueries(hits: DataFrame, top_k: int = 5, rrf_k: int = RRF_K) -> Data
     fused = Window.partitionBy("question_id", "chunk_id")
     rows = hits.withColumn("__r", F.row_number().over(best)).withColumn("fused", F.sum(1.0 / (rrf_k + F.col("position") - 1)).over(fused)).where("__r = 1")
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("fused", 12)), "chunk_id")
-    return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top_k).select("question_id", "chunk_id", "score", "fused", "position")
+    return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= asked_for(top_k)).select("question_id", "chunk_id", "score", "fused", "position")

@@ -25,10 +25,15 @@ NEGATIVE_END = (
 )
 
 
+def _decimals(value: Column, places: int) -> Column:
+    """A number's text, rounded half to even from its exact binary value."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * places))
+
+
 def in_unit(value: Column, unit: Column) -> Column:
     """A metric in its own unit: dollars, seconds, or else percent."""
-    percent = F.concat(F.format_string("%.1f", value * 100), F.lit("%"))
-    return F.when(unit == "usd", F.concat(F.lit("$"), F.format_string("%.4f", value))).when(unit == "seconds", F.concat(F.format_string("%.1f", value), F.lit("s"))).otherwise(percent)
+    percent = F.concat(_decimals(value * 100, 1), F.lit("%"))
+    return F.when(unit == "usd", F.concat(F.lit("$"), _decimals(value, 4))).when(unit == "seconds", F.concat(_decimals(value, 1), F.lit("s"))).otherwise(percent)
 
 
 def age(seconds: Column) -> Column:

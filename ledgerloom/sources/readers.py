@@ -82,9 +82,14 @@ def field_catalogue(fields: DataFrame, part: str) -> DataFrame:
     return fields.where(F.contains(F.lower("name"), F.lit(part.lower()))).orderBy("name", "id")
 
 
+def known_fields(configured: DataFrame, fields: DataFrame) -> DataFrame:
+    """Configured field ids (``id``) and whether a field has each; a search that names one that does not exist is refused."""
+    return configured.join(fields.select("id", F.lit(True).alias("there")).dropDuplicates(["id"]), "id", "left").withColumn("exists", F.coalesce("there", F.lit(False))).drop("there")
+
+
 def connection_sample(issues: DataFrame, n: int = 50) -> DataFrame:
-    """One row: how many of ``n`` rows read have a target release and a change."""
-    return issues.limit(n).agg(F.count(F.lit(1)).alias("sampled"), F.count_if(F.col("target_release").isNotNull()).alias("with_release"), F.count_if(F.size("changelog") > 0).alias("with_changes"))
+    """One row: how many of the first ``n`` issues by key have a target release and a change."""
+    return issues.orderBy("key").limit(n).agg(F.count(F.lit(1)).alias("sampled"), F.count_if(F.col("target_release").isNotNull()).alias("with_release"), F.count_if(F.size("changelog") > 0).alias("with_changes"))
 
 
 def generated_issues(spark: SparkSession, n: int, project: str = "GEN") -> DataFrame:
