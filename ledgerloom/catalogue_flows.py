@@ -73,7 +73,7 @@ def snapshot_publish(spark, sf_dir):
 _OBJ = "a AS (SELECT trace_id, sum(cost) AS cost, sum(tin)::BIGINT AS tin, sum(tout)::BIGINT AS tout, coalesce(max(ms) FILTER (WHERE parent_id IS NULL), 0) AS wall, count(*) AS n FROM t GROUP BY 1)"
 
 
-@_query(SPANS + ", " + _OBJ + ", b AS (SELECT trace_id, (row_number() OVER (PARTITION BY trace_id ORDER BY s, event_id) - 1) // 20 AS part, event_id, ms, self FROM t) SELECT trace_id, part, (n - 1) // 20 + 1 AS parts, count(*) AS spans, string_agg(event_id, ',' ORDER BY event_id) AS ids, round(any_value(wall), 0) AS wall_ms, round(any_value(cost), 5) AS cost_usd, any_value(tin) AS input_tokens, round(sum(ms), 0) AS ms, round(sum(self), 0) AS self_ms FROM b JOIN a USING (trace_id) GROUP BY 1, 2, 3")
+@_query(SPANS + ", " + _OBJ + ", b AS (SELECT trace_id, (row_number() OVER (PARTITION BY trace_id ORDER BY s, event_id) - 1) // 20 AS part, event_id, ms, self FROM t) SELECT trace_id, part, (n - 1) // 20 + 1 AS parts, count(*) AS spans, string_agg(event_id, ',' ORDER BY event_id) AS ids, round(any_value(wall), 0) AS wall_ms, round(any_value(cost), 6) AS cost_usd, any_value(tin) AS input_tokens, round(sum(ms), 0) AS ms, round(sum(self), 0) AS self_ms FROM b JOIN a USING (trace_id) GROUP BY 1, 2, 3")
 def trace_objects(spark, sf_dir):
     """Traces as objects of 20 spans at most, parsed again."""
     o = trace.export_objects(_spans(spark, sf_dir), most=20)
@@ -81,7 +81,7 @@ def trace_objects(spark, sf_dir):
     o = o.withColumn("o", F.from_json("json", shape))
     total = lambda c: F.round(F.aggregate(f"o.spans.{c}", F.lit(0.0), lambda a, x: a + x), 0)
     ids = F.array_join(F.array_sort(F.transform("o.spans.span_id", lambda x: x.cast("long"))).cast("array<string>"), ",")
-    return o.select("trace_id", "part", "parts", F.size("o.spans").cast("long").alias("spans"), ids.alias("ids"), F.round("o.wall_ms", 0).alias("wall_ms"), F.round("o.cost_usd", 5).alias("cost_usd"), "o.input_tokens", total("duration_ms").alias("ms"), total("self_ms").alias("self_ms"))
+    return o.select("trace_id", "part", "parts", F.size("o.spans").cast("long").alias("spans"), ids.alias("ids"), F.round("o.wall_ms", 0).alias("wall_ms"), F.round("o.cost_usd", 6).alias("cost_usd"), "o.input_tokens", total("duration_ms").alias("ms"), total("self_ms").alias("self_ms"))
 
 
 @_query(SPANS + " SELECT span_id, parent_id, kind, epoch_us(s) * 1000 AS starts, epoch_us(coalesce(e, s)) * 1000 AS ends, tin + tout AS tokens, CASE WHEN error <> '' THEN 2 ELSE 1 END::INT AS code FROM d")
