@@ -23,7 +23,7 @@ from ..functions.text import tokens
 from ..steps import delete, new_path
 from .chunking import index_text
 
-BUCKETS, PARTS, BROADCAST_ROWS = 64, 8, 10_000
+LEAST_BUCKETS, PARTS, BROADCAST_ROWS = 16, 8, 10_000
 NO_TERM = -1
 TABLES = {"postings": "term string, ord long, length int, tf long, bucket int", "frequencies": "term string, df long, bucket int"}
 
@@ -71,9 +71,13 @@ class Index:
         delete(self.spark, self.path)
 
 
-def build(chunks: DataFrame, path: str | None = None, buckets: int = BUCKETS, parts: int = PARTS) -> Index:
-    """Index ``ord, text`` (and ``page_title, heading_path``, if the chunks have them) at ``path``, by default a step of the shared folder."""
+def build(chunks: DataFrame, path: str | None = None, buckets: int | None = None, parts: int = PARTS) -> Index:
+    """Index ``ord, text`` (and ``page_title, heading_path``, if the chunks have them) at ``path``, by default a step of the shared folder.
+
+    ``buckets``: by default two a shuffle partition, so that their files grow with what the session is set up for.
+    """
     spark = chunks.sparkSession
+    buckets = buckets or max(LEAST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = path or new_path(spark, "index")
     text = index_text(F.col("page_title"), F.col("heading_path"), F.col("text")) if {"page_title", "heading_path"} <= set(chunks.columns) else F.col("text")
     toks = chunks.select(F.col("ord").cast("long").alias("ord"), tokens(text).alias("t"))
