@@ -18,10 +18,14 @@ from ..steps import written
 _PLACE_BITS = 33
 
 
-def ranged(df: DataFrame, order: list[str | Column], name: str = "ranged") -> DataFrame:
-    """``df``, written, with ``__range`` and ``__place`` (from 0 within the range) of each row in ``order``, nulls last; ranges follow each other."""
+def ranged(df: DataFrame, order: list[str | Column], name: str = "ranged", width: int | None = None) -> DataFrame:
+    """``df``, written, with ``__range`` and ``__place`` (from 0 within the range) of each row in ``order``, nulls last; ranges follow each other.
+
+    ``width``: about how many rows a range has; by default there are as many ranges as a shuffle has partitions.
+    """
     keys = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
-    dealt = df.withColumn("__chance", F.rand(7)).repartitionByRange(*keys, F.col("__chance")).sortWithinPartitions(*keys, F.col("__chance"))
+    parts = [max(1, -(-df.count() // width))] if width else []
+    dealt = df.withColumn("__chance", F.rand(7)).repartitionByRange(*parts, *keys, F.col("__chance")).sortWithinPartitions(*keys, F.col("__chance"))
     # The number that Spark gives to a partition's rows as they come: the partition above, the row below.
     numbered_ = dealt.drop("__chance").withColumn("__number", F.monotonically_increasing_id())
     out = numbered_.withColumns({"__range": F.shiftright("__number", _PLACE_BITS), "__place": F.col("__number").bitwiseAND((1 << _PLACE_BITS) - 1)}).drop("__number")
@@ -34,9 +38,9 @@ def before(sums: DataFrame, groups: list[str], value: str, f=F.sum) -> DataFrame
     return sums.withColumn(value, f(value).over(order))
 
 
-def numbered(df: DataFrame, order: str | Column | list, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: str | Column | list, name: str, width: int | None = None) -> DataFrame:
     """``df`` with the 1-based rank of every row in ``order`` as ``name``; nulls are last, equal rows follow each other in any order."""
-    rows = ranged(df, order if isinstance(order, list) else [order])
+    rows = ranged(df, order if isinstance(order, list) else [order], width=width)
     starts = before(rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__start")), [], "__start")
     met = rows.join(F.broadcast(starts), "__range")  # one row a range
     return met.withColumn(name, F.coalesce("__start", F.lit(0)) + F.col("__place") + 1).drop("__start", "__range", "__place")
