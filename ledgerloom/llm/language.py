@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 CELLS = 1 << 14
 _ENTITY = r"&[a-z#0-9]+;"
@@ -77,41 +77,76 @@ def _model_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "cell", "n"])
 
 
-def learn(docs: DataFrame, most_docs: int = 4_000, most_languages: int = 200, least_docs: int = 200) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, most_docs: int = 4_000, least_docs: int = 200) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities by cell, from ``lang, text``.
 
-    The languages are those of a count over all documents.  Each has an even share
-    of about ``most_docs`` documents, ``least_docs`` or all it has at least, chosen
-    by hash, so that a rare language has a model as well.
+    The languages are those of a count over all documents, however many; the model
+    takes 64 kB a language.  Each has an even share of about ``most_docs``
+    documents, ``least_docs`` or all it has at least, chosen by hash, so that a
+    rare language has a model as well.
     """
     known = docs.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"over {most_languages} languages; at most so many have models")
-    share = max(least_docs, most_docs // max(1, len(sizes)))
-    below = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1 << 30, (share << 30) // n))]) if sizes else F.create_map().cast("map<string,bigint>")
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return langs, np.zeros((0, CELLS), dtype=np.float32)
+    share = max(least_docs, most_docs // len(langs))
+    below = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1 << 30, (share << 30) // sizes[lang]))])
     sample = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) < below[F.col("lang")]).select("text", "lang")
     counts = sample.mapInArrow(_model_counts, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    rows = counts.toPandas()  # at most most_languages * CELLS numbers
-    langs = sorted(sizes)
     table = np.full((len(langs), CELLS), 0.5)
-    for k, lang in enumerate(langs):
-        own = rows[rows.lang == lang]
-        table[k, own.cell] += own.n
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32) if langs else table
+    for lang, own in counts.toPandas().groupby("lang"):  # at most CELLS numbers a language
+        table[langs.index(lang), own.cell] += own.n
+    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _text_evidence(table: np.ndarray, temper: float, most: float):
+    """(id, html, declared, suffix, host) -> the same without the page, its log likelihoods and what they make alone."""
+
     def run(batches):
         for batch in batches:
-            rows = []
+            logs, alone = [], []
             for html in batch.column(1).to_pylist():
                 n = trigrams(page_text(html))
                 at = np.flatnonzero(n)
                 like = temper * (table[:, at] @ n[at]) if len(at) else np.zeros(len(table))
-                like = np.maximum(like - like.max(initial=-np.inf), -most) if len(like) else like
-                rows.append(like.astype(float))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(rows, pa.list_(pa.float64()))], ["page_id", "declared", "suffix", "host", "evidence"])
+                like = np.maximum(like - like.max(), -most).astype(float)
+                logs.append(like)
+                alone.append(np.exp(like) / np.exp(like).sum())
+            lists = [pa.array(x, pa.list_(pa.float64())) for x in (logs, alone)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:5], *lists], ["page_id", "declared", "suffix", "host", "evidence", "p"])
+
+    return run
+
+
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Rows of a column of lists; a null one is zeros."""
+    out = np.zeros((len(lists), width))
+    out[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def _fused(langs: list[str], prior: np.ndarray, said: list[dict[str, np.ndarray]], kappas: tuple[float, float]):
+    """(id, declared, suffix, host, evidence, p, host's sums, domain's sums) -> (id, lang, confidence, declared, suffix, host)."""
+    at = {v: k for k, v in enumerate(["", *langs])}
+    tables = [np.stack([t[v] for v in at]) for t in said]
+    names = np.array(langs, dtype=object)
+    kappa_host, kappa_domain = kappas
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                evidence, own, of_host, of_domain = (_matrix(part.column(k), len(langs)) for k in (4, 5, 6, 7))
+                of_host, of_domain = np.maximum(of_host - own, 0), np.maximum(of_domain - own, 0)
+                domain = (of_domain + kappa_domain * prior) / (of_domain.sum(axis=1, keepdims=True) + kappa_domain)
+                host = (of_host + kappa_host * domain) / (of_host.sum(axis=1, keepdims=True) + kappa_host)
+                logs = evidence + np.log(host + 1e-12)
+                for k, t in zip((1, 2), tables, strict=True):
+                    logs += t[[at[v] for v in part.column(k).to_pylist()]]
+                p = np.exp(logs - logs.max(axis=1, keepdims=True))
+                best = p.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(1 / p.sum(axis=1)), *part.columns[1:4]], ["page_id", "lang", "confidence", "declared", "suffix", "host"])
 
     return run
 
@@ -131,45 +166,29 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     top = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
     among = lambda c: F.when(F.array_contains(known, c), c)
     rows = pages.select(F.col(id_col).alias("page_id"), html.alias("html"), F.coalesce(among(said), F.lit("")).alias("declared"), F.coalesce(among(step), among(value), among(top), F.lit("")).alias("suffix"), F.coalesce(host, F.lit("")).alias("host"))
-    rows = written(rows.mapInArrow(_text_evidence(table, temper, most), f"page_id {id_type}, declared string, suffix string, host string, evidence array<double>"), "evidence")
+    post = written(rows.mapInArrow(_text_evidence(table, temper, most), f"page_id {id_type}, declared string, suffix string, host string, evidence array<double>, p array<double>"), "evidence")
 
     n = len(langs)
-    soft = lambda e: F.transform(F.transform(e, F.exp), lambda x: x / F.aggregate(F.transform(e, F.exp), F.lit(0.0), lambda a, b: a + b))
-    post = rows.withColumn("p", soft(F.col("evidence")))
-    sums = [F.sum(F.get("p", F.lit(k))).alias(f"s{k}") for k in range(n)]
-    cells = lambda row: np.array([float(row[f"s{k}"] or 0.0) for k in range(n)])
+    sums = lambda c: F.array(*[F.sum(F.get(c, F.lit(k))) for k in range(n)])
     # How pages of each language declare and address themselves: at most languages + 1 rows each.
-    tables = {}
+    shares = []
     for sign in ("declared", "suffix"):
         share = {v: np.ones(n) * 0.5 for v in ["", *langs]}
-        for row in post.groupBy(sign).agg(*sums).collect():
-            share[row[sign]] = share[row[sign]] + cells(row)
+        for row in post.groupBy(sign).agg(sums("p").alias("s")).collect():
+            share[row[sign]] = share[row[sign]] + np.array(row.s)
         whole = sum(share.values())
-        tables[sign] = {v: np.log(x / whole) for v, x in share.items()}
-    total = cells(post.agg(*sums).first()) + 1.0
-    prior = total / total.sum()
+        shares.append({v: np.log(x / whole) for v, x in share.items()})
+    total = np.array([x or 0.0 for x in post.agg(sums("p").alias("s")).first().s]) + 1.0
 
     # Host within domain within corpus.
-    named = [f"s{k}" for k in range(n)]
-    hosts = post.where("host <> ''").groupBy("host").agg(*sums).withColumn("domain", F.when(F.contains("host", F.lit(".")), F.substring_index("host", ".", -2)).otherwise(""))
+    hosts = post.where("host <> ''").groupBy("host").agg(sums("p").alias("s")).withColumn("domain", F.when(F.contains("host", F.lit(".")), F.substring_index("host", ".", -2)).otherwise(""))
     hosts = written(hosts, "hosts")
-    domains = hosts.groupBy("domain").agg(*[F.sum(c).alias(f"d{c}") for c in named])
-    hosts = written(hosts.join(domains, "domain").select("host", *named, *[f"d{c}" for c in named]), "host-priors")
+    domains = hosts.groupBy("domain").agg(sums("s").alias("ds"))
+    priors = written(hosts.join(domains, "domain").select(F.col("host").alias("at"), "s", "ds"), "host-priors")
+    dropped(hosts)
     # Pages without a host meet nothing: they are dealt evenly instead of under one key.
     at = F.when(F.col("host") != "", F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("page_id", "evidence").cast("string")))
-    spread = post.withColumn("at", at).join(hosts.withColumnRenamed("host", "at"), "at", "left")
-    own = lambda k: F.get("p", F.lit(k))
-    zero = F.lit(0.0)
-    of_domain = [F.greatest(F.coalesce(F.col(f"ds{k}") - own(k), zero), zero) for k in range(n)]
-    of_host = [F.greatest(F.coalesce(F.col(f"s{k}") - own(k), zero), zero) for k in range(n)]
-    plus = lambda cols: sum(cols[1:], cols[0])
-    in_domain, in_host = plus(of_domain), plus(of_host)
-    domain_prior = [(of_domain[k] + kappa_domain * float(prior[k])) / (in_domain + kappa_domain) for k in range(n)]
-    host_prior = [(of_host[k] + kappa_host * domain_prior[k]) / (in_host + kappa_host) for k in range(n)]
-    look = lambda sign, k: F.coalesce(F.create_map(*[F.lit(x) for v in ["", *langs] for x in (v, float(tables[sign][v][k]))])[F.col(sign)], zero)
-    logs = F.array(*[F.get("evidence", F.lit(k)) + look("declared", k) + look("suffix", k) + F.log(host_prior[k] + 1e-12) for k in range(n)])
-    scored = spread.select("page_id", "declared", "suffix", "host", logs.alias("e"))
-    scored = scored.withColumn("e", F.transform("e", lambda x: x - F.array_max("e"))).withColumn("p", soft(F.col("e")))
-    best = F.array_position("p", F.array_max("p")).cast("int")
+    met = post.withColumn("at", at).join(priors, "at", "left").select("page_id", "declared", "suffix", "host", "evidence", "p", "s", "ds")
+    scored = met.mapInArrow(_fused(langs, total / total.sum(), shares, (kappa_host, kappa_domain)), f"page_id {id_type}, lang string, confidence double, declared string, suffix string, host string")
     empty = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
-    return scored.select("page_id", F.element_at(known, best).alias("lang"), F.round(F.array_max("p"), 6).alias("confidence"), empty("declared"), empty("suffix"), empty("host"))
+    return scored.select("page_id", "lang", F.round("confidence", 6).alias("confidence"), empty("declared"), empty("suffix"), empty("host"))

@@ -57,7 +57,7 @@ def size_of(text: Column) -> Column:
 def _moved(rows: DataFrame, opened: DataFrame, bucket: str, own: str, n: int, how: str) -> DataFrame:
     """``rows`` with the bucket that the open buckets' probes put them in; ``how``: left keeps the others as they are, inner leaves them out."""
     o = free_name(rows, "opened")
-    digit = " ".join(f"WHEN {k} THEN {own}.d{k}" for k in range(n))
+    digit = " ".join(f"WHEN {k} THEN {own}_d{k}" for k in range(n))
     cut = F.expr(f"{o}.base + (CASE {o}.digit {digit} END - {o}.least) div {o}.width")
     met = rows.join(F.broadcast(opened.select(F.struct("bucket", "digit", "least", "width", "base").alias(o))), F.col(bucket) == F.col(f"{o}.bucket"), how)
     return met.withColumn(bucket, F.coalesce(cut, F.col(bucket))).drop(o)
@@ -75,8 +75,8 @@ def _opened(buckets: DataFrame, n: int, most_bytes: int, level: int) -> DataFram
 
 def _counted(rows: DataFrame, opened: DataFrame, n: int) -> DataFrame:
     """Exact bytes and rows of the buckets into which open buckets fall, and those below each."""
-    ends = [f(f"own.d{k}").alias(f"{name}{k}") for k in range(n) for name, f in (("min", F.min), ("max", F.max))]
-    sums = rows.groupBy("bucket").agg(F.sum("own.size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *ends)
+    ends = [f(f"own_d{k}").alias(f"{name}{k}") for k in range(n) for name, f in (("min", F.min), ("max", F.max))]
+    sums = rows.groupBy("bucket").agg(F.sum("own_size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *ends)
     above = opened.select(F.expr(f"base div {MOST_PROBES}").alias("above"), F.col("digit").alias("by"), "bytes_below", "rows_below", "held")
     met = sums.withColumn("above", F.expr(f"bucket div {MOST_PROBES}")).join(F.broadcast(above), "above")
     before = Window.partitionBy("above").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,9 +84,9 @@ def _counted(rows: DataFrame, opened: DataFrame, n: int) -> DataFrame:
 
 
 def _plan(rows: DataFrame, n: int, shards: int, together: float, tolerance: float) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(open buckets, counted buckets), a table a level; ``rows`` are ``own`` of digits and size."""
-    ends = [f(f"own.d{k}").alias(f"{name}{k}") for k in range(n) for name, f in (("min", F.min), ("max", F.max))]
-    whole = rows.agg(F.sum("own.size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *ends)
+    """(open buckets, counted buckets), a table a level; ``rows`` are ``own_d0, own_d1, ..., own_size``: digits and size."""
+    ends = [f(f"own_d{k}").alias(f"{name}{k}") for k in range(n) for name, f in (("min", F.min), ("max", F.max))]
+    whole = rows.agg(F.sum("own_size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *ends)
     total, count = whole.select("bytes", "rows").first()
     if not count:
         return [], []
@@ -122,22 +122,29 @@ def shards(docs: DataFrame, n_shards: int = 8, text_col: str = "text", digits: l
     how far a splitter may lie from its place, as a part of a shard's bytes; 0
     refines it down to single rows.
     """
-    own, bucket, out = (free_name(docs, x) for x in ("shard_own", "shard_bucket", "sharding"))
+    bucket, out = (free_name(docs, x) for x in ("shard_bucket", "sharding"))
+    own = "own"  # plain columns of this prefix: a struct's fields would be cut out of both sides of the union below by the planner
+    while any(c.lower().startswith(f"{own}_") for c in docs.columns):
+        own += "_"
     digits = digits or [hash_digit(F.col(text_col)), hash_digit(F.col(id_col))]
-    fields = lambda extra: F.struct(*[d.cast("long").alias(f"d{k}") for k, d in enumerate([*digits, extra])], size_of(F.col(text_col)).alias("size"))
+    fields = lambda extra: {f"{own}_size": size_of(F.col(text_col))} | {f"{own}_d{k}": d.cast("long") for k, d in enumerate([*digits, extra])}
     n = len(digits) + 1
-    placed = docs.withColumn(own, fields(F.lit(0)))
-    narrow = written(placed.select(F.col(own).alias("own")), "sizes")
+    alone = lambda df: df.select(*[F.col(f"{own}_{x}").alias(f"own_{x}") for x in ("size", *[f"d{k}" for k in range(n)])])
+    placed = docs.withColumns(fields(F.lit(0)))
+    narrow = written(alone(placed), "sizes")
     opens, levels = _plan(narrow, n, n_shards, together, tolerance)
     tied = written(_all(levels).where("tied").select(*[f"min{k}" for k in range(n)]), "tied") if levels else None
     if tied is not None and not is_empty(tied):
         # Repeated rows get numbers, which must not change between passes: they are written with them.
-        same = [F.col(f"{own}.d{k}") == F.col(f"min{k}") for k in range(n - 1)]
-        alike = written(docs.withColumn(own, fields(F.monotonically_increasing_id())).join(F.broadcast(tied), same, "left_semi"), "repeated")
-        placed = placed.join(F.broadcast(tied), same, "left_anti").unionByName(alike)
+        many = tied.select(*[F.col(f"min{k}").alias(f"{own}_min{k}") for k in range(n)])
+        same = [F.col(f"{own}_d{k}") == F.col(f"{own}_min{k}") for k in range(n - 1)]
+        alike = written(docs.withColumns(fields(F.monotonically_increasing_id())).join(F.broadcast(many), same, "left_semi"), "repeated")
+        placed = placed.join(F.broadcast(many), same, "left_anti").unionByName(alike)
         dropped(narrow, *opens, *levels)
-        narrow = written(placed.select(F.col(own).alias("own")), "sizes")
+        narrow = written(alone(placed), "sizes")
         opens, levels = _plan(narrow, n, n_shards, together, tolerance)
+    elif tied is not None:
+        dropped(tied)
     dropped(narrow)
     place = placed.withColumn(bucket, F.lit(0).cast("long"))
     for opened in opens:
@@ -145,10 +152,11 @@ def shards(docs: DataFrame, n_shards: int = 8, text_col: str = "text", digits: l
     pieces = _all(levels).where("not open").select("bucket", "shard", "rows_below") if levels else docs.sparkSession.createDataFrame([], "bucket long, shard int, rows_below long")
     starts = pieces.groupBy("shard").agg(F.min("rows_below").alias("start"))
     pieces = written(pieces.join(starts, "shard").select("bucket", "shard", (F.col("rows_below") - F.col("start")).alias("slot")), "pieces").select(F.struct("*").alias(out))
-    within = F.row_number().over(Window.partitionBy(bucket).orderBy(*[f"{own}.d{k}" for k in range(n)])) - 1
-    numbered = place.withColumn(own, F.struct(F.col(f"{own}.size").alias("size"), within.cast("long").alias("at")))
+    dropped(*levels)
+    within = F.row_number().over(Window.partitionBy(bucket).orderBy(*[f"{own}_d{k}" for k in range(n)])) - 1
+    numbered = place.withColumn(f"{own}_at", within.cast("long"))
     met = numbered.join(pieces, F.col(bucket) == F.col(f"{out}.bucket"))
-    return met.withColumn(out, F.struct(F.col(f"{own}.size"), F.col(f"{out}.shard"), (F.col(f"{out}.slot") + F.col(f"{own}.at")).alias("slot"))).select(*docs.columns, out), out
+    return met.withColumn(out, F.struct(F.col(f"{own}_size").alias("size"), F.col(f"{out}.shard"), (F.col(f"{out}.slot") + F.col(f"{own}_at")).alias("slot"))).select(*docs.columns, out), out
 
 
 def _all(levels: list[DataFrame]) -> DataFrame:

@@ -39,18 +39,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CRC_CTES, crc32_sql, written
+from .common import CRC_CTES, crc32_sql, spent, written
 
 DIGEST, LEAST_BLOCK, FAR = 16, 256, np.iinfo(np.int64).max
 
 
-def rebuilt(turns: DataFrame, group: int = 100, most_shared: int = 6) -> DataFrame:
+def rebuilt(turns: DataFrame, group: int = 100, most_shared: int = 6, gone: list[DataFrame] | None = None) -> DataFrame:
     """``id, key, weights`` of conversations that begin with turns of their group's first one.
 
     Of ``conv_id, turn, role, text``: turns are ordered by ``turn``, null first, those of one number by
     role and the text's MD5; null roles and texts are empty; rows without a ``conv_id`` belong to
     no conversation and are left out.  The first ``crc32(conv_id) % most_shared`` turns
-    come from conversation ``conv_id - conv_id % group``, if there is one.
+    come from conversation ``conv_id - conv_id % group``, if there is one.  ``gone`` takes
+    the written step that the result reads.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     digest = F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, F.md5(text.cast("binary"))).cast("binary"))
@@ -58,6 +59,8 @@ def rebuilt(turns: DataFrame, group: int = 100, most_shared: int = 6) -> DataFra
     own = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("id"), one.alias("t"))
     own = own.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t.digest.alias("digest"), t.weight.alias("weight"))).alias("own"))
     own = written(own, "conversations")
+    if gone is not None:
+        gone.append(own)
     heads = own.where(F.col("id") % group == 0).select(F.col("id").alias("of"), F.slice("own", 1, most_shared - 1).alias("head"))
     shared = F.crc32(F.col("id").cast("string").cast("binary")) % most_shared
     both = own.withColumns({"of": F.col("id") - F.col("id") % group, "h": shared.cast("int")}).join(heads, "of", "left")
@@ -108,16 +111,16 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seq, last, last_id = seq + n, keys[-1], ids[-1]
 
 
-def _placed(sequences: DataFrame, block: int) -> DataFrame:
+def _placed(sequences: DataFrame, block: int, keep) -> DataFrame:
     """Sequences in order: ``part, seq, block`` with LCP, the weight ``x`` that it repeats, and whether the sequence before is a leaf."""
-    inside = written(sequences.select("id", "key", "weights").repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_adjacent, PLACED), "ordered")
+    inside = keep(sequences.select("id", "key", "weights").repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_adjacent, PLACED), "ordered")
     # One row a partition: what its first row shares with the last one of the partition before.
     last = inside.groupBy("part").agg(F.max("seq").alias("seq")).join(inside.select("part", "seq", F.col("key").alias("last"), F.col("len").alias("last_len"), F.col("id").alias("last_id")), ["part", "seq"])
     edge = last.join(inside.where("seq = 0").select("part", F.col("key").alias("first"), F.col("len").alias("first_len")), "part")
     order = Window.orderBy("part")
     edge = edge.select("part", "first", "first_len", *[F.lag(c).over(order).alias(c) for c in ("last", "last_len", "last_id")])
     same = F.expr(f"coalesce(array_min(filter(sequence(0, cast(least(first_len, last_len) as int)), i -> i = least(first_len, last_len) or substring(first, i * {DIGEST} + 1, {DIGEST}) <> substring(last, i * {DIGEST} + 1, {DIGEST}))), -1)")
-    edge = written(edge.select("part", F.when(F.col("last").isNull(), -1).otherwise(same).cast("long").alias("edge_lcp"), "last_len", "last_id"), "edges")
+    edge = keep(edge.select("part", F.when(F.col("last").isNull(), -1).otherwise(same).cast("long").alias("edge_lcp"), "last_len", "last_id"), "edges")
     rows = inside.drop("key").join(F.broadcast(edge), "part")
     first = F.col("seq") == 0
     rows = rows.withColumns({"lcp": F.when(first, F.col("edge_lcp")).otherwise(F.col("lcp")), "prev_len": F.when(first, F.col("last_len")).otherwise(F.col("prev_len")), "prev_id": F.when(first, F.col("last_id")).otherwise(F.col("prev_id"))})
@@ -212,10 +215,10 @@ def _nearest(key: tuple, table: pa.Table, blocks: Blocks) -> pa.Table:
     return pa.concat_tables([columns(made, n), columns(rows, len(rows["kind"]))])
 
 
-def _positions(rows: DataFrame) -> DataFrame:
+def _positions(rows: DataFrame, keep) -> DataFrame:
     """Every position with the interval of its LCP: bounds, least id, leaves, repeated weight, and the parent's depth and position."""
     blocks = Blocks(rows)
-    found = written(rows.groupBy("part", "block").applyInArrow(_finder(blocks), NEARER), "nearest")
+    found = keep(rows.groupBy("part", "block").applyInArrow(_finder(blocks), NEARER), "nearest")
     answers = []
     for kind, side in ((3, "l"), (4, "r")):
         minima = found.where(F.col("kind") == kind - 2).select(F.col("block").alias("target"), F.col("p"), F.col("v").alias("low"), "upper", "l_leaf", "l_x", F.col("l_id").alias("part_id"))
@@ -285,9 +288,15 @@ def trie_nodes(sequences: DataFrame) -> DataFrame:
     ``saved_tokens``: over the node's subtree, members but one times the weight of the last
     element; ``ends_sha256``: of the comma-joined ids, ascending, that end there.
     """
-    sequences = written(sequences, "sequences")
-    block = max(LEAST_BLOCK, math.isqrt(sequences.count()))
-    at = _positions(_placed(sequences, block))
+    with spent() as gone:
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            gone.append(written(df, name))
+            return gone[-1]
+
+        sequences = keep(sequences, "sequences")
+        block = max(LEAST_BLOCK, math.isqrt(sequences.count()))
+        at = _positions(_placed(sequences, block, keep), keep)  # written: all that the result reads
     nodes = at.where("v >= 0").groupBy("l", "v").agg(F.min("p").alias("p"), *[F.min(c).alias(c) for c in ("n", "least", "leaves", "x", "above", "parent")], F.count_if(F.col("len") > F.col("v")).alias("kids"))
     nodes = nodes.join(at.select("p", "before"), "p").join(_ends(at), ["l", "v"], "left")
     empty = F.sha2(F.lit(b""), 256)
@@ -308,7 +317,8 @@ def trie_nodes(sequences: DataFrame) -> DataFrame:
 
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
-    return trie_nodes(rebuilt(conversations.select("conv_id", "turn", "role", "text")))
+    with spent() as gone:
+        return trie_nodes(rebuilt(conversations.select("conv_id", "turn", "role", "text"), gone=gone))
 
 
 SQL = f"""

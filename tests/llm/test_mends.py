@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import language, toxicity
+from ledgerloom.llm import language, sharding, toxicity, trie
 from ledgerloom.llm.common import shared_folder
 from ledgerloom.llm.embed_dedup import embedding_duplicates
 from ledgerloom.llm.near_dedup import near_duplicates
@@ -96,3 +96,37 @@ def test_the_lexicon_has_all_supported_terms(spark):
     labels = spark.createDataFrame([(3 * k, int(k < 120)) for k in range(180)], "doc_id long, toxic int")
     terms, _ = toxicity.learn(docs, labels, fold_out=(7, 5))
     assert len({t for t, _ in terms} & set(words)) == 6_000
+
+
+def test_over_two_hundred_languages(spark):
+    """Every language of the corpus has a model; a page goes to the one whose words it has."""
+    rng = random.Random(12)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(12)] for k in range(250)}
+    say = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(60))
+    docs = spark.createDataFrame([(k, say(lang), lang) for k, lang in enumerate(sorted(words) * 2)], "doc_id long, text string, lang string")
+    pages = [(k, f"http://h{k % 7}.example/", f"<p>{say(lang)}</p>", lang) for k, lang in enumerate(sorted(words))]
+    got = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string, truth string"), docs).collect()
+    assert len(got) == 250 and sum(r.lang == pages[r.page_id][3] for r in got) >= 245
+
+
+def test_hosts_priors_are_dropped_but_for_what_the_result_reads(spark):
+    docs = spark.createDataFrame([(1, "der hund", "de"), (2, "the dog", "en")], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "http://a.example/", "<p>the dog</p>"), (None, None, None)], "page_id long, url string, html string")
+    before = steps(spark)
+    out = language.identify(pages, docs)
+    assert {f.rsplit("-", 1)[0] for f in steps(spark) - before} == {"evidence", "host-priors"}
+    assert out.count() == 2
+
+
+def test_shards_and_trie_leave_what_the_result_reads(spark):
+    before = steps(spark)
+    rows = spark.createDataFrame([(k % 50, str(k % 40) * (k % 9), k, k) for k in range(400)], "doc_id long, text string, min0 long, own_d0 long")
+    out, name = sharding.shards(rows)
+    assert {f.rsplit("-", 1)[0] for f in steps(spark) - before} <= {"open-buckets", "pieces", "repeated", "tied"}
+    assert out.count() == 400  # no column is read, also where repeated rows have numbers of their own
+    assert out.columns == [*rows.columns, name] and sorted(r.min0 for r in out.collect()) == list(range(400))
+    before = steps(spark)
+    turns = spark.createDataFrame([(c, t, "user", str(c * t % 5)) for c in range(30) for t in range(4)], "conv_id long, turn int, role string, text string")
+    nodes = trie.prefix_trie(turns)
+    assert {f.rsplit("-", 1)[0] for f in steps(spark) - before} == {"positions"}
+    assert nodes.where("depth = 0").collect()[0].n_convs == 30
