@@ -293,22 +293,26 @@ def cosine_topk(spark, sf_dir):
     return retrieval.ranked(retrieval.vector_scores(v, q), 10, digits=9).withColumn("score", F.round("score", 6))
 
 
-def _hybrid(spark, sf_dir, **more):
+def _hybrid(spark, sf_dir, words=tuple(views.VOCABULARY), **more):
     c, q = views.chunks(spark, sf_dir), views.questions(spark, sf_dir, 50)
-    vector = T.bag_vector(F.col("text"), views.VOCABULARY)
+    vector = T.bag_vector(F.col("text"), list(words))
     return retrieval.hybrid(c.withColumn("vector", vector), q.withColumn("vector", vector), **more)
 
 
-_RRF = (
-    BM25_SEARCH
-    + f""",
-vo AS (SELECT unnest([{', '.join(f"'{v}'" for v in views.VOCABULARY)}]) AS term), vc AS MATERIALIZED (SELECT ord, term, tf FROM po JOIN vo USING (term)), cn AS (SELECT ord, sqrt(sum(tf * tf)) AS norm FROM vc GROUP BY 1),
+def _rrf(words):
+    return (
+        BM25_SEARCH
+        + f""",
+vo AS (SELECT unnest([{', '.join(f"'{v}'" for v in words)}]) AS term), vc AS MATERIALIZED (SELECT ord, term, tf FROM po JOIN vo USING (term)), cn AS (SELECT ord, sqrt(sum(tf * tf)) AS norm FROM vc GROUP BY 1),
 vq AS (SELECT query_id, term, count(*) AS tf FROM q JOIN vo USING (term) GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS norm FROM vq GROUP BY 1),
 dt AS (SELECT query_id, ord, sum(vc.tf * vq.tf) AS dot FROM vc JOIN vq USING (term) GROUP BY 1, 2),
 cs AS (SELECT b.query_id, ch.ord, coalesce(dot / (cn.norm * qn.norm), 0) AS score FROM (SELECT item_id AS query_id FROM benchmark WHERE item_id % 50 = 0) b CROSS JOIN ch LEFT JOIN dt ON dt.query_id = b.query_id AND dt.ord = ch.ord LEFT JOIN cn ON cn.ord = ch.ord LEFT JOIN qn ON qn.query_id = b.query_id),
 vr AS (SELECT query_id, ord, rank FROM (SELECT query_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM cs) WHERE rank < 30),
 fu AS (SELECT query_id, ord, kr.rank AS kw, vr.rank AS vc, coalesce(1.0 / (60 + kr.rank), 0)::DOUBLE + coalesce(1.0 / (60 + vr.rank), 0)::DOUBLE AS score FROM kr FULL JOIN vr USING (query_id, ord)), po2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, ord) AS position FROM fu)"""
-)
+    )
+
+
+_RRF = _rrf(views.VOCABULARY)
 
 
 @_query(_RRF + " SELECT query_id, ord, round(score, 9) AS score, position::INT AS position FROM po2 WHERE position <= 5")
@@ -321,6 +325,21 @@ def retrieval_reason(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("query_id", "ord", retrieval.reason(F.col("bm25_rank"), F.col("vector_rank")).alias("reason"))
 
 
+_FLOORS, _SYLLABLES = (6.0625, 0.1234), "th ti sh than thon hein reer anat er ed".split()
+
+
+@_query(
+    _rrf(_SYLLABLES)
+    + f""", kf AS (SELECT query_id, ord, rank FROM kr WHERE score >= {_FLOORS[0]}), vf AS (SELECT vr.* FROM vr JOIN cs USING (query_id, ord) WHERE score >= {_FLOORS[1]}),
+ff AS (SELECT query_id, ord, kf.rank AS kw, vf.rank AS vc, coalesce(1.0 / (60 + kf.rank), 0)::DOUBLE + coalesce(1.0 / (60 + vf.rank), 0)::DOUBLE AS score FROM kf FULL JOIN vf USING (query_id, ord))
+SELECT query_id, ord, concat_ws(' + ', 'keyword #' || (kw + 1), 'semantic #' || (vc + 1)) AS reason, position::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, ord) AS position FROM ff) WHERE position <= 5"""
+)
+def hybrid_floors(spark, sf_dir):
+    """Each side's hits of a score of its own at least, before they are fused; a question may be left without any."""
+    h = _hybrid(spark, sf_dir, _SYLLABLES, min_bm25=_FLOORS[0], min_cosine=_FLOORS[1])
+    return h.select("query_id", "ord", retrieval.reason(F.col("bm25_rank"), F.col("vector_rank")).alias("reason"), "position")
+
+
 @_query(BM25 + ", b AS (SELECT query_id // 2 AS question_id, query_id % 2 AS sub, ch.chunk_id, round(score, 9) AS score, rank + 1 AS position FROM kr JOIN ch USING (ord) WHERE rank < 5), fu AS (SELECT question_id, chunk_id, sum(1.0 / (59 + position)) AS fused, max(score) AS score FROM b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(fused, 12) DESC, chunk_id) AS position FROM fu) SELECT question_id, chunk_id, score, round(fused, 9) AS fused, position::INT AS position FROM r WHERE position <= 5")
 def multi_query_rrf(spark, sf_dir):
     c = views.chunks(spark, sf_dir)
@@ -626,12 +645,62 @@ def chunk_pages(spark, sf_dir):
     return c.select("chunk_id", "page_id", chunking.label(F.col("page_title"), F.col("heading_path"), F.col("end_heading")).alias("label"), "text")
 
 
-@_query()
+def _bare(text: str) -> str:
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _neighbours(parts: str, between: str, size: int, most: int) -> str:
+    """Neighbours of a list put together as long as they fit."""
+    return f"string_split(list_reduce({parts}, lambda a, b: CASE WHEN length(split_part(a, chr(2), -1)) + {size} + length(b) <= {most} THEN a || {between} || b ELSE a || chr(2) || b END), chr(2))"
+
+
+def _split_sql(text: str, most: int) -> str:
+    """Pieces of a text that has no white space around: of paragraphs, and of sentences where a paragraph is too long."""
+    sentences = "string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    paragraphs = f"list_filter(list_transform(string_split_regex({text}, '\\n\\s*\\n'), lambda p: {_bare('p')}), lambda p: p <> '')"
+    pieces = f"flatten(list_transform({paragraphs}, lambda p: CASE WHEN length(p) <= {most} THEN [p] ELSE {_neighbours(sentences, "' '", 1, most)} END))"
+    return f"CASE WHEN length({text}) <= {most} THEN [{text}] ELSE {_neighbours(pieces, 'chr(10) || chr(10)', 2, most)} END"
+
+
+@_query(f"""
+WITH b AS (SELECT doc_id, {_bare("replace(text, chr(10), chr(10) || chr(10))")} AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, {_split_sql("t", 2000)} AS parts FROM b WHERE t <> '')
+SELECT doc_id || '#' || (k - 1) AS chunk_id, doc_id::VARCHAR AS page_id, parts[k] AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM s)""")
 def split_oversized(spark, sf_dir):
     d = views.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"), F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.lit(0).alias("level"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))).alias("sections"))
     return chunking.chunk_pages(d).select("chunk_id", "page_id", "text")
 
 
+#: Lines of documents as sections: every third is under a heading, whose level goes by its place and length.
+_MOST, _LEAST = 400, 80
+_LEVEL = "(i * 7 + length(line)) % 4 + 1"
+
+
+@_query(f"""
+WITH s AS (SELECT doc_id, title, i, CASE WHEN i % 3 = 0 THEN 'H' || i END AS heading, {_LEVEL} AS level, {_bare("line")} AS body
+  FROM (SELECT doc_id, coalesce(source, '') AS title, i, ls[i + 1] AS line FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS ls, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents))),
+h AS (SELECT doc_id, i, heading, level FROM s WHERE heading IS NOT NULL),
+e AS (SELECT h.doc_id, h.i, h.heading, min(o.i) AS ends FROM h LEFT JOIN h o ON o.doc_id = h.doc_id AND o.i > h.i AND o.level <= h.level GROUP BY 1, 2, 3),
+p AS (SELECT h.doc_id, h.i, string_agg(e.heading, ' > ' ORDER BY e.i) AS path, h.heading AS last FROM h JOIN e ON e.doc_id = h.doc_id AND e.i <= h.i AND (e.ends IS NULL OR e.ends > h.i) GROUP BY 1, 2, 4),
+b AS (SELECT s.*, path, last, length(body) AS n FROM s LEFT JOIN p USING (doc_id, i) WHERE body <> ''),
+j AS (SELECT *, coalesce(lag(n) OVER w < {_LEAST} AND lag(n) OVER w + 2 + n <= {_MOST}, false) AS fits FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1) % 2 = 1 AS joined FROM (SELECT *, count(*) FILTER (WHERE NOT fits) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM j)),
+k AS (SELECT *, lag(path) OVER w AS held_path, lag(last) OVER w AS held_last, lag(body) OVER w AS held, coalesce(lead(joined) OVER w, false) AS goes FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, title, i, CASE WHEN joined THEN coalesce(held_path, path) ELSE path END AS path, CASE WHEN joined THEN coalesce(held_last, last) ELSE last END AS last, CASE WHEN joined AND held_path IS NOT NULL THEN heading END AS to_,
+  CASE WHEN joined THEN [held || chr(10) || chr(10) || body] ELSE {_split_sql("body", _MOST)} END AS parts FROM k WHERE NOT goes),
+o AS (SELECT *, unnest(parts) AS text, generate_subscripts(parts, 1) AS part FROM c)
+SELECT doc_id || '#' || (row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1) AS chunk_id, doc_id::VARCHAR AS page_id, CASE WHEN last IS NULL THEN title WHEN to_ IS NULL THEN title || ' — ' || last ELSE title || ' — ' || last || ' → ' || to_ END AS label,
+  concat_ws(' > ', title, path) || chr(10) || chr(10) || text AS indexed FROM o""")
+def chunk_sections(spark, sf_dir):
+    """All documents as pages of short sections: headings' ancestry, small sections carried forward, long ones split, labels and breadcrumbs."""
+    section = lambda line, i: F.struct(F.when(i % 3 == 0, F.concat(F.lit("H"), i)).alias("heading"), ((i * 7 + F.length(line)) % 4 + 1).alias("level"), line.alias("text"))
+    d = views.read(spark, sf_dir, "documents")
+    pages = d.select(F.col("doc_id").alias("page_id"), F.coalesce("source", F.lit("")).alias("title"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), section).alias("sections"))
+    c = chunking.chunk_pages(pages, _MOST, _LEAST)
+    title, path = F.col("page_title"), F.col("heading_path")
+    return c.select("chunk_id", "page_id", chunking.label(title, path, F.col("end_heading")).alias("label"), chunking.index_text(title, path, F.col("text")).alias("indexed"))
+
+
 @_query("SELECT o_orderkey, 'order ' || o_orderkey || ' is ' || o_orderstatus AS text FROM orders")
 def adf_flatten(spark, sf_dir):
     o = views.read(spark, sf_dir, "orders")
