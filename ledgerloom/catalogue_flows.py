@@ -20,14 +20,20 @@ from .streaming import findings as stream
 # ------------------------------------------------------------------- streams
 
 
+#: About as many issues are written by a task, however many there are.
+ISSUES_A_FILE = 100_000
+
+
 def _streamed(spark, sf_dir):
-    """All issues as files of a stream, read some files a batch: every 13th has no time of creation, every 17th is a failure of its project."""
+    """All issues as files of a stream, read a third of the files a batch: every 13th has no time of creation, every 17th is a failure of its project."""
     n = F.substring("key", 5, 20).cast("long")
     rows = views.issues(spark, sf_dir)
     rows = rows.withColumns({"created_at": F.when(n % 13 != 0, F.col("created_at")), "error": F.when(n % 17 == 0, F.concat(F.lit("HTTP 429 for "), "project_key"))})
     at = steps.new_path(spark, "issue-stream")
-    rows.repartition(6, "key").write.parquet(f"{at}/in")
-    stream.record_findings(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", views.now(), rules.RiskConfig(), files=2)
+    files = 3 * max(2, -(-views.read(spark, sf_dir, "orders").count() // (3 * ISSUES_A_FILE)))
+    rows.repartition(files, "key").write.parquet(f"{at}/in")
+    there = len(spark.read.parquet(f"{at}/in").inputFiles())
+    stream.record_findings(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", views.now(), rules.RiskConfig(), files=-(-there // 3))
     return stream.Recorder(spark, f"{at}/out", views.now())
 
 

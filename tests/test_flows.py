@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import catalogue_flows
 from ledgerloom.operators import rules, trace
 from ledgerloom.plans import gates, snapshots
 from ledgerloom.plans.snapshots import NotPublished, Snapshots
@@ -138,3 +139,10 @@ def test_kinds_in_order_of_the_clock(spark):
     df = spans_of(spark, [("t", "judge", 0, 30, 1), ("t", "judge", 10, 40, 1), ("t", "llm", 0, 100, 1), ("t", "tool", 5, 5, 1)])
     got = [(r.kind, r.position, r.share) for r in trace.summary(df).orderBy("position").collect()]
     assert got == [("llm", 1, 100.0), ("judge", 2, 40.0), ("tool", 3, 0.0)]
+
+
+def test_files_of_the_stream_grow_with_the_issues(spark, monkeypatch):
+    monkeypatch.setattr(catalogue_flows, "ISSUES_A_FILE", 100)
+    recorder = catalogue_flows._streamed(spark, "/root/testdata/sf0.001")
+    n, files = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count(), len(spark.read.parquet(recorder.path.removesuffix("/out") + "/in").inputFiles())
+    assert n / 100 <= files <= n / 100 + 3 and recorder.table("log").count() == 3
