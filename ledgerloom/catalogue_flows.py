@@ -175,7 +175,6 @@ def claims_judged_by_model(spark, sf_dir):
 
 def _registry(spark, sf_dir):
     orders = views.read(spark, sf_dir, "orders")
-    found = _findings(spark, sf_dir).groupBy("issue_key").agg(F.count(F.lit(1)).alias("n"))
 
     def status(calls):
         met = calls.join(orders.select(F.col("o_orderkey").alias("order"), "o_orderstatus"), "order", "left")
@@ -183,6 +182,8 @@ def _registry(spark, sf_dir):
         return met.select("call_id", F.coalesce(said, F.lit("no such order")).alias("content"), F.col("o_orderstatus").isNull().alias("is_error"))
 
     def risks(calls):
+        asked = steps.written(views.asked_orders(calls), "asked-orders")  # so that Spark knows how few they are
+        found = _findings(spark, sf_dir, asked).groupBy("issue_key").agg(F.count(F.lit(1)).alias("n"))
         return calls.join(found, "issue_key").select("call_id", F.concat(F.col("n"), F.lit(" findings")).alias("content"))  # an issue without any is left out
 
     return tools.Registry((tools.Tool("order_status", status, {"order": "integer", "lower": "boolean"}, ("order",), label="Orders"), tools.Tool("risk_findings", risks, {"issue_key": "string"}, ("issue_key",), label="Findings"), tools.flag_tool()))

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import steps
+
 #: Types of arguments: what their JSON value is, and the column's type.
 TYPES = {"string": (("STRING",), "string"), "integer": (("BIGINT",), "bigint"), "number": (("BIGINT", "DOUBLE", "DECIMAL"), "double"), "boolean": (("BOOLEAN",), "boolean"), "strings": (("ARRAY<STRING>", "ARRAY<VOID>"), "array<string>")}
 PROPOSAL = "struct<issue_key: string, action_type: string, rationale: string, evidence: array<string>>"
@@ -84,20 +86,26 @@ class Registry:
         kinds = lambda spec: {"type": "array", "items": {"type": "string"}} if spec == "strings" else {"type": spec}
         return [{"name": t.name, "description": t.description, "input_schema": {"type": "object", "properties": {n: kinds(s) for n, s in t.arguments.items()}, "required": list(t.required)}} for t in self.tools]
 
-    def execute(self, calls: DataFrame) -> DataFrame:
-        """``call_id, name, content, is_error, proposal`` of ``call_id, name, arguments``, one row a call; ids are unique."""
-        none = F.lit(None).cast(PROPOSAL).alias("proposal")
-        error = lambda text: (text.alias("content"), F.lit(True).alias("is_error"), none)
+    def checked(self, calls: DataFrame) -> DataFrame:
+        """``call_id, name, told`` and every tool's arguments: ``told`` says why a call cannot be made, null if it can. Written, so that a call is parsed once, however many tools there are."""
         rows = calls.select("call_id", "name", F.try_parse_json(F.coalesce("arguments", F.lit("{}"))).alias("v"))
         names = [t.name for t in self.tools]
         known = F.coalesce(F.col("name").isin(*names), F.lit(False)) if names else F.lit(False)
-        unknown = F.concat(F.lit("Unknown tool '"), F.coalesce("name", F.lit("")), F.lit(f"'. Available: {', '.join(sorted(names))}"))
-        out = [rows.where(~known).select("call_id", "name", *error(unknown))]
+        told = F.when(~known, F.concat(F.lit("Unknown tool '"), F.coalesce("name", F.lit("")), F.lit(f"'. Available: {', '.join(sorted(names))}")))
         for tool in self.tools:
-            own = rows.where(F.col("name") == tool.name).withColumn("fault", tool.fault(F.col("v")))
-            out.append(own.where("fault is not null").select("call_id", "name", *error(F.concat(F.lit(f"Invalid arguments for {tool.name}: "), F.col("fault")))))
-            good = own.where("fault is null")
-            made = tool.build(good.select("call_id", *tool.typed(F.col("v"))))
+            told = told.when(F.col("name") == tool.name, F.concat(F.lit(f"Invalid arguments for {tool.name}: "), tool.fault(F.col("v"))))
+        rows = rows.withColumn("told", told)
+        arguments = [F.when((F.col("name") == tool.name) & F.col("told").isNull(), a).alias(f"{k}_{j}") for k, tool in enumerate(self.tools) for j, a in enumerate(tool.typed(F.col("v")))]
+        return steps.written(rows.select("call_id", "name", "told", *arguments), "calls")
+
+    def execute(self, calls: DataFrame) -> DataFrame:
+        """``call_id, name, content, is_error, proposal`` of ``call_id, name, arguments``, one row a call; ids are unique."""
+        none = F.lit(None).cast(PROPOSAL).alias("proposal")
+        rows = self.checked(calls)
+        out = [rows.where("told is not null").select("call_id", "name", F.col("told").alias("content"), F.lit(True).alias("is_error"), none)]
+        for k, tool in enumerate(self.tools):
+            good = rows.where((F.col("name") == tool.name) & F.col("told").isNull())
+            made = tool.build(good.select("call_id", *[F.col(f"{k}_{j}").alias(name) for j, name in enumerate(tool.arguments)]))
             has = made.columns
             answer = made.select(
                 "call_id", F.col("content"), (F.coalesce("is_error", F.lit(False)) if "is_error" in has else F.lit(False)).alias("is_error"), F.col("proposal").cast(PROPOSAL).alias("proposal") if "proposal" in has else none, F.lit(True).alias("there"),
