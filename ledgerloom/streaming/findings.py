@@ -4,14 +4,16 @@ Each micro-batch writes ``findings``, ``gaps`` and, last, its row of ``log``: ho
 issues it saw, mapped or not, how many gaps it left, and whether it came to its end.  All three lie in a folder
 ``batch=<id>`` of their table and are overwritten, so a batch that is run again
 (after a lost driver, or because the checkpoint was not written) adds nothing.  Readers
-take the batches that the log names; what a broken batch wrote is not seen.
+take the batches that the log names; what a broken batch wrote is not seen.  A batch's
+row of the log is taken away before the batch is written, also when it is run again.
 
 The counts are observed while the rows are written (``observe``), not counted again.
 
-A failure ends the stream and does not propagate: it is one more gap, with what came before kept, and the run that
+A failure of a batch ends the stream and does not propagate: it is one more gap, with what came before kept, and the run that
 :func:`outcome` makes of the tables is partial, so no report can be built from
 it.  A later call goes on with the batch that failed; if it succeeds, its rows
-replace the gap.
+replace the gap.  What no gap tells of is raised: a failure outside of a batch, or one whose gap could not be written.  Who reads
+the tables and not the run asks for ``strict``, which raises every failure.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .. import steps
 from ..operators.rules import RiskConfig, evaluate
 from ..plans.gates import CompleteRun, PartialRun, seal
 from ..schemas import CITATION, GAP, ISSUE
@@ -48,6 +51,8 @@ class Recorder:
     def __init__(self, spark: SparkSession, path: str, now: Column, cfg: RiskConfig | None = None, rules=None):
         self.spark, self.path, self.now, self.cfg = spark, path.rstrip("/"), now, cfg
         self.rules = {} if rules is None else {"rules": rules}
+        self.failure: Exception | None = None  # that ended the last batch, and has its gap
+        self.open: int | None = None  # the batch of whose end the log does not tell yet
 
     def _put(self, df: DataFrame, table: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
@@ -56,6 +61,8 @@ class Recorder:
         """Write one batch; written again, it replaces itself."""
         seen, lost = Observation(f"seen-{batch}"), Observation(f"lost-{batch}")
         spark = rows.sparkSession
+        self.failure, self.open = None, batch
+        steps.delete(spark, f"{self.path}/log/batch={batch}")
         rows = rows.persist()  # read by both writes
         try:
             issues, gaps = split(rows, self.now)
@@ -63,12 +70,14 @@ class Recorder:
             self._put(evaluate(issues, self.cfg, self.now, **self.rules), "findings", batch)
             self._put(gaps.observe(lost, F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason") == "unmappable_issue").alias("unmapped")), "gaps", batch)
             log = (seen.get["n"] + lost.get["unmapped"], lost.get["n"], True)
+            self._put(spark.createDataFrame([log], TABLES["log"]).coalesce(1), "log", batch)
         except Exception as e:
             self._failed(spark, batch, e)
+            self.failure, self.open = e, None
             raise
         finally:
             rows.unpersist()
-        self._put(spark.createDataFrame([log], TABLES["log"]).coalesce(1), "log", batch)
+        self.open = None
 
     def _failed(self, spark: SparkSession, batch: int, e: Exception) -> None:
         text = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:500]
@@ -95,8 +104,11 @@ def stream_findings(spark: SparkSession, issues_path: str, out_path: str, checkp
     query.awaitTermination()
 
 
-def record_findings(spark: SparkSession, issues_path: str, out_path: str, checkpoint: str, now: Column, cfg: RiskConfig | None = None, files: int | None = None, rules=None) -> CompleteRun | PartialRun:
-    """Read the issue files that are there and were not read before, ``files`` a batch; what the tables then come to."""
+def record_findings(spark: SparkSession, issues_path: str, out_path: str, checkpoint: str, now: Column, cfg: RiskConfig | None = None, files: int | None = None, rules=None, strict: bool = False) -> CompleteRun | PartialRun:
+    """Read the issue files that are there and were not read before, ``files`` a batch; what the tables then come to.
+
+    With ``strict``, a failure that is kept as a gap is raised as well.
+    """
     recorder = Recorder(spark, out_path, now, cfg, rules)
     source = spark.readStream.schema(ROW)
     if files:
@@ -105,7 +117,12 @@ def record_findings(spark: SparkSession, issues_path: str, out_path: str, checkp
     try:
         query.awaitTermination()
     except StreamingQueryException:
-        pass  # recorded as a gap
+        if recorder.failure is None:  # no gap tells of it
+            raise
+    if recorder.open is not None:  # a stream that is stopped ends without an exception
+        raise RuntimeError(f"the stream ended within batch {recorder.open}, and no gap tells of it")
+    if strict and recorder.failure is not None:
+        raise recorder.failure
     return outcome(recorder)
 
 

@@ -1,6 +1,8 @@
 """Streams that fail and are run again, snapshots that stay, traces in parts."""
 
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +78,91 @@ def test_what_an_unfinished_batch_wrote_is_not_seen(spark, tmp_path):
     assert {r.issue_key for r in recorder.table("findings").collect()} == {"A-1"}
 
 
+@pytest.mark.parametrize("query", ["stream_findings", "stream_gaps", "stream_log"])
+def test_a_query_raises_the_failure_of_its_stream(spark, monkeypatch, query):
+    batches = []
+
+    def third_fails(issues, *args, **more):
+        batches.append(1)
+        found = rules.evaluate(issues, *args, **more)
+        return found.where(F.raise_error(F.lit("a disk is lost")).isNull()) if len(batches) == 3 else found
+
+    monkeypatch.setattr(stream, "evaluate", third_fails)
+    with pytest.raises(Exception, match="a disk is lost"):
+        getattr(catalogue_flows, query)(spark, "/root/testdata/sf0.001").collect()
+    assert len(batches) == 3
+
+
+def test_a_query_raises_where_its_stream_was_stopped(spark, monkeypatch):
+    record = stream.Recorder.record
+
+    def stopped(recorder, rows, batch):
+        record(recorder, rows, batch)
+        if batch == 1:
+            running = spark.streams.active
+            for q in running:
+                threading.Thread(target=q.stop).start()
+            while any(q.isActive for q in running):
+                time.sleep(0.05)
+
+    monkeypatch.setattr(stream.Recorder, "record", stopped)
+    with pytest.raises(RuntimeError, match="stopped before its last batch"):
+        catalogue_flows.stream_findings(spark, "/root/testdata/sf0.001")
+
+
+def test_a_failure_without_a_gap_is_raised_and_a_later_run_is_whole(spark, tmp_path, monkeypatch):
+    rows_of(spark, "A-1", "A-2", "A-3").repartition(3).write.parquet(f"{tmp_path}/in")
+    files = len(spark.read.parquet(f"{tmp_path}/in").inputFiles())
+    assert files > 1
+    at = (f"{tmp_path}/in", f"file://{tmp_path}/out", f"{tmp_path}/check", clock())
+    put = stream.Recorder._put
+
+    def full(recorder, df, table, batch):
+        if batch == files - 1:
+            raise OSError("no space left")
+        put(recorder, df, table, batch)
+
+    with monkeypatch.context() as m:
+        m.setattr(stream.Recorder, "_put", full)
+        with pytest.raises(Exception, match="no space left"):
+            stream.record_findings(spark, *at, files=1)
+    again = stream.record_findings(spark, *at, files=1)
+    assert isinstance(again, gates.CompleteRun) and again.issues_seen == 3 and {r.issue_key for r in again.findings.collect()} == {"A-1", "A-2", "A-3"}
+
+
+def test_a_log_that_cannot_be_written_is_a_gap(spark, tmp_path, monkeypatch):
+    rows_of(spark, "A-1").coalesce(1).write.parquet(f"{tmp_path}/in")
+    put, tried = stream.Recorder._put, []
+
+    def once(recorder, df, table, batch):
+        if table == "log" and not tried:
+            tried.append(batch)
+            raise OSError("429 of the store")
+        put(recorder, df, table, batch)
+
+    monkeypatch.setattr(stream.Recorder, "_put", once)
+    run = stream.record_findings(spark, f"{tmp_path}/in", f"file://{tmp_path}/out", f"{tmp_path}/check", clock())
+    assert tried == [0] and isinstance(run, gates.PartialRun) and [(g.reason, g.scope) for g in run.gaps.collect()] == [("rate_limited", "sync")]
+
+
+def test_a_batch_that_breaks_when_run_again_is_not_whole(spark, tmp_path, monkeypatch):
+    recorder = stream.Recorder(spark, f"file://{tmp_path}/out", clock())
+    recorder.record(rows_of(spark, "A-1"), 0)
+    recorder.record(rows_of(spark, "A-2"), 1)
+    put = stream.Recorder._put
+
+    def lost(recorder, df, table, batch):
+        if table != "findings":
+            raise OSError("the driver is lost")
+        put(recorder, df.limit(0), table, batch)
+
+    monkeypatch.setattr(stream.Recorder, "_put", lost)
+    with pytest.raises(OSError):
+        recorder.record(rows_of(spark, "A-2"), 1)
+    assert [r.batch for r in recorder.table("log").collect()] == [0]
+    assert {r.issue_key for r in recorder.table("findings").collect()} == {"A-1"}
+
+
 # ----------------------------------------------------------------- snapshots
 
 
